@@ -54,7 +54,7 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
 """
 PROBES_SQL = """
 SELECT event_type AS layer_key, CAST(ts AS DATE) AS probe_date,
-  least(1.0, count(*) / 80.0) AS coverage,
+  CAST(least(1.0, count(*) / 80.0) AS DOUBLE) AS coverage,
   sum(CASE WHEN value > 60 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS cloud_fraction,
   sum(CASE WHEN value < 2 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS dark_fraction
 FROM {events} GROUP BY 1, 2

@@ -1,3 +1,6 @@
 """Import every module that registers queries."""
 
 from . import landcover_queries  # noqa: F401
+from . import expression_queries  # noqa: F401
+from . import pairing_queries  # noqa: F401
+from . import spatial_queries  # noqa: F401

@@ -122,3 +122,64 @@ def rgb_ctes(source: str = "px", out: str = "rgb") -> list[str]:
               WHEN split_built AND bright >= t_built THEN 'built_up' ELSE 'bare_soil' END AS class
             FROM {p}_s s JOIN {p}_cuts USING (scene_id))""",
     ]
+
+
+def grid_ctes(source: str, value: str, fill: str = "0.0", key: str = "scene_id", side: int = 64, out: str = "grid") -> list[str]:
+    """Dense side x side grid per key with gray and valid."""
+    return [f"""{out} AS (SELECT s.{key}, r.r, c.c, coalesce(p.{value}, {fill}) AS gray, p.{value} IS NOT NULL AS valid
+      FROM (SELECT DISTINCT {key} FROM {source}) s CROSS JOIN (SELECT CAST(i AS INT) AS r FROM range({side}) t(i)) r
+      CROSS JOIN (SELECT CAST(i AS INT) AS c FROM range({side}) t(i)) c LEFT JOIN {source} p ON p.{key} = s.{key} AND p.r = r.r AND p.c = c.c)"""]
+
+
+def box_ctes(out: str, source: str, value: str, k: int, edge: str, key: str = "scene_id", side: int = 64) -> list[str]:
+    """``out``({key}, r, c, s, q): box sums of value and its square with mirrored edges."""
+    h = k // 2
+    lo, hi = ("-1 - x", f"{2 * side - 1} - x") if edge == "symmetric" else ("0 - x", f"{2 * side - 2} - x")
+    mapped = f"SELECT i, CASE WHEN x < 0 THEN {lo} WHEN x >= {side} THEN {hi} ELSE x END AS j FROM (SELECT i, i + d AS x FROM range({side}) a(i) CROSS JOIN range({-h}, {h + 1}) b(d))"
+    return [
+        f"{out}_m AS ({mapped})",
+        f"{out}_v AS (SELECT g.{key}, m.i AS r, g.c, sum({value}) AS s, sum({value} * {value}) AS q FROM {source} g JOIN {out}_m m ON m.j = g.r GROUP BY ALL)",
+        f"{out} AS (SELECT g.{key}, g.r, m.i AS c, sum(s) AS s, sum(q) AS q FROM {out}_v g JOIN {out}_m m ON m.j = g.c GROUP BY ALL)",
+    ]
+
+
+def morph_ctes(source: str, out: str, key: str = "scene_id") -> list[str]:
+    """Closing then opening with a 3 x 3 square of boolean m on a dense grid, step by step."""
+    def step(name: str, src: str, test: str) -> str:
+        return f"""{name} AS (SELECT a.{key}, a.r, a.c, {test} AS m FROM {src} a JOIN {src} b ON b.{key} = a.{key}
+          AND b.r IN (a.r - 1, a.r, a.r + 1) AND b.c IN (a.c - 1, a.c, a.c + 1) GROUP BY ALL)"""
+
+    grow, shrink = "bool_or(b.m)", "count(*) FILTER (b.m) = 9"
+    return [step(f"{out}_1", source, grow), step(f"{out}_2", f"{out}_1", shrink), step(f"{out}_3", f"{out}_2", shrink),
+            step(out, f"{out}_3", grow)]
+
+
+def component_ctes(cells: str, out: str, key: str = "scene_id") -> list[str]:
+    """``out``(key, r, c0, c1, node, component): 8-connected runs by transitive closure."""
+    return [
+        f"""{out}_runs AS (SELECT {key}, r, min(c) AS c0, max(c) AS c1, CAST(r AS BIGINT) * 4294967296 + min(c) AS node FROM (
+          SELECT {key}, r, c, c - row_number() OVER (PARTITION BY {key}, r ORDER BY c) AS g FROM {cells}) GROUP BY {key}, r, g)""",
+        f"""{out}_adj AS (SELECT a.{key}, a.node AS x, b.node AS y FROM {out}_runs a JOIN {out}_runs b ON a.{key} = b.{key}
+          AND abs(a.r - b.r) = 1 AND a.c0 <= b.c1 + 1 AND a.c1 >= b.c0 - 1)""",
+        f"""{out}_reach AS (SELECT {key}, node AS x, node AS y FROM {out}_runs UNION
+          SELECT {out}_reach.{key}, {out}_reach.x, j.y FROM {out}_reach JOIN {out}_adj j ON j.{key} = {out}_reach.{key} AND j.x = {out}_reach.y)""",
+        f"""{out} AS (SELECT runs.*, component FROM {out}_runs runs JOIN (SELECT {key}, x AS node, min(y) AS component FROM {out}_reach GROUP BY 1, 2)
+          USING ({key}, node))""",
+    ]
+
+
+def region_ctes(runs: str, out: str, scenes: str, key: str = "scene_id", min_pixels: int = 30, top: int = 8) -> list[str]:
+    """Ranked, located regions; ``scenes`` has key, width, height, west, south, east, north."""
+    return [
+        f"""{out}_all AS (SELECT {key}, component, CAST(sum(c1 - c0 + 1) AS BIGINT) AS pixels, min(r) AS r0, max(r) AS r1, min(c0) AS c0, max(c1) AS c1,
+          sum((c1 - c0 + 1) * r) / sum(c1 - c0 + 1) AS cy, sum((c1 - c0 + 1) * (c0 + c1)) / sum(c1 - c0 + 1) / 2 AS cx FROM {runs} GROUP BY ALL)""",
+        f"""{out} AS (SELECT {key}, CAST(rank AS INT) AS rank, component, pixels, r0, r1, c0, c1, round_even(cx, 1) AS cx, round_even(cy, 1) AS cy,
+          round_even(pixels / ((r1 - r0 + 1) * (c1 - c0 + 1)), 4) AS fill_ratio, round_even(pixels / (width * height), 6) AS fraction_of_scene,
+          round_even(pixels * (abs((north - south) * 110.574 * (east - west) * 111.320 * cos(radians((south + north) / 2.0))) / (width * height)), 4) AS area_km2,
+          CASE WHEN west IS NULL THEN 'pixels' ELSE 'km2' END AS unit,
+          round_even(west + (c0 + 0.5) / width * (east - west), 5) AS box_west, round_even(north - (r1 + 0.5) / height * (north - south), 5) AS box_south,
+          round_even(west + (c1 + 0.5) / width * (east - west), 5) AS box_east, round_even(north - (r0 + 0.5) / height * (north - south), 5) AS box_north,
+          round_even(west + (cx + 0.5) / width * (east - west), 5) AS lon, round_even(north - (cy + 0.5) / height * (north - south), 5) AS lat
+          FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY pixels DESC, component) AS rank FROM {out}_all WHERE pixels >= {min_pixels})
+          JOIN {scenes} USING ({key}) WHERE rank <= {top})""",
+    ]
