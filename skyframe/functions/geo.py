@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import half_even
+
 from ..fixed_values import KM_PER_DEG_LAT, KM_PER_DEG_LON
 
 
@@ -34,7 +36,7 @@ def gsd_m() -> Column:
 
 def area_of(pixels: Column) -> Column:
     """km2 to 4 decimals, NULL when the scene has no position."""
-    return F.bround(pixels * pixel_area_km2(), 4)
+    return half_even(pixels * pixel_area_km2(), 4)
 
 
 def area_unit() -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
+
 from ..fixed_values import CHANGE_THRESHOLD_FLOOR, CLASSES
 from ..functions.indices import index_expr
 from .otsu import otsu
@@ -48,8 +50,8 @@ def transition_matrix(counts: DataFrame, pixel_km2: DataFrame, top_changed: int
         .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= keep)
         .join(pixel_km2, KEY, "left")
         .select(*KEY, "from_class", "to_class", "pixels", "is_change", "rank",
-                F.bround(F.col("pixels") * F.col("pixel_km2"), 4).alias("area_km2"),
-                F.bround(F.col("pixels") / F.col("total"), 6).alias("fraction_of_scene")))
+                half_even(F.col("pixels") * F.col("pixel_km2"), 4).alias("area_km2"),
+                half_even(F.col("pixels") / F.col("total"), 6).alias("fraction_of_scene")))
 
 
 def class_deltas(counts: DataFrame, pixel_km2: DataFrame) -> DataFrame:
@@ -63,10 +65,10 @@ def class_deltas(counts: DataFrame, pixel_km2: DataFrame) -> DataFrame:
     b, a, km2 = F.col("pixels_before"), F.col("pixels_after"), F.col("pixel_km2")
     return sums.withColumn("total", total).join(pixel_km2, KEY, "left").select(
         *KEY, "class", "pixels_before", "pixels_after", (a - b).alias("delta_pixels"),
-        F.bround(b * km2, 4).alias("area_before_km2"), F.bround(a * km2, 4).alias("area_after_km2"),
-        F.bround((a - b) * km2, 4).alias("delta_area_km2"),
-        F.bround(b / F.col("total"), 6).alias("fraction_before"), F.bround(a / F.col("total"), 6).alias("fraction_after"),
-        F.when(b > 0, F.bround((a - b) / b * 100.0, 2)).alias("relative_change_pct"))
+        half_even(b * km2, 4).alias("area_before_km2"), half_even(a * km2, 4).alias("area_after_km2"),
+        half_even((a - b) * km2, 4).alias("delta_area_km2"),
+        half_even(b / F.col("total"), 6).alias("fraction_before"), half_even(a / F.col("total"), 6).alias("fraction_after"),
+        F.when(b > 0, half_even((a - b) / b * 100.0, 2)).alias("relative_change_pct"))
 
 
 def index_deltas(pair: DataFrame, names: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
+
 from ..session import materialise
 
 BLOCK = 64  # columns per adjacency bucket
@@ -93,7 +95,7 @@ def region_stats(runs: DataFrame, by: list[str]) -> DataFrame:
         F.sum(n).alias("pixels"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c0").alias("c0"),
         F.max("c1").alias("c1"), (F.sum(n * F.col("r")) / F.sum(n)).alias("cy"),
         (F.sum(n * (F.col("c0") + F.col("c1"))) / F.sum(n) / 2).alias("cx"))
-    return agg.withColumn("fill_ratio", F.bround(F.col("pixels") / F.expr("(r1 - r0 + 1) * (c1 - c0 + 1)"), 4))
+    return agg.withColumn("fill_ratio", half_even(F.col("pixels") / F.expr("(r1 - r0 + 1) * (c1 - c0 + 1)"), 4))
 
 
 def rank_regions(regions: DataFrame, by: list[str], min_pixels: int = 30, max_regions: int = 8) -> DataFrame:
@@ -106,16 +108,16 @@ def rank_regions(regions: DataFrame, by: list[str], min_pixels: int = 30, max_re
 def locate_regions(regions: DataFrame, scenes: DataFrame, by: list[str]) -> DataFrame:
     """Share of the grid, area, geographic box and centroid; geography stays NULL without a position."""
     def lon(col: str) -> Column:
-        return F.expr(f"bround(west + ({col} + 0.5D) / width * (east - west), 5)")
+        return F.expr(f"rint((west + ({col} + 0.5D) / width * (east - west)) * 1e5) / 1e5")
 
     def lat(row: str) -> Column:
-        return F.expr(f"bround(north - ({row} + 0.5D) / height * (north - south), 5)")
+        return F.expr(f"rint((north - ({row} + 0.5D) / height * (north - south)) * 1e5) / 1e5")
 
     from ..functions.geo import area_of, area_unit
 
     return regions.join(scenes.select(*by, "width", "height", "west", "south", "east", "north"), by).select(
-        *by, "rank", "component", "pixels", "r0", "r1", "c0", "c1", F.bround("cx", 1).alias("cx"), F.bround("cy", 1).alias("cy"),
-        "fill_ratio", F.bround(F.expr("pixels / (width * height)"), 6).alias("fraction_of_scene"),
+        *by, "rank", "component", "pixels", "r0", "r1", "c0", "c1", half_even("cx", 1).alias("cx"), half_even("cy", 1).alias("cy"),
+        "fill_ratio", half_even(F.expr("pixels / (width * height)"), 6).alias("fraction_of_scene"),
         area_of(F.col("pixels")).alias("area_km2"), area_unit().alias("unit"),
         lon("c0").alias("box_west"), lat("r1").alias("box_south"), lon("c1").alias("box_east"), lat("r0").alias("box_north"),
         lon("cx").alias("lon"), lat("cy").alias("lat"))

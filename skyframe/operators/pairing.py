@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
+
 from ..functions.geo import corner_offset
 
 
@@ -159,7 +161,7 @@ def pair_compatibility(paired: DataFrame) -> DataFrame:
         F.when((a == b) & (F.col("first_acq_date") == F.col("second_acq_date")), "same acquisition date"),
         F.when((a != b) & ~crossed, "mixed modalities treated as a temporal pair")))
     return paired.withColumns({
-        "same_grid": same_grid, "max_corner_offset_deg": F.bround(offset, 8), "shared_bands": shared,
+        "same_grid": same_grid, "max_corner_offset_deg": half_even(offset, 8), "shared_bands": shared,
         "configuration": F.when(crossed, "cross_modal_pair").otherwise("bitemporal_pair"),
         "co_registered": F.coalesce(offset < 1e-4, (located == 0) & same_grid),
         "issues": issues, "warnings": warnings,
@@ -172,7 +174,7 @@ def check_coregistration(paired: DataFrame, tolerance: float = 1e-6) -> DataFram
     same_shape = (F.col("first_width") == F.col("second_width")) & (F.col("first_height") == F.col("second_height"))
     gap = F.coalesce(corner_offset("first_", "second_"), F.lit(0.0))
     return paired.withColumns({
-        "same_shape": same_shape, "max_corner_offset_deg": F.bround(gap, 9), "same_extent": gap <= tolerance,
+        "same_shape": same_shape, "max_corner_offset_deg": half_even(gap, 9), "same_extent": gap <= tolerance,
         "co_registered": same_shape & (gap <= tolerance)})
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
+
 from ..functions.indices import is_cloud_rgb, rgb_mean
 
 
@@ -18,10 +20,10 @@ def scene_quality(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
     cov = F.coalesce(F.col("n") / (F.col("width") * F.col("height")), F.lit(0.0))
     cloud, dark = F.coalesce("cloud", F.lit(1.0)), F.coalesce("dark", F.lit(1.0))
     return scenes.select("scene_id", "width", "height").join(agg, "scene_id", "left").select(
-        "scene_id", F.bround(cov, 4).alias("coverage"), F.bround(cloud, 4).alias("cloud_fraction"),
-        F.bround(dark, 4).alias("dark_fraction"), F.bround(F.coalesce("mean", F.lit(0.0)), 4).alias("mean_brightness"),
-        F.bround(cov * (1 - cloud), 4).alias("clear_fraction"),
-        F.bround(cov * (1 - cloud) * (1 - dark), 4).alias("usable_fraction"))
+        "scene_id", half_even(cov, 4).alias("coverage"), half_even(cloud, 4).alias("cloud_fraction"),
+        half_even(dark, 4).alias("dark_fraction"), half_even(F.coalesce("mean", F.lit(0.0)), 4).alias("mean_brightness"),
+        half_even(cov * (1 - cloud), 4).alias("clear_fraction"),
+        half_even(cov * (1 - cloud) * (1 - dark), 4).alias("usable_fraction"))
 
 
 def usable_scenes(pixels: DataFrame, scenes: DataFrame, min_coverage: float = 0.02) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
+
 from ..functions.indices import clamp
 from ..session import materialise
 from .focal import lee_filter, local_texture
@@ -82,9 +84,9 @@ def fusion_stats(fused: DataFrame, pixel_km2: DataFrame) -> DataFrame:
                                   F.count("*").alias("valid_pixels"))
     union = F.col("agreement_pixels") + F.col("optical_only_pixels") + F.col("sar_only_pixels")
     out = agg.join(pixel_km2, KEY, "left").withColumn(
-        "iou", F.bround(F.when(union > 0, F.col("agreement_pixels") / union).otherwise(1.0), 4))
+        "iou", half_even(F.when(union > 0, F.col("agreement_pixels") / union).otherwise(1.0), 4))
     for n in ("optical_water", "sar_water", "fused_water"):
         out = out.withColumn(f"{n}_fraction", F.col(f"{n}_pixels") / F.col("valid_pixels"))
     for n in ("optical_water", "sar_water", "fused_water", "cloud_recovered"):
-        out = out.withColumn(f"{n}_km2", F.bround(F.col(f"{n}_pixels") * F.col("pixel_km2"), 4))
+        out = out.withColumn(f"{n}_km2", half_even(F.col(f"{n}_pixels") * F.col("pixel_km2"), 4))
     return out.drop("pixel_km2")

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_even
+
 from .. import fixed_values as V
 from ..functions.geo import bbox_area_km2
 from ..functions.text import fold_key
@@ -44,10 +46,9 @@ def place_keys(places: DataFrame) -> DataFrame:
     keyed = places.select("*", F.posexplode(F.concat(F.array("name"), F.col("aliases"))).alias("_pos", "_alias")).withColumn(
         "key", fold_key(F.col("_alias")))
     others = [c for c in places.columns if c != "aliases"]
-    last = F.struct("ord", "_pos")
+    seen = F.col("ord") * 1000 + F.col("_pos")
     return keyed.groupBy("key").agg(
-        F.min(last).alias("first_seen"), F.max_by(F.struct(*others), last).alias("p")
-    ).select("key", "first_seen", "p.*")
+        F.min(seen).alias("first_seen"), F.max_by(F.struct(*others), seen).alias("p")).select("key", "first_seen", "p.*")
 
 
 def scene_listing(scenes: DataFrame, pixels: DataFrame, bands: list[str]) -> DataFrame:
@@ -58,6 +59,6 @@ def scene_listing(scenes: DataFrame, pixels: DataFrame, bands: list[str]) -> Dat
         F.array_sort(F.array_compact(F.array(*present))).alias("bands"), valid.alias("valid_pixels"))
     return scenes.join(per_scene, "scene_id").withColumns({
         "band_count": F.size("bands"),
-        "valid_fraction": F.bround(F.col("valid_pixels") / (F.col("width") * F.col("height")), 4),
+        "valid_fraction": half_even(F.col("valid_pixels") / (F.col("width") * F.col("height")), 4),
         "georeferenced": F.col("west").isNotNull(),
     })

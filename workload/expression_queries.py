@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyframe.functions.numbers import half_even
+
 from skyframe import fixed_values as V
 from skyframe.functions import colour, geo, indices, text
 from skyframe.sources import scenes as scene_checks
@@ -177,7 +179,7 @@ FROM (SELECT *, list_filter(['nir', 'red'], lambda x: NOT list_contains(bands, x
 def p17(spark, sf_dir):
     out = scene_checks.check_scene(checked_scenes(pixels(spark, sf_dir)), ["nir", "red"])
     return out.select("scene_id", "compatible", F.array_join("missing_bands", ",").alias("missing_bands"),
-                      F.size("issues").alias("issues"), F.size("warnings").alias("warnings"), F.bround("valid_fraction", 4).alias("valid_fraction"))
+                      F.size("issues").alias("issues"), F.size("warnings").alias("warnings"), half_even("valid_fraction", 4).alias("valid_fraction"))
 
 
 @query("p18_capabilities", with_px(f"""

@@ -4,3 +4,4 @@ from . import landcover_queries  # noqa: F401
 from . import expression_queries  # noqa: F401
 from . import pairing_queries  # noqa: F401
 from . import spatial_queries  # noqa: F401
+from . import text_queries  # noqa: F401

@@ -38,10 +38,10 @@ LEE = [*GRID, *box_ctes("b5", "grid", "gray", 5, "symmetric"),
          SELECT *, greatest(q / 25 - (s / 25) * (s / 25), 0) AS lv FROM b5 JOIN grid USING (scene_id, r, c)) JOIN va USING (scene_id))"""]
 
 
-@query("w4_lee_filter", with_px("SELECT scene_id, r, c, round(filtered, 6) AS filtered FROM lee", *LEE))
+@query("w4_lee_filter", with_px("SELECT scene_id, r, c, filtered FROM lee", *LEE))
 def w4(spark, sf_dir):
     out = focal.lee_filter(radar_grid(spark, sf_dir), "gray")
-    return out.select("scene_id", "r", "c", F.round(F.round("filtered", 9), 6).alias("filtered"))
+    return out.select("scene_id", "r", "c", F.round("filtered", 9).alias("filtered"))
 
 
 TEX = [*LEE, *box_ctes("b7", "lee", "filtered", 7, "symmetric"),
@@ -49,10 +49,10 @@ TEX = [*LEE, *box_ctes("b7", "lee", "filtered", 7, "symmetric"),
          FROM b7 JOIN lee USING (scene_id, r, c))"""]
 
 
-@query("w5_local_texture", with_px("SELECT scene_id, r, c, round(texture, 7) AS texture FROM tex", *TEX))
+@query("w5_local_texture", with_px("SELECT scene_id, r, c, texture FROM tex", *TEX))
 def w5(spark, sf_dir):
     out = radar.backscatter_layers(radar_grid(spark, sf_dir))
-    return out.select("scene_id", "r", "c", F.round("texture", 7).alias("texture"))
+    return out.select("scene_id", "r", "c", "texture")
 
 
 PATCH = f"pt AS ({PATCHES_DUCK})"
