@@ -27,8 +27,8 @@ def sniff_format(head: Column) -> Column:
     return out
 
 
-def validate_files(files: DataFrame, max_mb: float = V.MAX_UPLOAD_MB) -> DataFrame:
-    """(path, status, reason) for rows of (path, length, content); the first failed check is reported."""
+def validate_files(files: DataFrame, max_mb: float = V.MAX_UPLOAD_MB, keep: list[str] | None = None) -> DataFrame:
+    """(path, status, reason, container) for rows of (path, length, content); the first failed check is reported."""
     ext, found = extension(F.col("path")), sniff_format(F.hex(F.substring("content", 1, 16)))
     reason = (
         F.when(~ext.isin(*V.SUPPORTED_EXTENSIONS), "unsupported extension")
@@ -37,7 +37,7 @@ def validate_files(files: DataFrame, max_mb: float = V.MAX_UPLOAD_MB) -> DataFra
         .when(F.col("length") > max_mb * 1024 * 1024, "over the size limit")
         .when(found.isNull(), "contents are not an image")
         .when(ext.isin(*V.TIFF_EXTENSIONS) & ~found.endswith("TIFF"), F.concat(F.lit("named TIFF but contains "), found)))
-    return files.select("path", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"),
+    return files.select("path", *(keep or []), F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"),
                         found.alias("container"))
 
 

@@ -7,3 +7,4 @@ from . import spatial_queries  # noqa: F401
 from . import text_queries  # noqa: F401
 from . import ingest_queries  # noqa: F401
 from . import tile_queries  # noqa: F401
+from . import analysis_queries  # noqa: F401
