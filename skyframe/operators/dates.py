@@ -48,21 +48,26 @@ def extract_dates(df: DataFrame, text: str, today: Column) -> DataFrame:
             F.array().cast(HIT))
 
     t, hits = F.col("_t"), F.col("_hits")
-    out = df.withColumn("_t", F.lower(F.col(text)))
-    out = out.withColumn("_hits", F.concat(
+    none = F.array().cast(HIT)
+    # one cheap look at the text decides which groups of rules can match at all
+    dated, seasonal, worded = F.col("_dated"), F.col("_seasonal"), F.col("_worded")
+    out = df.withColumn("_t", F.lower(F.col(text))).withColumns({
+        "_dated": t.rlike(r"(?:19|20)\d{2}"), "_seasonal": t.rlike("|".join(sorted({name.split("-")[-1].split()[-1] for name, _, _ in SEASONS}))),
+        "_worded": t.rlike("month|week|yesterday|today|year|ago|recent|now|current|latest")})
+    out = out.withColumn("_hits", F.when(~dated, none).otherwise(F.concat(
         _found(t, rf"\b{YEAR}-(\d{{1,2}})-(\d{{1,2}})\b", 3, lambda w, y, m, d: clamp(_day(y, m, d))),
         _found(t, rf"\b(\d{{1,2}})\s+{MONTH}\.?\s+{YEAR}\b", 3, lambda w, d, m, y: clamp(_day(y, _month_number(m), d))),
-        _found(t, rf"\b{MONTH}\.?\s+(\d{{1,2}}),?\s+{YEAR}\b", 3, lambda w, m, d, y: clamp(_day(y, _month_number(m), d)))))
+        _found(t, rf"\b{MONTH}\.?\s+(\d{{1,2}}),?\s+{YEAR}\b", 3, lambda w, m, d, y: clamp(_day(y, _month_number(m), d))))))
 
     month_year = F.array_distinct(_found(t, rf"\b{MONTH}\.?\s+{YEAR}\b", 2, lambda w, m, y: mid(y, _month_number(m))))
-    out = out.withColumn("_hits", F.concat(hits, F.filter(
-        month_year, lambda n: ~F.exists(hits, lambda h: F.contains(h["text"], n["text"])))))
+    out = out.withColumn("_hits", F.when(~dated, none).otherwise(F.concat(hits, F.filter(
+        month_year, lambda n: ~F.exists(hits, lambda h: F.contains(h["text"], n["text"]))))))
 
     # a bare month takes the last year named elsewhere in the sentence
     year = F.array_max(F.transform(hits, lambda h: F.year(h["d"])))
     bare = _found(t, rf"\b{MONTH}\.?\b(?!\s*\.?\s*(?:\d{{1,2}},?\s*)?(?:19|20)\d{{2}})", 1,
                   lambda w, m: mid(F.col("_year").cast("string"), _month_number(m)))
-    out = out.withColumn("_year", year).withColumn("_bare", F.when(F.size(hits) > 0, bare).otherwise(F.array().cast(HIT)))
+    out = out.withColumn("_year", year).withColumn("_bare", F.when(F.size(hits) > 0, bare).otherwise(none))
     months = F.transform("_bare", lambda h: F.trunc(h["d"], "month"))
     out = out.withColumn("_hits", F.concat(hits, F.filter("_bare", lambda n, i: (
         F.array_position(months, F.trunc(n["d"], "month")) == i + 1)
@@ -72,7 +77,7 @@ def extract_dates(df: DataFrame, text: str, today: Column) -> DataFrame:
         _found(t, rf"\b{name}\s+(?:of\s+)?{YEAR}\b", 1,
                lambda w, y, m=((a + b) // 2 if b >= a else 1): mid(y, F.lit(str(m))))
         for name, a, b in SEASONS]
-    out = out.withColumn("_hits", F.concat(hits, *seasons))
+    out = out.withColumn("_hits", F.when(dated & seasonal, F.concat(hits, *seasons)).otherwise(hits))
 
     def june(w: Column, y: Column) -> Column:
         y = y.cast("int")
@@ -80,15 +85,15 @@ def extract_dates(df: DataFrame, text: str, today: Column) -> DataFrame:
             y == F.year(today), clamp(F.date_sub(today, 30)))
 
     years = F.array_distinct(_found(t, rf"\b{YEAR}\b", 1, june))
-    out = out.withColumn("_hits", F.concat(hits, F.filter(
-        years, lambda n: ~F.exists(hits, lambda h: F.year(h["d"]) == n["text"].cast("int")))))
+    out = out.withColumn("_hits", F.when(~dated, hits).otherwise(F.concat(hits, F.filter(
+        years, lambda n: ~F.exists(hits, lambda h: F.year(h["d"]) == n["text"].cast("int"))))))
 
     ago = _found(t, r"\b(\d{1,2})\s+(year|month|week|day)s?\s+ago\b", 2, lambda w, n, unit: clamp(F.date_sub(
         today, n.cast("int") * F.element_at(F.create_map(*[F.lit(x) for kv in UNIT_DAYS.items() for x in kv]), unit))))
     relative = [one(t.rlike(pattern), days, F.lit(pattern)) for pattern, days in RELATIVE_DATES]
-    ordered = F.transform(F.concat(hits, *relative, ago), lambda h, i: F.struct(h["d"].alias("d"), i.alias("i"), h["text"].alias("text")))
+    ordered = F.transform(F.when(worded, F.concat(hits, *relative, ago)).otherwise(hits), lambda h, i: F.struct(h["d"].alias("d"), i.alias("i"), h["text"].alias("text")))
     out = out.withColumn("_all", F.array_sort(ordered))
     first = F.filter("_all", lambda h, i: (i == 0) | (h["d"] != F.get("_all", i - 1)["d"]))
     return out.withColumn("_all", first).withColumns({
         "dates": F.transform("_all", lambda h: h["d"]), "date_texts": F.transform("_all", lambda h: h["text"]),
-    }).drop("_t", "_hits", "_year", "_bare", "_all")
+    }).drop("_t", "_hits", "_year", "_bare", "_all", "_dated", "_seasonal", "_worded")

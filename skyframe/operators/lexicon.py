@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_even
 
 from .. import fixed_values as V
-from ..functions.text import fold_key, is_short_query, normalise_text
+from ..functions.text import fold_key, normalise_text
 from ..sources.catalog import place_keys
 from .dates import extract_dates
 
@@ -65,9 +65,9 @@ def classify_task(text: Column) -> Column:
 _BY_PRIORITY = sorted(V.EVENTS, key=lambda e: -e[-1])
 
 
-def detect_event(text: Column) -> Column:
-    """Key of the highest-priority phenomenon named."""
-    t = F.lower(normalise_text(text))
+def detect_event(normalised: Column) -> Column:
+    """Key of the highest-priority phenomenon named in a normalised, lower-case text."""
+    t = normalised
     out = F.lit(None).cast("string")
     for event in reversed(_BY_PRIORITY):
         out = F.when(t.rlike("|".join(f"(?:{p})" for p in event[2])), F.lit(event[0])).otherwise(out)
@@ -81,13 +81,13 @@ def event_field(key: Column, field: int) -> Column:
     return F.try_element_at(F.create_map(*[x for (k, _), v in zip(pairs, values) for x in (F.lit(k), v)]), key)
 
 
-def interpret(event: Column, text: Column, n_dates: Column) -> Column:
+def interpret(event: Column, normalised: Column, n_dates: Column) -> Column:
     """Task implied by phenomenon and action verb; NULL when neither is present.
 
     Two dates turn a phenomenon into a comparison, and an explicit action overrides
     it, except that locating never displaces a comparison or a series.
     """
-    t = F.lower(normalise_text(text))
+    t = normalised
     base = F.when((n_dates >= 2) & event_field(event, 4).isNotNull(), event_field(event, 4)).otherwise(event_field(event, 3))
     out = base
     for task, pattern, _ in reversed(V.ACTIONS):
@@ -98,9 +98,9 @@ def interpret(event: Column, text: Column, n_dates: Column) -> Column:
     return out
 
 
-def action_note(event: Column, text: Column, n_dates: Column) -> Column:
-    implied = interpret(event, text, n_dates)
-    t = F.lower(normalise_text(text))
+def action_note(event: Column, normalised: Column, n_dates: Column) -> Column:
+    implied = interpret(event, normalised, n_dates)
+    t = normalised
     out = F.lit(None).cast("string")
     for task, pattern, note in reversed(V.ACTIONS):
         out = F.when(t.rlike(pattern) & (implied == task), F.lit(note)).otherwise(out)
@@ -125,14 +125,19 @@ def resolve_place(questions: DataFrame, places: DataFrame, text: str = "text", k
 def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, text: str = "text",
                      key: str = "question_id") -> DataFrame:
     """One analysis plan per question (place, dates, task, classes, indices, modalities …)."""
-    out = extract_dates(questions, text, today)
-    t = F.col(text)
-    out = out.withColumns({"_task": classify_task(t), "event_key": detect_event(t), "_cls": match_classes(t)})
+    # pattern matching is the work here, so rows are spread before it; the place join
+    # below is on the same key and needs no further exchange of this side
+    width = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = extract_dates(questions.repartition(width, key).withColumn("normalised", normalise_text(F.col(text))), text, today)
+    t, low = F.col(text), F.lower("normalised")
+    out = out.withColumn("_low", low)
+    out = out.withColumns({"_task": classify_task(t), "event_key": detect_event(F.col("_low")), "_cls": match_classes(t)})
     n = F.size("dates")
-    implied = interpret(F.col("event_key"), t, n)
+    implied = interpret(F.col("event_key"), F.col("_low"), n)
     out = out.withColumns({"_implied": implied, "_idx": match_indices(t, F.col("_cls")), "_mod": match_modalities(t)})
     weak = F.col("_task.task").isin("caption", "vqa") & (F.col("_task.confidence") < 0.62)
-    take = F.col("_implied").isNotNull() & (weak | is_short_query(t))
+    short = (F.size(F.split("normalised", " ")) <= 5) & ~F.contains(t, F.lit("?"))
+    take = F.col("_implied").isNotNull() & (weak | short)
     none = F.array().cast("array<string>")
     event = F.col("event_key")
     out = out.withColumns({
@@ -159,9 +164,8 @@ def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, tex
             F.when(F.coalesce("unsupported", F.lit(False)), "out_of_scope_quantity"))),
         "confidence": half_even(F.least(
             F.col("_conf") + F.when(placed, 0.05).otherwise(0.0) + F.when(n > 0, 0.03).otherwise(0.0), F.lit(0.95)), 3),
-        "normalised": normalise_text(t),
     })
-    return out.withColumn("interpretation", restate()).drop("_task", "_cls", "_implied", "_idx", "_mod", "_conf")
+    return out.withColumn("interpretation", restate()).drop("_task", "_cls", "_implied", "_idx", "_mod", "_conf", "_low")
 
 
 def restate(uploaded: Column | None = None) -> Column:

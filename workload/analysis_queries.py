@@ -10,6 +10,7 @@ from skyframe.functions import geo
 from skyframe.operators import facts as fact_ops
 from skyframe.operators import pairing, quality
 from skyframe.operators.landcover import segment_landcover
+from skyframe.session import materialise
 from skyframe.plans import answers, change_analysis, landcover_report, regions, spectral, timeseries
 
 from .expression_queries import AREA
@@ -174,11 +175,12 @@ FQ = duck(FQ_SQL)
 def question_facts(spark, sf_dir):
     ag = spark.sql("WITH " + AGG_SQL + " SELECT * FROM ag", lineitem=table(spark, sf_dir, "lineitem"))
     f = fact_ops.to_facts(ag, [(c, k, label, u, None) for c, k, label, u in SPEC], "measured")
-    return f.withColumn("value_str", F.lit(None).cast("string"))
+    return materialise(f.withColumn("value_str", F.lit(None).cast("string")), "facts")
 
 
 def question_plans(spark, sf_dir):
-    return plans(spark, sf_dir).withColumnRenamed("question_id", "request_id")
+    """Annotated once and written, as the stages that answer and narrate would find them."""
+    return materialise(plans(spark, sf_dir).withColumnRenamed("question_id", "request_id"), "plans")
 
 
 @query("k4_top_classes", f"""WITH {FQ} SELECT request_id, replace(fact_key, '_fraction', '') AS class, value_num AS value, CAST(row_number() OVER (PARTITION BY request_id ORDER BY value_num DESC,

@@ -165,9 +165,9 @@ READ_SQL = f"""rd AS (SELECT *, CASE WHEN {ACT['change_detection']} THEN 'change
 
 @query("f8_detect_event", f"WITH {Q}, {TASK_SQL}, {DATE_CTES}, {READ_SQL} SELECT question_id, ev AS event, implied AS task FROM rd")
 def f8(spark, sf_dir):
-    t = F.col("text")
-    d = dates.extract_dates(questions(spark, sf_dir), "text", today()).withColumn("event", lexicon.detect_event(t))
-    return d.select("question_id", "event", lexicon.interpret(F.col("event"), t, F.size("dates")).alias("task"))
+    d = dates.extract_dates(questions(spark, sf_dir), "text", today()).withColumn("low", F.lower(T.normalise_text(F.col("text"))))
+    d = d.withColumn("event", lexicon.detect_event(F.col("low")))
+    return d.select("question_id", "event", lexicon.interpret(F.col("event"), F.col("low"), F.size("dates")).alias("task"))
 
 
 PLACE_SQL = f"""pl AS (SELECT question_id, n_name AS aoi, n_nationkey AS nk FROM (SELECT question_id, n_name, n_nationkey, row_number() OVER (
