@@ -10,7 +10,7 @@ from ..functions.numbers import half_even
 from ..fixed_values import CHANGE_THRESHOLD_FLOOR, CLASSES
 from ..functions.indices import index_expr
 from .otsu import otsu
-from .stats import exact_quantiles, histogram, melt
+from .stats import attach, exact_quantiles, histogram
 
 KEY = ["pair_id"]
 
@@ -27,7 +27,7 @@ def change_vector_analysis(pair: DataFrame, bands: list[str]) -> tuple[DataFrame
     measured = pair.withColumn("magnitude", change_magnitude(bands))
     cut = otsu(measured, KEY, "magnitude").select(
         *KEY, F.greatest("threshold", F.lit(CHANGE_THRESHOLD_FLOOR)).alias("threshold"), F.col("n").alias("co_observed"))
-    out = measured.join(cut.select(*KEY, "threshold"), KEY).withColumn("changed", F.col("magnitude") > F.col("threshold"))
+    out = attach(measured, cut.select(*KEY, "threshold"), KEY).withColumn("changed", F.col("magnitude") > F.col("threshold"))
     return out.drop("threshold"), cut
 
 
@@ -95,4 +95,4 @@ def delta_histogram(deltas: DataFrame, bins: int = 40) -> DataFrame:
 
 
 __all__ = ["change_magnitude", "change_vector_analysis", "class_deltas", "delta_histogram", "delta_stats", "index_deltas",
-           "melt", "transition_counts", "transition_matrix"]
+           "transition_counts", "transition_matrix"]

@@ -119,15 +119,18 @@ def pick_scene(scenes: DataFrame, preference=V.ROLE_PREFERENCE) -> DataFrame:
 def fact_map(facts: DataFrame, keys: list[str]) -> DataFrame:
     """(request_id, vals, texts, n_facts): wanted facts as maps.
 
-    ``keys`` is a fixed vocabulary and keys are unique per request, so a map stays
-    small however many facts one request has; the count is a plain aggregate.
+    Facts are first reduced to one row per (request, key), combining before the
+    shuffle. ``keys`` is a fixed vocabulary, so the maps stay small however many rows
+    one request has.
     """
     wanted = F.col("fact_key").isin(*keys)
-    def entries(value: Column, present: Column) -> Column:
-        return F.map_from_entries(F.collect_list(F.when(present, F.struct(F.col("fact_key"), value))))
-    return facts.groupBy(REQ).agg(
-        entries(F.col("value_num"), wanted & F.col("value_num").isNotNull()).alias("vals"),
-        entries(F.col("value_str"), wanted & F.col("value_str").isNotNull()).alias("texts"), F.count("*").alias("n_facts"))
+    single = facts.groupBy(REQ, "fact_key").agg(F.max_by(F.struct("value_num", "value_str"), "ord").alias("v"))
+
+    def entries(value: str) -> Column:
+        present = wanted & F.col(value).isNotNull()
+        return F.map_from_entries(F.collect_list(F.when(present, F.struct(F.col("fact_key"), F.col(value)))))
+
+    return single.groupBy(REQ).agg(entries("v.value_num").alias("vals"), entries("v.value_str").alias("texts"), F.count("*").alias("n_facts"))
 
 
 # ------------------------------------------------------------------- parameters

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import attach
+
 IMAGE = ["scene_id"]
 
 
@@ -38,17 +40,21 @@ def _with_halo(df: DataFrame, axis: str, size: str, half: int, edge: str | None)
     return df.selectExpr(*others, f"explode({places}) AS {axis}")
 
 
-def box_sums(df: DataFrame, values: dict[str, str], k: int, edge: str | None, key: list[str] | None = None,
+def box_sums(df: DataFrame, values: dict[str, tuple[str, int]], edge: str | None, key: list[str] | None = None,
              across_first: bool = False) -> DataFrame:
-    """Sums of the value expressions over the k x k box, as columns; needs width and height."""
-    key, half = key or IMAGE, k // 2
-    out = df.selectExpr("*", *[f"double({expr}) AS {name}" for name, expr in values.items()])
+    """Sums over square boxes as columns: name -> (expression, side); needs width and height.
+
+    Boxes of several sides share the halo of the largest and the two sorts.
+    """
+    key = key or IMAGE
+    half = {name: k // 2 for name, (_, k) in values.items()}
+    out = df.selectExpr("*", *[f"double({expr}) AS {name}" for name, (expr, _) in values.items()])
     passes = [("r", "c", "height"), ("c", "r", "width")]
     for along, fixed, size in reversed(passes) if across_first else passes:
-        out = _with_halo(out, along, size, half, edge)
-        over = f"OVER (PARTITION BY {', '.join(key)}, {fixed} ORDER BY {along} RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+        out = _with_halo(out, along, size, max(half.values()), edge)
+        frame = f"OVER (PARTITION BY {', '.join(key)}, {fixed} ORDER BY {along} RANGE BETWEEN {{h}} PRECEDING AND {{h}} FOLLOWING)"
         others = [c for c in out.columns if c not in values]
-        out = out.selectExpr(*others, *[f"sum({name}) {over} AS {name}" for name in values])
+        out = out.selectExpr(*others, *[f"sum({name}) {frame.format(h=h)} AS {name}" for name, h in half.items()])
         if edge is not None:
             out = out.where(f"{along} >= 0 AND {along} < {size}")
     return out
@@ -56,36 +62,40 @@ def box_sums(df: DataFrame, values: dict[str, str], k: int, edge: str | None, ke
 
 def box_mean(df: DataFrame, value: str, k: int, out: str, edge: str = "symmetric", key: list[str] | None = None) -> DataFrame:
     n = float(k * k)
-    summed = box_sums(df, {"_s": value}, k, edge, key)
+    summed = box_sums(df, {"_s": (value, k)}, edge, key)
     return summed.withColumn(out, F.col("_s") / n).drop("_s")
 
 
-def local_moments(df: DataFrame, value: str, k: int, edge: str, key: list[str] | None = None) -> DataFrame:
-    """Adds _m (box mean) and _var (box variance, never negative)."""
-    n = float(k * k)
-    summed = box_sums(df, {"_s": value, "_q": f"{value} * {value}"}, k, edge, key)
-    others = [c for c in summed.columns if c not in ("_s", "_q")]
-    return summed.selectExpr(*others, f"_s / {n}D AS _m", f"greatest(_q / {n}D - (_s / {n}D) * (_s / {n}D), 0D) AS _var")
+def local_moments(df: DataFrame, value: str, sides: dict[str, int], edge: str, key: list[str] | None = None) -> DataFrame:
+    """Adds <name>_m (box mean) and <name>_var (box variance, never negative) per side."""
+    square = f"{value} * {value}"
+    summed = box_sums(df, {f"{n}_{p}": (e, k) for n, k in sides.items() for p, e in (("s", value), ("q", square))}, edge, key)
+    parts = []
+    for n, k in sides.items():
+        area = f"{float(k * k)}D"
+        parts += [f"{n}_s / {area} AS {n}_m", f"greatest({n}_q / {area} - ({n}_s / {area}) * ({n}_s / {area}), 0D) AS {n}_var"]
+    return summed.selectExpr(*df.columns, *parts)
 
 
 def lee_filter(df: DataFrame, value: str, out: str = "filtered", k: int = 5, key: list[str] | None = None) -> DataFrame:
     """Adaptive speckle filter; the scene variance covers every cell of the image."""
     key = key or IMAGE
     whole = df.groupBy(*key).agg(F.var_pop(value).alias("_all"))
-    local = local_moments(df, value, k, "symmetric", key).join(whole, key)
+    local = attach(local_moments(df, value, {"_": k}, "symmetric", key), whole, key).withColumnsRenamed({"__m": "_m", "__var": "_var"})
     weight = F.col("_var") / F.greatest(F.col("_var") + F.col("_all"), F.lit(1e-6))
     return local.withColumn(out, F.col("_m") + weight * (F.col(value) - F.col("_m"))).drop("_m", "_var", "_all")
 
 
 def local_texture(df: DataFrame, value: str, out: str = "texture", k: int = 7, key: list[str] | None = None) -> DataFrame:
     """Local coefficient of variation."""
-    local = local_moments(df, value, k, "symmetric", key)
-    return local.withColumn(out, F.sqrt("_var") / F.greatest("_m", F.lit(1e-6))).drop("_m", "_var")
+    local = local_moments(df, value, {"_": k}, "symmetric", key)
+    return local.withColumn(out, F.sqrt("__var") / F.greatest("__m", F.lit(1e-6))).drop("__m", "__var")
 
 
-def local_std(df: DataFrame, value: str, out: str, k: int, key: list[str] | None = None) -> DataFrame:
-    """Box standard deviation with mirrored borders that do not repeat the edge."""
-    return local_moments(df, value, k, "reflect", key).withColumn(out, F.sqrt("_var")).drop("_m", "_var")
+def local_std(df: DataFrame, value: str, sides: dict[str, int], key: list[str] | None = None) -> DataFrame:
+    """Box standard deviations (name -> side) with mirrored borders that do not repeat the edge."""
+    local = local_moments(df, value, sides, "reflect", key)
+    return local.select(*df.columns, *[F.sqrt(f"{n}_var").alias(n) for n in sides])
 
 
 def gradient(df: DataFrame, value: str, key: list[str] | None = None) -> DataFrame:
@@ -108,11 +118,11 @@ def morphology(df: DataFrame, mask: str, radius: int = 1, key: list[str] | None
     each shuffle serves two windows.
     """
     def grow(x: DataFrame, rows_first: bool) -> DataFrame:
-        return box_sums(x, {"_on": "int(_m)"}, 2 * radius + 1, None, key, rows_first).withColumn("_m", F.col("_on") > 0).drop("_on")
+        return box_sums(x, {"_on": ("int(_m)", 2 * radius + 1)}, None, key, rows_first).withColumn("_m", F.col("_on") > 0).drop("_on")
 
     def shrink(x: DataFrame, rows_first: bool) -> DataFrame:
         side = 4 * radius + 1
-        return box_sums(x, {"_on": "int(_m)"}, side, None, key, rows_first).withColumn(
+        return box_sums(x, {"_on": ("int(_m)", side)}, None, key, rows_first).withColumn(
             "_m", F.col("_on") == side * side).drop("_on")
 
     out = df.withColumn("_m", F.coalesce(F.col(mask), F.lit(False)))

@@ -15,7 +15,7 @@ from ..fixed_values import (BIMODALITY_MIN, BUILTUP_GAP_MIN, BUILTUP_SEPARABILIT
 from ..functions.indices import clamp, index_expr, nd, rgb_mean, saturation
 from ..session import materialise
 from .otsu import otsu
-from .stats import exact_quantiles, melt, wide
+from .stats import attach, exact_quantiles, melt, wide
 
 KEY = ["scene_id"]
 
@@ -69,12 +69,12 @@ def multispectral_thresholds(px: DataFrame, adaptive: bool = True) -> DataFrame:
     # scenes whose near-infrared has one mode are confirmed against its darkest 35 %
     single = cuts.where(F.col("nir_eta") < BIMODALITY_MIN).select(*KEY)
     dark = exact_quantiles(
-        layered.where(~F.col("is_cloud")).join(single, KEY, "left_semi"), KEY, "nir", {"p35": 0.35})
+        attach(layered.where(~F.col("is_cloud")).select(*KEY, "nir"), single, KEY), KEY, "nir", {"p35": 0.35})
     cuts = materialise(
         cuts.join(dark, KEY, "left")
         .withColumn("nir_cut", F.coalesce("p35", "nir_threshold")).drop("p35", "nir_threshold"), "nir-cuts")
 
-    land = layered.select(*KEY, "is_cloud", "water_index", "ndvi", "ndbi", "nir").join(cuts, KEY)
+    land = attach(layered.select(*KEY, "is_cloud", "water_index", "ndvi", "ndbi", "nir"), cuts, KEY)
     land = land.where(~F.col("is_cloud") & ~_is_water()).select(*KEY, "ndvi", "ndbi")
     if adaptive:
         vegetation = _cuts(land, {"land": F.col("ndvi")})
@@ -86,7 +86,7 @@ def multispectral_thresholds(px: DataFrame, adaptive: bool = True) -> DataFrame:
         vegetation = land.select(*KEY).distinct().select(*KEY, F.lit(0.15).alias("t_veg"), F.lit(False).alias("split_veg"))
     cuts = materialise(cuts.join(vegetation, KEY, "left"), "vegetation-cuts")
 
-    cover = land.join(cuts.select(*KEY, "t_veg", "split_veg"), KEY)
+    cover = attach(land, cuts.select(*KEY, "t_veg", "split_veg"), KEY)
     low = F.col("ndvi") < F.col("t_veg")
     third = _cuts(cover, {
         "veg": F.when(F.col("split_veg") & ~low, F.col("ndvi")),
@@ -101,7 +101,7 @@ def multispectral_thresholds(px: DataFrame, adaptive: bool = True) -> DataFrame:
             F.when(F.col("low_n") > 256, F.col("low_eta")).alias("eta_built")), "dense-cuts")
 
     sides = (
-        cover.where(low).join(cuts.where(F.col("t_built").isNotNull()).select(*KEY, "t_built"), KEY)
+        attach(cover.where(low), cuts.where(F.col("t_built").isNotNull()).select(*KEY, "t_built"), KEY)
         .groupBy(*KEY).agg(
             F.avg(F.when(F.col("ndbi") >= F.col("t_built"), F.col("ndbi"))).alias("_hi"),
             F.avg(F.when(F.col("ndbi") < F.col("t_built"), F.col("ndbi"))).alias("_lo")))
@@ -129,7 +129,7 @@ def apply_multispectral(px: DataFrame, cuts: DataFrame) -> DataFrame:
         F.when(F.col("is_cloud"), "cloud_or_snow").when(_is_water(), "water")
         .otherwise(_vegetation_class("ndvi", low))
     )
-    return with_layers(px).join(cuts, KEY).withColumn("class", label).select(*px.columns, "class")
+    return attach(with_layers(px), cuts, KEY).withColumn("class", label).select(*px.columns, "class")
 
 
 def _rgb_layers(px: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def rgb_thresholds(px: DataFrame, adaptive: bool = True) -> DataFrame:
         cuts = scenes.select(*KEY, none.alias("t_water"), none.alias("eta_water"), none.alias("dark_cut"))
     cuts = materialise(cuts, "rgb-water-cuts")
 
-    land = clear.join(cuts, KEY).where(~_rgb_water()).select(*KEY, "vari", "brightness")
+    land = attach(clear, cuts, KEY).where(~_rgb_water()).select(*KEY, "vari", "brightness")
     first = _cuts(land, {"land": F.col("vari")})
     big = F.coalesce(F.col("land_n") > 256, F.lit(False)) & F.lit(adaptive)
     cuts = materialise(
@@ -167,7 +167,7 @@ def rgb_thresholds(px: DataFrame, adaptive: bool = True) -> DataFrame:
             *cuts.columns, F.when(big, clamp(F.col("land_threshold"), 0.02, 0.45)).otherwise(0.05).alias("t_veg"),
             big.alias("split_veg")), "rgb-vegetation-cuts")
 
-    cover = land.join(cuts.select(*KEY, "t_veg", "split_veg"), KEY)
+    cover = attach(land, cuts.select(*KEY, "t_veg", "split_veg"), KEY)
     low = F.col("vari") < F.col("t_veg")
     second = _cuts(cover, {
         "veg": F.when(F.col("split_veg") & ~low, F.col("vari")),
@@ -182,7 +182,7 @@ def rgb_thresholds(px: DataFrame, adaptive: bool = True) -> DataFrame:
             F.when(tried, F.col("low_eta")).alias("eta_built")), "rgb-dense-cuts")
 
     sides = (
-        cover.where(low).join(cuts.where(F.col("t_built").isNotNull()).select(*KEY, "t_built"), KEY)
+        attach(cover.where(low), cuts.where(F.col("t_built").isNotNull()).select(*KEY, "t_built"), KEY)
         .groupBy(*KEY).agg(
             F.avg(F.when(F.col("brightness") >= F.col("t_built"), F.col("brightness"))).alias("_hi"),
             F.avg(F.when(F.col("brightness") < F.col("t_built"), F.col("brightness"))).alias("_lo")))
@@ -200,7 +200,7 @@ def apply_rgb(px: DataFrame, cuts: DataFrame) -> DataFrame:
         F.when(F.col("is_cloud"), "cloud_or_snow").when(_rgb_water(), "water")
         .otherwise(_vegetation_class("vari", low))
     )
-    return _rgb_layers(px).join(cuts, KEY).withColumn("class", label).select(*px.columns, "class")
+    return attach(_rgb_layers(px), cuts, KEY).withColumn("class", label).select(*px.columns, "class")
 
 
 def segment_landcover(px: DataFrame, adaptive: bool = True, visible_only: bool = False) -> tuple[DataFrame, DataFrame]:

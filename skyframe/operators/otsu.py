@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import OTSU_BINS, OTSU_MIN_VALUES
-from .stats import usable
+from .stats import attach, usable
 
 
 def cumulative_histogram(binned: DataFrame, by: list[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def otsu(df: DataFrame, by: list[str], value: str, bins: int = OTSU_BINS) -> Dat
                                  F.expr("count(1) AS _n"), F.expr("var_pop(_v) AS _var"))
     small, flat = f"_n < {OTSU_MIN_VALUES}", "_hi - _lo < 1e-9"
     binned = (
-        rows.join(span, by)
+        attach(rows, span, by)
         # at most 15 values of a small group keep their identity, for the median
         .selectExpr(
             *by, "_lo", "_hi", "_n", "_var", f"CASE WHEN {small} THEN _v END AS _small",

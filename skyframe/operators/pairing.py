@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even
+from .stats import attach
 
 from ..functions.geo import corner_offset
 
@@ -21,8 +22,8 @@ def co_observe(pixels: DataFrame, pairs: DataFrame, values: list[str], first: st
         if "valid" in px.columns:
             px = px.where("valid")
         ids = pairs.select("pair_id", F.col(member).alias("scene_id"))
-        return px.select("scene_id", "r", "c", *[F.col(v).alias(prefix + v) for v in values]).join(
-            ids, "scene_id").drop("scene_id")
+        cells = px.select("scene_id", "r", "c", *[F.col(v).alias(prefix + v) for v in values])
+        return attach(cells, ids, ["scene_id"]).drop("scene_id")
 
     return side(pixels, "first_id", first).join(
         side(pixels if other is None else other, "second_id", second), ["pair_id", "r", "c"])

@@ -11,7 +11,7 @@ from ..functions.indices import clamp
 from ..session import materialise
 from .focal import lee_filter, local_texture
 from .otsu import otsu
-from .stats import exact_quantiles, melt, wide
+from .stats import attach, exact_quantiles, melt, wide
 
 KEY = ["scene_id"]
 DIGITS = 9  # layers are rounded here, so that sums taken in any order rank alike
@@ -39,17 +39,17 @@ def sar_segment(grid: DataFrame, despeckle: bool = True, builtup_percentile: flo
         backscatter_layers(grid, despeckle=despeckle).where("valid").select(*KEY, "r", "c", "filtered", "texture"), "radar-layers")
     water_cut = otsu(layers, KEY, "filtered").select(*KEY, clamp(F.col("threshold"), 0.06, 0.42).alias("t_water"))
     cuts = materialise(water_cut, "radar-water")
-    marked = layers.join(cuts, KEY).withColumn("water", F.col("filtered") < F.col("t_water"))
+    marked = attach(layers, cuts, KEY).withColumn("water", F.col("filtered") < F.col("t_water"))
 
     land = melt(marked.where("NOT water"), KEY, {"filtered": F.col("filtered"), "texture": F.col("texture")})
     spread = wide(exact_quantiles(land, [*KEY, "metric"], "v", {"p02": 0.02, "p98": 0.98}), KEY, "metric",
                   ["filtered", "texture"], ["p02", "p98"])
     cuts = materialise(cuts.join(spread, KEY, "left"), "radar-spread")
-    scored = layers.join(cuts, KEY).withColumn("water", F.col("filtered") < F.col("t_water")).withColumn(
+    scored = attach(layers, cuts, KEY).withColumn("water", F.col("filtered") < F.col("t_water")).withColumn(
         "score", F.round(0.5 * _stretched("filtered") + 0.5 * _stretched("texture"), DIGITS))
     built = exact_quantiles(scored.where("NOT water"), KEY, "score", {"t_built": builtup_percentile / 100.0}, 4096.0)
     cuts = materialise(cuts.join(built, KEY, "left").withColumn("t_built", F.coalesce("t_built", F.lit(1.0))), "radar-cuts")
-    out = scored.join(cuts.select(*KEY, "t_built"), KEY).withColumn(
+    out = attach(scored, cuts.select(*KEY, "t_built"), KEY).withColumn(
         "built_up", ~F.col("water") & F.coalesce(F.col("score") > F.col("t_built"), F.lit(False)))
     return out.select(*KEY, "r", "c", "filtered", "texture", "score", "water", "built_up"), cuts
 

@@ -25,6 +25,22 @@ def melt(df: DataFrame, keys: list[str], metrics: dict[str, Column], name="metri
     return long.where(usable(F.col(value)))
 
 
+SALTS = 16
+
+
+def attach(rows: DataFrame, per_key: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Give every row the columns of its key.
+
+    Catalyst broadcasts ``per_key`` when its measured size allows. Beyond that the
+    join must shuffle the rows, so each key is spread over ``SALTS`` tasks by the
+    input partition of the row (stable when a task is retried), and the aggregates
+    that follow combine before their own shuffle instead of inheriting a hot key.
+    """
+    spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.expr(f"pmod(spark_partition_id(), {SALTS})"))
+    return salted.join(spread, [*by, "_salt"], how).drop("_salt")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
                     resolution: float = 1024.0) -> DataFrame:
     """Linear-interpolation quantiles per key, exact at any group size.
@@ -48,7 +64,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         .where("_rank >= _before AND _rank < _upto")
         .groupBy(*by, "_b", "_before").agg(F.expr("collect_list(struct(_q, _up, _rank, _t)) AS _targets")))
     found = (
-        rows.join(targets, [*by, "_b"])
+        attach(rows, targets, [*by, "_b"])
         .groupBy(*by, "_b", "_v", "_before", "_targets").agg(F.expr("count(1) AS _n"))
         .selectExpr(*by, "_v", "_n", "_targets", "_before + sum(_n) OVER (PARTITION BY "
                     f"{key}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _end")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import rgb_proxies
 from .focal import gradient, local_std
-from .stats import usable
+from .stats import attach, usable
 
 TILE = ["tile_id"]
 CHANNELS = ("red", "green", "blue")
@@ -32,7 +32,7 @@ def tile_pixels(pixels: DataFrame, scenes: DataFrame, tile: int = 64, stride: in
                 f"o -> o <= {axis} AND o + {tile} > {axis} AND o + {tile} <= {size}))")
 
     others = [c for c in pixels.columns]
-    out = pixels.join(grid, "scene_id").selectExpr(*others, "width", "height", f"{origins('r', 'height')} AS tile_r")
+    out = attach(pixels, grid, ["scene_id"]).selectExpr(*others, "width", "height", f"{origins('r', 'height')} AS tile_r")
     return out.selectExpr(*others, "tile_r", f"{origins('c', 'width')} AS tile_c")
 
 
@@ -47,11 +47,16 @@ def sample_evenly(tiles: DataFrame, limit: int = 900) -> DataFrame:
     """At most ``limit`` tiles per scene at evenly spaced positions in raster order.
 
     Position k is kept when some i in 0..limit-1 has floor(i (n-1) / (limit-1)) = k.
+    Positions come from the counts of the tile rows above, so no window is longer
+    than one side of the scene.
     """
-    over = "OVER (PARTITION BY scene_id"
-    numbered = tiles.selectExpr("*", f"row_number() {over} ORDER BY tile_r, tile_c) - 1 AS _k", f"count(1) {over}) AS _n")
+    rows = tiles.groupBy("scene_id", "tile_r").agg(F.count("*").alias("_row")).selectExpr(
+        "scene_id", "tile_r", "sum(_row) OVER (PARTITION BY scene_id ORDER BY tile_r ROWS UNBOUNDED PRECEDING) - _row AS _above",
+        "sum(_row) OVER (PARTITION BY scene_id) AS _n")
+    numbered = tiles.selectExpr("*", "row_number() OVER (PARTITION BY scene_id, tile_r ORDER BY tile_c) - 1 AS _i").join(
+        rows, ["scene_id", "tile_r"]).withColumn("_k", F.col("_above") + F.col("_i"))
     step = f"bigint(ceil(_k * {limit - 1} / (_n - 1)))"
-    return numbered.where(f"_n <= {limit} OR bigint(floor({step} * (_n - 1) / {limit - 1})) = _k").drop("_k", "_n")
+    return numbered.where(f"_n <= {limit} OR bigint(floor({step} * (_n - 1) / {limit - 1})) = _k").drop("_k", "_n", "_i", "_above")
 
 
 def channel_rows(patches: DataFrame) -> DataFrame:
@@ -77,10 +82,12 @@ def patch_moments(rows: DataFrame, by: list[str]) -> DataFrame:
         *[F.get("_p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((5, 25, 50, 75, 95))])
 
 
-def texture_stats(gray: DataFrame, k: int) -> DataFrame:
-    """Mean, std and 90th percentile of the local deviation in k x k boxes; needs width, height."""
-    local = local_std(gray, "gray", "ls", k, TILE)
-    return local.groupBy(*TILE).agg(F.avg("ls").alias("mean"), F.stddev_pop("ls").alias("std"), F.expr("percentile(ls, 0.9D)").alias("p90"))
+def texture_stats(gray: DataFrame, sides: tuple[int, ...] = (3, 7, 15)) -> DataFrame:
+    """texstd<k>_mean, _std and _p90 of the local deviation in k x k boxes; needs width, height."""
+    local = local_std(gray, "gray", {f"ls{k}": k for k in sides}, TILE)
+    return local.groupBy(*TILE).agg(*[
+        agg.alias(f"texstd{k}_{name}") for k in sides for name, agg in (
+            ("mean", F.avg(f"ls{k}")), ("std", F.stddev_pop(f"ls{k}")), ("p90", F.expr(f"percentile(ls{k}, 0.9D)")))])
 
 
 def gradient_stats(gray: DataFrame, edge: float = 0.06) -> DataFrame:
@@ -146,7 +153,7 @@ def patch_features(patches: DataFrame) -> DataFrame:
         return df.select(*TILE, F.inline(cells))
 
     parts = [long(patch_moments(channel_rows(px), [*TILE, "channel"]), "concat(channel, '_', {v})", list(MOMENTS))]
-    parts += [long(texture_stats(gray, k), f"concat('texstd{k}_', {{v}})", ["mean", "std", "p90"]) for k in (3, 7, 15)]
+    parts.append(long(texture_stats(gray), "{v}", [f"texstd{k}_{n}" for k in (3, 7, 15) for n in ("mean", "std", "p90")]))
     parts.append(long(gradient_stats(gray), "{v}", ["grad_mean", "grad_std", "grad_p95", "edge_density"]))
     parts.append(long(channel_histogram(px), "concat('hist_', channel, '_', bin)", ["share"]))
     parts.append(long(layout_grid(px, list(CHANNELS)), "concat('grid', gi, gj, '_', {v})", list(CHANNELS)))

@@ -11,6 +11,7 @@ from ..functions.indices import index_expr
 from ..operators import change, pairing
 from ..operators.facts import to_facts
 from ..operators.landcover import segment_landcover
+from ..operators.stats import attach
 from ..session import materialise
 from .regions import change_regions
 
@@ -33,9 +34,9 @@ def change_analysis(pixels: DataFrame, pairs: DataFrame, scenes: DataFrame, band
     kept = pairing.coverage_gate(overlap, "overlap", min_overlap, 0.5)
     both = both.join(kept.select(*KEY), KEY, "left_semi")
 
-    measured, cuts = change.change_vector_analysis(both, bands)
+    _, cuts = change.change_vector_analysis(both, bands)
     cuts = materialise(cuts, "change-cuts")
-    measured = both.withColumn("magnitude", change.change_magnitude(bands)).join(cuts, KEY).withColumn(
+    measured = attach(both.withColumn("magnitude", change.change_magnitude(bands)), cuts, KEY).withColumn(
         "changed", F.col("magnitude") > F.col("threshold"))
 
     def dated(prefix: str, mark: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import INDEX_BANDS
 from ..functions.indices import index_expr, substitute_indices
 from ..operators.facts import to_facts
-from ..operators.stats import histogram, index_stats, melt
+from ..operators.stats import attach, histogram, index_stats, melt
 
 BY = ["scene_id", "metric"]
 STATS = (("mean", "mean"), ("median", "median"), ("std", "standard deviation"), ("min", "minimum"), ("max", "maximum"),
@@ -27,7 +27,7 @@ def spectral_index(pixels: DataFrame, requested: Column, bins: int = 40) -> dict
     chosen = substitute_indices(F.col("requested"), F.col("bands"))
     plan = plan.select("scene_id", *[v.alias(k) for k, v in chosen.items()])
     usable_names = {k: index_expr(k) for k, need in INDEX_BANDS.items() if set(need) <= set(bands)}
-    wanted = pixels.join(plan.select("scene_id", "computed"), "scene_id")
+    wanted = attach(pixels, plan.select("scene_id", "computed"), ["scene_id"])
     long = melt(wanted, ["scene_id"], {k: F.when(F.array_contains("computed", k), v) for k, v in usable_names.items()})
     stats = index_stats(long, BY, "v")
     facts = to_facts(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..operators.stats import exact_quantiles, usable
+from ..operators.stats import attach, exact_quantiles, usable
 
 
 def band_presets(spark: SparkSession) -> DataFrame:
@@ -34,11 +34,11 @@ def normalise_bands(values: DataFrame, by: list[str], value: str = "v") -> DataF
     v = F.col(value)
     span = values.where(usable(v)).groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     byte = (F.col("_lo") >= 0) & (F.col("_hi") <= 255) & (F.col("_hi") > 1.5)
-    rows = values.where(usable(v)).join(span.withColumn("_byte", byte), by)
+    rows = attach(values.where(usable(v)), span.withColumn("_byte", byte), by)
     flat = F.col("_hi") - F.col("_lo") < 1e-9
     unit = F.when(flat, 0.0).otherwise((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     stretch = exact_quantiles(rows.where("NOT _byte").withColumn("_u", unit), by, "_u", {"_p02": 0.02, "_p98": 0.98})
-    out = rows.withColumn("_u", unit).join(stretch, by, "left")
+    out = attach(rows.withColumn("_u", unit), stretch, by, "left")
     range_ = F.col("_p98") - F.col("_p02")
     # the percentile range is compared in the units of the data
     dead = flat | (range_ * (F.col("_hi") - F.col("_lo")) < 1e-9)
@@ -54,5 +54,5 @@ def decimate(pixels: DataFrame, scenes: DataFrame, values: list[str], max_side:
         "scene_id", F.ceil(F.greatest("width", "height") / max_side).cast("int").alias("factor"), "width", "height")
     block = [F.expr(f"int({axis} div factor) AS {axis}") for axis in ("r", "c")]
     return (
-        pixels.join(grid, "scene_id").where(F.expr("r div factor < height div factor AND c div factor < width div factor"))
+        attach(pixels, grid, ["scene_id"]).where(F.expr("r div factor < height div factor AND c div factor < width div factor"))
         .groupBy("scene_id", "factor", *block).agg(*[F.avg(v).alias(v) for v in values]))

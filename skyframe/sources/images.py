@@ -44,7 +44,8 @@ def validate_files(files: DataFrame, max_mb: float = V.MAX_UPLOAD_MB, keep: list
 def _explode_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decoded rasters to one row per pixel, a bounded block of image rows at a time."""
     for batch in batches:
-        for image in batch.to_pylist():
+        for i in range(batch.num_rows):
+            image = batch.slice(i, 1).to_pylist()[0]
             h, w, n = image["height"], image["width"], image["nChannels"]
             if h <= 0:
                 continue

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -47,19 +47,26 @@ def write_geojson(regions: DataFrame, label: str, path: str) -> None:
 
 
 def request_records(plans: DataFrame, trace: DataFrame, facts: DataFrame, provenance: DataFrame, grounding: DataFrame,
-                    by: str = "request_id") -> DataFrame:
-    """One nested record per request, children in order.
+                    by: str = "request_id", part_size: int = 10_000) -> DataFrame:
+    """Nested records of each request, children in order.
 
-    Each child table is combined per request before the joins; child lists are what
-    the record consists of, and requests are independent of each other.
+    A record takes the children whose position lies in one span of ``part_size``; a
+    request with more continues in further numbered parts, so no list grows with the
+    request. Plan and verdict come with every part.
     """
-    def nest(df: DataFrame, order: str, name: str) -> DataFrame:
-        others = [c for c in df.columns if c not in (by, order)]
-        return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(name))
+    children = [(trace, "step", "execution_trace"), (facts, "ord", "facts"), (provenance, "ord", "provenance")]
+    part = [F.floor(F.col(order) / part_size).alias("part") for _, order, _ in children]
 
-    out = plans.select(by, F.struct(*[c for c in plans.columns if c != by]).alias("plan"))
-    for child, order, name in ((trace, "step", "execution_trace"), (facts, "ord", "facts"), (provenance, "ord", "provenance")):
-        out = out.join(nest(child, order, name), by, "left")
+    def nest(df: DataFrame, order: str, name: str, at: Column) -> DataFrame:
+        others = [c for c in df.columns if c not in (by, order)]
+        return df.select("*", at).groupBy(by, "part").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(name))
+
+    out = plans.select(by, F.lit(0).cast("bigint").alias("part"))
+    for (df, _, _), at in zip(children, part):
+        out = out.unionByName(df.select(by, at))
+    out = out.distinct().join(plans.select(by, F.struct(*[c for c in plans.columns if c != by]).alias("plan")), by)
+    for (df, order, name), at in zip(children, part):
+        out = out.join(nest(df, order, name, at), [by, "part"], "left")
     verdict = grounding.select(by, F.struct(*[c for c in grounding.columns if c != by]).alias("grounding"))
     return out.join(verdict, by, "left")
 

@@ -32,7 +32,7 @@ def test_box_mean_repeats_the_edge(spark, k):
 @pytest.mark.parametrize("k", [3, 7, 15])
 def test_local_std_reflects_without_repeating(spark, k):
     a = RNG.random((16, 11))
-    out = focal.local_std(sized(raster(spark, {"v": a}), 16, 11), "v", "sd", k)
+    out = focal.local_std(sized(raster(spark, {"v": a}), 16, 11), "v", {"sd": k, "other": 5})
     assert np.allclose(grid(out, "sd", a.shape), padded_box(a, k, "reflect").std((2, 3)), atol=1e-7)
 
 

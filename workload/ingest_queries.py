@@ -197,7 +197,7 @@ def s14(spark, sf_dir):
     n = fx_narrations(spark, sf_dir).withColumn("narrator", F.lit("template"))
     f = fx_facts(spark, sf_dir)
     report = grounding.verify_narrations(n, f, provenance(spark, sf_dir))
-    tr = trace(spark, sf_dir).withColumn("step", F.unix_micros(F.col("ts").cast("timestamp")))
+    tr = trace(spark, sf_dir)
     pv = provenance(spark, sf_dir).withColumn("ord", F.lit(0))
     rec = sinks.request_records(n.select("request_id", "narrator"), tr, f, pv, report)
-    return rec.select("request_id", F.to_json(F.struct("plan", "execution_trace", "facts", "provenance", "grounding")).alias("record"))
+    return rec.select("request_id", "part", F.to_json(F.struct("plan", "execution_trace", "facts", "provenance", "grounding")).alias("record"))

@@ -66,9 +66,7 @@ def patch_grid(spark, sf_dir):
 SELECT patch_id, r, c, round(sqrt(greatest(b3.q / 9 - (b3.s / 9) * (b3.s / 9), 0)), 6) AS std3,
   round(sqrt(greatest(b15.q / 225 - (b15.s / 225) * (b15.s / 225), 0)), 6) AS std15 FROM b3 JOIN b15 USING (patch_id, r, c)""")
 def w6(spark, sf_dir):
-    out = patch_grid(spark, sf_dir)
-    for k in (3, 15):
-        out = focal.local_std(out, "gray", f"std{k}", k, ["patch_id"])
+    out = focal.local_std(patch_grid(spark, sf_dir), "gray", {"std3": 3, "std15": 15}, ["patch_id"])
     return out.select("patch_id", "r", "c", F.round("std3", 6).alias("std3"), F.round("std15", 6).alias("std15"))
 
 

@@ -352,7 +352,7 @@ TRACE_SQL = """tr AS (SELECT user_id AS request_id, event_type AS tool, ts, ['ok
 def trace(spark, sf_dir):
     i = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("request_id"), F.col("event_type").alias("tool"), "ts",
+        F.col("user_id").alias("request_id"), i.alias("step"), F.col("event_type").alias("tool"), "ts",
         F.element_at(F.array(*map(F.lit, ("ok", "ok", "no_data", "error", "skipped"))), (i % 5 + 1).cast("int")).alias("status"),
         F.round(F.col("value") * 100).cast("bigint").alias("duration_ms"), ((i % 10) / F.lit(10.0)).alias("confidence"))
 
