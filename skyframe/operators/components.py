@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import half_even
 
 from ..session import materialise
+from .stats import attach
 
 BLOCK = 64  # columns per adjacency bucket
 
@@ -42,7 +43,8 @@ def run_adjacency(runs: DataFrame, by: list[str]) -> DataFrame:
 def star_components(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by…, u, v): every non-minimal node with the smallest node of its component.
 
-    Both steps combine before the shuffle and join on (key, node); each round is
+    Both steps combine before the shuffle and join on (key, node), where a hub's rows
+    are split by adaptive skew handling since another shuffle follows; each round is
     written out, and the loop ends when every node hangs on one root.
     """
     def settled(df: DataFrame) -> bool:
@@ -85,7 +87,7 @@ def area_open(mask: DataFrame, by: list[str], min_size: int = 12) -> DataFrame:
     """Runs of the components with at least ``min_size`` cells."""
     runs = connected_runs(mask, by)
     sizes = runs.groupBy(*by, "component").agg(F.sum(F.expr("c1 - c0 + 1")).alias("_size"))
-    return runs.join(sizes.where(F.col("_size") >= min_size), [*by, "component"], "left_semi")
+    return attach(runs, sizes.where(F.col("_size") >= min_size).select(*by, "component"), [*by, "component"])
 
 
 def region_stats(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -130,11 +132,11 @@ def region_direction(regions: DataFrame, cells: DataFrame, by: list[str], value:
     box as a filter; ``component_delta`` is the mean over the component itself when
     the cells carry one.
     """
-    boxes = regions.select(*by, "rank", "component", "r0", "r1", "c0", "c1")
-    own = F.avg(F.when(F.col("k.component") == F.col("b.component"), F.col(f"k.{value}"))).alias("component_delta") \
-        if "component" in cells.columns else None
-    hits = cells.alias("k").join(boxes.alias("b"), by).where("k.r BETWEEN b.r0 AND b.r1 AND k.c BETWEEN b.c0 AND b.c1")
-    aggs = [F.avg(f"k.{value}").alias("mean_delta")] + ([own] if own is not None else [])
+    boxes = regions.select(*by, "rank", F.col("component").alias("_region"), "r0", "r1", "c0", "c1")
+    hits = attach(cells, boxes, by).where("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
+    aggs = [F.avg(value).alias("mean_delta")]
+    if "component" in cells.columns:
+        aggs.append(F.avg(F.when(F.col("component") == F.col("_region"), F.col(value))).alias("component_delta"))
     means = hits.groupBy(*by, "rank").agg(*aggs)
     return regions.join(means, [*by, "rank"], "left").withColumn(
         "direction", F.when(F.col("mean_delta") >= 0, "increase").when(F.col("mean_delta") < 0, "decrease"))

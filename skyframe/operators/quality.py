@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even
+from .stats import attach
 
 from ..functions.indices import is_cloud_rgb, rgb_mean
 
@@ -37,7 +38,7 @@ def usable_scenes(pixels: DataFrame, scenes: DataFrame, min_coverage: float = 0.
 
 
 def reject_empty_scenes(pixels: DataFrame, scenes: DataFrame, min_coverage: float = 0.02) -> DataFrame:
-    return pixels.join(usable_scenes(pixels, scenes, min_coverage), "scene_id", "left_semi")
+    return attach(pixels, usable_scenes(pixels, scenes, min_coverage), ["scene_id"])
 
 
 def build_cube(true_color: DataFrame, infrared: DataFrame) -> DataFrame:
