@@ -71,25 +71,29 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("image.origin", "^file:///", "file:/").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
-def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scenes, pixels): pixel bands in 0..1 named by channel count, alpha as validity.
+def explode_images(images: DataFrame) -> DataFrame:
+    """Pixels of decoded images (path, height, width, nChannels, data in BGR(A) order).
 
-    Images over the pixel budget are dropped before they are exploded; pixel blocks
+    Bands are in 0..1 and named by channel count, alpha is validity. Pixel blocks
     leave Python as they are decoded, so a task never holds an exploded image.
     """
-    images = read_images(spark, path).where(F.col("height").cast("bigint") * F.col("width") <= V.MAX_TOTAL_PIXELS)
-    scenes = images.select("path", "height", "width", F.col("nChannels").alias("channels"), (F.col("height") > 0).alias("readable"))
     raw = images.where("height > 0").mapInArrow(_explode_images, PIXEL_SCHEMA)
     colour = F.col("channels") >= 3
 
     def unit(c: str) -> Column:
         return F.col(c) / 255.0
 
-    pixels = raw.select(
+    return raw.select(
         F.col("path").alias("scene_id"), "r", "c", F.coalesce(F.col("alpha") > V.ALPHA_VALID_ABOVE, F.lit(True)).alias("valid"),
         F.when(colour, unit("ch0")).alias("red"), F.when(colour, unit("ch1")).alias("green"), F.when(colour, unit("ch2")).alias("blue"),
         F.when(~colour, unit("ch0")).alias("gray"))
-    return scenes, pixels
+
+
+def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(scenes, pixels); images over the pixel budget are dropped before they are exploded."""
+    images = read_images(spark, path).where(F.col("height").cast("bigint") * F.col("width") <= V.MAX_TOTAL_PIXELS)
+    scenes = images.select("path", "height", "width", F.col("nChannels").alias("channels"), (F.col("height") > 0).alias("readable"))
+    return scenes, explode_images(images)
 
 
 def sample_labelled(files: DataFrame, limit_per_class: int, seed: int = 42, labels=tuple(V.EUROSAT_TO_COARSE)) -> DataFrame:

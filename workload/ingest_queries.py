@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyframe import fixed_values as V
 from skyframe.operators import components
+from skyframe.operators.focal import densify
 from skyframe.sources import bands, catalog, images, scenes as scene_checks, sinks
 
 from .expression_queries import AREA, HALF_SQL, BANDS_SQL, band_lists, half_located
@@ -43,6 +44,22 @@ def s2(spark, sf_dir):
     return images.validate_files(file_rows(spark, sf_dir))
 
 
+@query("s1_scan_images", with_px("""
+SELECT CAST(s.scene_id AS VARCHAR) AS scene_id, CAST(i // 64 AS INT) AS r, CAST(i % 64 AS INT) AS c, p.r IS NOT NULL AS valid, round(coalesce(red, 0), 6) AS red,
+  round(coalesce(green, 0), 6) AS green, round(coalesce(blue, 0), 6) AS blue
+FROM (SELECT DISTINCT scene_id FROM px) s CROSS JOIN range(0, 4096) t(i) LEFT JOIN px p ON p.scene_id = s.scene_id AND p.r = i // 64 AND p.c = i % 64"""))
+def s1(spark, sf_dir):
+    """Scenes packed as the image source delivers them (64 x 64, BGRA), then scanned back to pixels."""
+    px = pixels(spark, sf_dir)
+    grid = densify(px.select("scene_id", "r", "c", "red", "green", "blue", F.lit(255).alias("a")), scenes(px).select("scene_id", "width", "height"),
+                   {"red": 0.0, "green": 0.0, "blue": 0.0, "a": 0})
+    cell = F.concat(*[F.lpad(F.hex(F.round(c * 255).cast("int")), 2, "0") for c in (F.col("blue"), F.col("green"), F.col("red"))], F.lpad(F.hex("a"), 2, "0"))
+    packed = grid.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("r", "c", cell.alias("b")))).alias("cells"))
+    decoded = packed.select(F.col("scene_id").cast("string").alias("path"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(4).alias("nChannels"),
+                            F.unhex(F.array_join(F.transform("cells", lambda x: x["b"]), "")).alias("data"))
+    return images.explode_images(decoded).select("scene_id", "r", "c", "valid", *[F.round(b, 6).alias(b) for b in ("red", "green", "blue")])
+
+
 DESC = ["B2", "b03", " Red ", "near infrared", "swir1", "B12"]
 
 
