@@ -127,7 +127,8 @@ def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, tex
     # pattern matching is the work here, so rows are spread before it; the place join
     # below is on the same key and needs no further exchange of this side
     width = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = extract_dates(questions.repartition(width, key).withColumn("normalised", normalise_text(F.col(text))), text, today)
+    spread = questions.repartition(width, key)
+    out = extract_dates(spread.withColumn("normalised", normalise_text(F.col(text))), text, today)
     t, low = F.col(text), F.lower("normalised")
     out = out.withColumn("_low", low)
     out = out.withColumns({"_task": classify_task(t), "event_key": detect_event(F.col("_low")), "_cls": match_classes(t)})
@@ -148,7 +149,7 @@ def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, tex
         "event": event_field(event, 1),
         "unsupported": event.isin(*V.UNMEASURABLE_EVENTS),
     })
-    located = resolve_place(questions, places, text, key).select(key, F.col("name").alias("aoi_name"), "west", "south", "east", "north")
+    located = resolve_place(spread, places, text, key).select(key, F.col("name").alias("aoi_name"), "west", "south", "east", "north")
     out = out.join(located, key, "left")
     change = F.col("task").isin("change_detection", "change_vqa")
     fusion = F.col("task") == "optical_sar_fusion"
