@@ -41,11 +41,11 @@ WITH t AS (SELECT licence, {listed} AS words FROM (VALUES {values}) v(licence, t
 ts AS (SELECT licence, {span} AS span, words[i:i + 4] AS shingle FROM t, unnest(generate_series(1, len(words) - 4)) g(i)),
 tn AS (SELECT licence, count(DISTINCT shingle) AS n FROM ts GROUP BY licence),
 d AS (SELECT doc_id, {listed} AS words FROM documents),
-ds AS (SELECT doc_id, i - 1 AS at, words[i:i + 4] AS shingle FROM d, unnest(generate_series(1, len(words) - 4)) g(i)),
-h AS (SELECT DISTINCT doc_id, licence, span, at, ts.shingle FROM ds JOIN ts ON ds.shingle = ts.shingle),
+ds AS (SELECT doc_id, i - 1 AS pos, words[i:i + 4] AS shingle FROM d, unnest(generate_series(1, len(words) - 4)) g(i)),
+h AS (SELECT DISTINCT doc_id, licence, span, pos, ts.shingle FROM ds JOIN ts ON ds.shingle = ts.shingle),
 w AS (
-  SELECT doc_id, licence, shingle, span * k AS start FROM h, unnest([at // span - 1, at // span]) g(k)
-  WHERE k >= 0 AND at >= span * k AND at <= span * k + 2 * span - 5),
+  SELECT doc_id, licence, shingle, span * k AS start FROM h, unnest([pos // span - 1, pos // span]) g(k)
+  WHERE k >= 0 AND pos >= span * k AND pos <= span * k + 2 * span - 5),
 c AS (SELECT doc_id, licence, start, count(DISTINCT shingle) / n AS containment FROM w JOIN tn USING (licence) GROUP BY doc_id, licence, start, n)
 SELECT doc_id, licence, count(*) AS n_windows, CAST(min(start) AS BIGINT) AS first_word, max(containment) AS containment
 FROM c WHERE containment >= {licences.CONTAINED} GROUP BY doc_id, licence
