@@ -39,6 +39,8 @@ HELD = 65_536
 SHOWN = 16
 #: Agreeing values of a candidate: five standard deviations below the 102 expected at similarity 0.8.
 MIN_AGREE = 79
+#: Bits of the filter that lets texts with candidates through; a full filter only costs time.
+FILTER_BITS = 1 << 23
 #: Confirmed at once for each class, before components are known.
 FIRST_PARTNERS = 2
 
@@ -194,6 +196,39 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(_neighbours(percent), "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def _bits_of(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return np.concatenate((h, h >> np.uint64(32))) & np.uint64(FILTER_BITS - 1)
+
+
+def _membership(ends: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bits_of(batch.column("end").to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ends.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _with_candidates(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows whose id is among ``ends``; nearly all others are dropped before the shuffle."""
+    packed = _membership(ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            yield batch.filter(pa.array(bits[_bits_of(batch.column("doc_id").to_numpy())].reshape(2, -1).all(axis=0)))
+
+    some = rows.mapInArrow(run, "doc_id bigint, text string")
+    return some.join(ends, some.doc_id == ends.end, "left_semi")
+
+
 def _set_maker(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
@@ -271,7 +306,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     pairs = materialise(candidates(classes, percent), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    sets = materialise(rows.join(ends, rows.doc_id == ends.end, "left_semi").mapInArrow(_set_maker(k), "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle_sets")
+    sets = materialise(_with_candidates(rows, ends).mapInArrow(_set_maker(k), "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle_sets")
     by_end = F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")), F.struct(F.col("b").alias("one"), F.col("a").alias("other")))
     rank = F.row_number().over(Window.partitionBy("one").orderBy(F.col("agree").desc(), "other"))
     best = pairs.select("agree", F.inline(by_end)).withColumn("rank", rank).filter(F.col("rank") <= FIRST_PARTNERS).select(
