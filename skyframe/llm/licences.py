@@ -52,7 +52,9 @@ def minima(found: Column) -> Column:
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("w", F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).withColumn("s", shingles(F.col("w")))
+    # explode keeps the optimiser from copying the hashes into the expression of every shingle
+    rows = df.withColumn("w", F.explode(F.array(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))))
+    return rows.withColumn("s", shingles(F.col("w")))
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:

@@ -35,7 +35,7 @@ def licence_sql() -> str:
     pattern = r"[^\p{L}\p{N}]+"
     values = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licences.TEMPLATES.items()))
     span = "CASE " + " ".join(f"WHEN len(words) <= {n} THEN {n}" for n in licences.LENGTHS) + " ELSE len(words) END"
-    listed = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{pattern}'), x -> x <> '')"
+    listed = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{pattern}'), lambda x: x <> '')"
     return f"""
 WITH t AS (SELECT licence, {listed} AS words FROM (VALUES {values}) v(licence, text)),
 ts AS (SELECT licence, {span} AS span, words[i:i + 4] AS shingle FROM t, unnest(generate_series(1, len(words) - 4)) g(i)),
