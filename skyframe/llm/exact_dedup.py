@@ -29,7 +29,8 @@ def _same_as_previous(keys: list[np.ndarray]) -> np.ndarray:
     same = np.ones(len(keys[0]), bool)
     same[0] = False
     for k in keys:
-        same[1:] &= (k[1:] == k[:-1]).reshape(len(k) - 1, -1).all(axis=1)
+        flat = k.reshape(len(k), -1)
+        same[1:] &= (flat[1:] == flat[:-1]).all(axis=1)
     return same
 
 

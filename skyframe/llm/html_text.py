@@ -218,11 +218,11 @@ def render(root: Node, depth: int = 0) -> str:
             page.put(node, pre > 0)
             continue
         tag = node.tag
+        if done and tag in ("ul", "ol", "menu"):
+            lists.pop()
         gap = 2 if tag in SPACED and not lists else 1
         if done:
-            if tag in ("ul", "ol", "menu"):
-                lists.pop()
-            elif tag == "pre":
+            if tag == "pre":
                 pre -= 1
             page.block(gap)
             if tag in ("li", "dd", "blockquote") and page.indent:
@@ -247,7 +247,7 @@ def render(root: Node, depth: int = 0) -> str:
         if tag == "table" and depth < TABLE_DEPTH:
             for line in _table(node, depth):
                 page._word(line, True)
-                page.newline()
+                page.newline(force=True)
             page.block(gap)
             continue
         if tag in ("ul", "ol", "menu"):

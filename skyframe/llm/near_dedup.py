@@ -123,7 +123,7 @@ def _regions(classes: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         marked = keyed.withColumn("p", _prefix(F.col("tree"), last)).join(large.withColumn("is_large", F.lit(True)), ["tree", "p"], "left")
-        keyed = marked.withColumn("region", F.when("is_large", F.xxhash64("tree", _prefix(F.col("tree"), d))).otherwise(F.col("region"))).drop("p", "is_large")
+        keyed = marked.withColumn("region", F.when(F.col("is_large"), F.xxhash64("tree", _prefix(F.col("tree"), d))).otherwise(F.col("region"))).drop("p", "is_large")
     members = F.count(F.lit(1)).over(Window.partitionBy("region"))
     return keyed.select("rep", "tree", "region").withColumn("members", members).filter("members > 1")
 
