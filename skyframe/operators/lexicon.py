@@ -106,14 +106,14 @@ def action_note(event: Column, normalised: Column, n_dates: Column) -> Column:
     return out
 
 
-def resolve_place(questions: DataFrame, places: DataFrame, text: str = "text", key: str = "question_id",
-                  max_words: int = 4) -> DataFrame:
-    """(key, place …): the longest place name or alias contained in each text."""
+def resolve_place(questions: DataFrame, places: DataFrame, text: str = "text", key: str = "question_id") -> DataFrame:
+    """(key, place …): the longest place name or alias contained in each text, however many words it has."""
+    keys = place_keys(places)
+    max_words = keys.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     words = F.split(fold_key(F.col(text)), " ")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(
         F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i + n - 1 <= F.size("_w")),
         lambda i: F.array_join(F.slice("_w", i, n), " "))))
-    keys = place_keys(places)
     others = [c for c in keys.columns if c not in ("key", "first_seen")]
     named = questions.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(grams)).alias("key"))
     return (

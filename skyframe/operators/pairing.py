@@ -85,45 +85,51 @@ def nearest_usable_date(requests: DataFrame, probes: DataFrame, anchor: str = "a
 
 def search_optical(requests: DataFrame, probes: DataFrame, anchor: str = "anchor", span: int = 10,
                    primary: str = "modis_terra_truecolor", fallback: str = "viirs_snpp_truecolor",
-                   today: Column | None = None) -> DataFrame:
-    """Primary sensor, or the fallback where the primary is missing or hazy and the fallback is clearer."""
+                   today: Column | None = None, area: tuple[str, ...] = ()) -> DataFrame:
+    """Primary sensor, or the fallback where the primary is missing or hazy and the fallback is clearer.
+
+    ``area`` names the columns that tell areas apart in requests and probes.
+    """
+    keys = [*area, anchor]
+
     def sensor(key: str, tag: str) -> DataFrame:
-        anchors = requests.select(anchor).distinct().withColumn("layer_key", F.lit(key))
-        found = nearest_usable_date(anchors, probes, anchor, span=span, min_coverage=0.6, today=today)
-        return found.select(anchor, *[F.col(c).alias(tag + c) for c in ("selected", "usable", "cloud_fraction")])
+        anchors = requests.select(*keys).distinct().withColumn("layer_key", F.lit(key))
+        found = nearest_usable_date(anchors, probes, anchor, (*area, "layer_key"), span, min_coverage=0.6, today=today)
+        return found.select(*keys, *[F.col(c).alias(tag + c) for c in ("selected", "usable", "cloud_fraction")])
 
-    both = sensor(primary, "p_").join(sensor(fallback, "f_"), anchor, "full_outer")
+    both = sensor(primary, "p_").join(sensor(fallback, "f_"), keys, "full_outer")
     weak = F.col("p_usable").isNull() | (F.col("p_usable") < 0.30)
     swap = weak & F.col("f_usable").isNotNull() & (F.col("f_usable") > F.coalesce("p_usable", F.lit(0.0)))
     choice = both.select(
-        anchor, F.when(swap, F.lit(fallback)).when(F.col("p_selected").isNotNull(), F.lit(primary)).alias("layer_key"),
+        *keys, F.when(swap, F.lit(fallback)).when(F.col("p_selected").isNotNull(), F.lit(primary)).alias("layer_key"),
         *[F.when(swap, F.col("f_" + c)).otherwise(F.col("p_" + c)).alias(c) for c in ("selected", "usable", "cloud_fraction")])
-    return requests.join(choice, anchor, "left").withColumn("warn_cloud", F.coalesce(F.col("usable") < 0.30, F.lit(False)))
+    return requests.join(choice, keys, "left").withColumn("warn_cloud", F.coalesce(F.col("usable") < 0.30, F.lit(False)))
 
 
-def _best_cover(candidates: DataFrame, probes: DataFrame, anchor: str) -> DataFrame:
-    seen = probes.where(F.col("coverage") >= 0.5).select(F.col("probe_date").alias("candidate"), "coverage")
-    return candidates.join(seen, "candidate").groupBy(anchor).agg(F.min(F.struct(
+def _best_cover(candidates: DataFrame, probes: DataFrame, anchor: str, area: tuple[str, ...]) -> DataFrame:
+    seen = probes.where(F.col("coverage") >= 0.5).select(*area, F.col("probe_date").alias("candidate"), "coverage")
+    return candidates.join(seen, [*area, "candidate"]).groupBy(*area, anchor).agg(F.min(F.struct(
         (-F.col("coverage")).alias("rank"), F.abs(F.datediff("candidate", anchor)).alias("gap_days"),
         F.col("candidate").alias("selected"))).alias("best")).select(
-        anchor, "best.selected", (-F.col("best.rank")).alias("coverage"), "best.gap_days")
+        *area, anchor, "best.selected", (-F.col("best.rank")).alias("coverage"), "best.gap_days")
 
 
 def search_sar(requests: DataFrame, probes: DataFrame, anchor: str = "anchor", wide_span: int = 150,
-               today: Column | None = None) -> DataFrame:
-    """Repeat-cycle dates first; a wide sweep only for anchors the cycle left unmatched."""
-    anchors = requests.select(anchor).distinct()
+               today: Column | None = None, area: tuple[str, ...] = ()) -> DataFrame:
+    """Repeat-cycle dates first; a wide sweep only for the anchors of an area the cycle left unmatched."""
+    keys = [*area, anchor]
+    anchors = requests.select(*keys).distinct()
     cycle = sorted({12 * k for k in range(-4, 5)} | {-18, -6, 6, 18})
-    first = _best_cover(date_candidates(anchors, anchor, F.array(*map(F.lit, cycle)), today), probes, anchor)
-    rest = anchors.join(first, anchor, "left_anti")
-    second = _best_cover(date_candidates(rest, anchor, _window(wide_span, 3), today), probes, anchor)
+    first = _best_cover(date_candidates(anchors, anchor, F.array(*map(F.lit, cycle)), today), probes, anchor, area)
+    rest = anchors.join(first, keys, "left_anti")
+    second = _best_cover(date_candidates(rest, anchor, _window(wide_span, 3), today), probes, anchor, area)
     found = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2)))
-    return requests.join(found, anchor, "left").withColumn("warn_gap", F.coalesce(F.col("gap_days") > 20, F.lit(False)))
+    return requests.join(found, keys, "left").withColumn("warn_gap", F.coalesce(F.col("gap_days") > 20, F.lit(False)))
 
 
-def pair_nearest_optical(sar: DataFrame, probes: DataFrame, sar_date: str = "sar_date", span: int = 4) -> DataFrame:
+def pair_nearest_optical(sar: DataFrame, probes: DataFrame, sar_date: str = "sar_date", span: int = 4, area: tuple[str, ...] = ()) -> DataFrame:
     """Optical member of a cross-modal pair, within ±span days of the radar date."""
-    out = search_optical(sar, probes, sar_date, span)
+    out = search_optical(sar, probes, sar_date, span, area=area)
     return out.withColumn("pair_gap_days", F.abs(F.datediff("selected", sar_date)))
 
 

@@ -184,7 +184,7 @@ def _in_domain() -> Column:
 
 def caption(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """(request_id, caption, confidence); requests carry source, place, acq_date, width, height and in_domain."""
-    out = requests.join(fact_map(facts, VOCABULARY), REQ)
+    out = requests.join(fact_map(facts, VOCABULARY), REQ, "left")
     comp = _composition(0.005)
     head = say(F.col("source"), " imaged ", F.coalesce("place", F.lit("the requested area")), maybe(" on ", F.col("acq_date").cast("string")),
                maybe(" covering ", fixed(val("scene_area_km2"), 0, commas=True), " km²"), " at ", F.col("width").cast("string"), "×",
@@ -215,7 +215,7 @@ def _movers(limit: int, sentence) -> Column:
 
 def narrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """(request_id, narrator, text): template narration by task; every number is a fact."""
-    out = requests.join(fact_map(facts, VOCABULARY), REQ)
+    out = requests.join(fact_map(facts, VOCABULARY), REQ, "left")
     dates = F.transform("dates", lambda d: d.cast("string"))
     span = F.when(F.size(dates) == 1, say(" for ", F.get(dates, F.lit(0)))).when(
         F.size(dates) > 1, say(" for ", F.get(dates, F.lit(0)), " and ", F.element_at(dates, -1)))

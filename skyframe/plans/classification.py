@@ -12,10 +12,11 @@ from ..sources.scenes import domain_check
 
 
 def classify_tiles(pixels: DataFrame, scenes: DataFrame, model: PipelineModel, tile: int = 64, stride: int | None = None,
-                   max_tiles: int = 900, min_valid: float = 0.6) -> DataFrame:
-    """(scene_id, tile_r, tile_c, predicted, confidence, coarse_class) for up to max_tiles tiles per scene."""
+                   max_tiles: int | None = None, min_valid: float = 0.6) -> DataFrame:
+    """(scene_id, tile_r, tile_c, predicted, confidence, coarse_class) for every tile, or ``max_tiles`` even ones of each scene."""
     covered = tiles.tile_pixels(pixels, scenes, tile, stride)
-    chosen = tiles.sample_evenly(tiles.tile_scenes(covered, tile, min_valid), max_tiles).select("scene_id", "tile_r", "tile_c")
+    usable = tiles.tile_scenes(covered, tile, min_valid)
+    chosen = (usable if max_tiles is None else tiles.sample_evenly(usable, max_tiles)).select("scene_id", "tile_r", "tile_c")
     key = F.concat_ws("/", "scene_id", "tile_r", "tile_c")
     patches = covered.join(chosen, ["scene_id", "tile_r", "tile_c"]).select(
         key.alias("tile_id"), (F.col("r") - F.col("tile_r")).alias("r"), (F.col("c") - F.col("tile_c")).alias("c"),
@@ -26,7 +27,7 @@ def classify_tiles(pixels: DataFrame, scenes: DataFrame, model: PipelineModel, t
 
 
 def classify_scenes(pixels: DataFrame, scenes: DataFrame, model: PipelineModel, tile: int = 64, stride: int | None = None,
-                    max_tiles: int = 900) -> DataFrame:
+                    max_tiles: int | None = None) -> DataFrame:
     """Dominant class per scene with its share, confidence and domain check."""
     labelled = classify_tiles(pixels, scenes, model, tile, stride, max_tiles)
     summary = learn.scene_classes(labelled, ["scene_id"]).join(scenes.withColumn("gsd", gsd_m()).select("scene_id", "gsd"), "scene_id")

@@ -48,9 +48,10 @@ def normalise_bands(values: DataFrame, by: list[str], value: str = "v") -> DataF
 
 
 def decimate(pixels: DataFrame, scenes: DataFrame, values: list[str], max_side: int = V.MAX_ANALYSIS_SIDE,
-             max_pixels: int = V.MAX_TOTAL_PIXELS) -> DataFrame:
-    """Average blocks so that the longer side fits; scenes over the pixel budget are refused."""
-    grid = scenes.where(F.col("width").cast("bigint") * F.col("height") <= max_pixels).select(
+             max_pixels: int | None = None) -> DataFrame:
+    """Average blocks so that the longer side fits; ``max_pixels`` refuses larger scenes."""
+    kept = scenes if max_pixels is None else scenes.where(F.col("width").cast("bigint") * F.col("height") <= max_pixels)
+    grid = kept.select(
         "scene_id", F.ceil(F.greatest("width", "height") / max_side).cast("int").alias("factor"), "width", "height")
     block = [F.expr(f"int({axis} div factor) AS {axis}") for axis in ("r", "c")]
     return (

@@ -89,11 +89,17 @@ def explode_images(images: DataFrame) -> DataFrame:
         F.when(~colour, unit("ch0")).alias("gray"))
 
 
-def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scenes, pixels); images over the pixel budget are dropped before they are exploded."""
-    images = read_images(spark, path).where(F.col("height").cast("bigint") * F.col("width") <= V.MAX_TOTAL_PIXELS)
-    scenes = images.select("path", "height", "width", F.col("nChannels").alias("channels"), (F.col("height") > 0).alias("readable"))
-    return scenes, explode_images(images)
+def scan_images(spark: SparkSession, path: str, max_pixels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scenes, pixels); every image has a scene row, whose status says why it gives no pixels.
+
+    Pixels leave in blocks, so there is no limit unless ``max_pixels`` sets one.
+    """
+    images = read_images(spark, path)
+    over = F.lit(False) if max_pixels is None else F.col("height").cast("bigint") * F.col("width") > max_pixels
+    reason = F.when(F.col("height") <= 0, "unreadable").when(over, "over the pixel budget")
+    scenes = images.select("path", "height", "width", F.col("nChannels").alias("channels"), (F.col("height") > 0).alias("readable"),
+                           F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))
+    return scenes, explode_images(images.where(~over))
 
 
 def sample_labelled(files: DataFrame, limit_per_class: int, seed: int = 42, labels=tuple(V.EUROSAT_TO_COARSE)) -> DataFrame:

@@ -263,11 +263,11 @@ COMP = f"""cp AS (SELECT request_id, list(concat(MAP {{{', '.join(f"'{k}': '{v}'
 
 @query("c13_caption", f"""WITH {ALL_PLAN}, {FQ}, {COMP}, nd AS (SELECT request_id, max(value_num) FILTER (fact_key = 'ndvi_mean') AS nm, max(value_num) FILTER (fact_key = 'change_fraction') AS cf,
   max(value_num) FILTER (fact_key = 'cloud_or_snow_fraction') AS cl FROM fq GROUP BY 1)
-SELECT request_id, concat('archive ', request_id % 3, ' imaged ', coalesce(aoi, 'the requested area'), CASE WHEN len(dates) > 0 THEN concat(' on ', dates[-1]) ELSE '' END, ' at 64×64 pixels.',
+SELECT request_id, CASE WHEN l IS NOT NULL OR nm IS NOT NULL OR cf IS NOT NULL OR cl > 0.2 THEN concat('archive ', request_id % 3, ' imaged ', coalesce(aoi, 'the requested area'), CASE WHEN len(dates) > 0 THEN concat(' on ', dates[-1]) ELSE '' END, ' at 64×64 pixels.',
   CASE WHEN l IS NOT NULL THEN concat(' The scene is dominated by ', array_to_string(l[1:3], ', '), '.') ELSE '' END, CASE WHEN len(l) > 3 THEN concat(' Also present: ', array_to_string(l[4:], ', '), '.') ELSE '' END,
   format(' Mean NDVI is {{:.3f}} (vegetation vigour).', round_even(nm, 3)), format(' Between the two dates, {{:.2f}}% of the co-observed area changed.', round_even(cf * 100, 2)),
-  CASE WHEN cl > 0.2 THEN format(' Note that {{:.1f}}% of the scene is cloud or snow, which limits what could be measured.', round_even(cl * 100, 1)) ELSE '' END) AS caption
-FROM (SELECT question_id AS request_id, aoi, dates FROM an) JOIN nd USING (request_id) LEFT JOIN cp USING (request_id)""")
+  CASE WHEN cl > 0.2 THEN format(' Note that {{:.1f}}% of the scene is cloud or snow, which limits what could be measured.', round_even(cl * 100, 1)) ELSE '' END) END AS caption
+FROM (SELECT question_id AS request_id, aoi, dates FROM an) LEFT JOIN nd USING (request_id) LEFT JOIN cp USING (request_id)""")
 def c13(spark, sf_dir):
     return answers.caption(described_requests(spark, sf_dir), question_facts(spark, sf_dir)).select("request_id", "caption")
 

@@ -58,87 +58,96 @@ def p22(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ date search
-REQ_SQL = "req AS (SELECT o_orderkey AS request_id, DATE '2023-12-20' + CAST(o_orderkey % 60 AS INT) AS anchor FROM orders)"
+REQ_SQL = "req AS (SELECT o_orderkey AS request_id, o_orderkey % 4 AS area, DATE '2023-12-20' + CAST(o_orderkey % 60 AS INT) AS anchor FROM orders)"
 PROBE_SQL = f"pb AS ({duck(PROBES_SQL)})"
-OBSERVED = """obs AS (SELECT layer_key, probe_date, coverage * (1 - cloud_fraction) * (1 - dark_fraction) AS usable, coverage FROM pb
+# the probes of four areas, told apart by who was there
+AREA_SQL = """SELECT user_id % 4 AS area, event_type AS layer_key, CAST(ts AS DATE) AS probe_date, CAST(least(1.0, count(*) / 20.0) AS DOUBLE) AS coverage,
+  sum(CASE WHEN value > 60 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS cloud_fraction,
+  sum(CASE WHEN value < 2 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS dark_fraction FROM {events} GROUP BY 1, 2, 3"""
+AREA_PROBES = f"pb AS ({duck(AREA_SQL)})"
+OBSERVED = """obs AS (SELECT area, layer_key, probe_date, coverage * (1 - cloud_fraction) * (1 - dark_fraction) AS usable, coverage FROM pb
   WHERE dark_fraction < 0.5)"""
 
 
 def requests(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.expr("date_add(DATE '2023-12-20', CAST(o_orderkey % 60 AS INT))").alias("anchor"))
+        F.col("o_orderkey").alias("request_id"), (F.col("o_orderkey") % 4).alias("area"), F.expr("date_add(DATE '2023-12-20', CAST(o_orderkey % 60 AS INT))").alias("anchor"))
 
 
 def probes(spark, sf_dir):
     return view(spark, sf_dir, PROBES_SQL)
 
 
+def area_probes(spark, sf_dir):
+    return view(spark, sf_dir, AREA_SQL)
+
+
 def _nearest(cte: str, layer: str, span: int, cov: float, src: str = "req") -> str:
-    return f"""{cte} AS (SELECT anchor, probe_date AS selected, usable FROM (SELECT DISTINCT anchor FROM {src})
-      JOIN obs ON layer_key = '{layer}' AND abs(probe_date - anchor) <= {span} AND coverage >= {cov}
-      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY usable DESC, abs(probe_date - anchor), probe_date) = 1)"""
+    return f"""{cte} AS (SELECT r.area, anchor, probe_date AS selected, usable FROM (SELECT DISTINCT area, anchor FROM {src}) r
+      JOIN obs ON r.area = obs.area AND layer_key = '{layer}' AND abs(probe_date - anchor) <= {span} AND coverage >= {cov}
+      QUALIFY row_number() OVER (PARTITION BY r.area, anchor ORDER BY usable DESC, abs(probe_date - anchor), probe_date) = 1)"""
 
 
 @query("j4_nearest_usable_date", f"""
-WITH {REQ_SQL}, {PROBE_SQL}, {OBSERVED}, {_nearest('best', 'click', 12, 0.5)}
+WITH {REQ_SQL}, {AREA_PROBES}, {OBSERVED}, {_nearest('best', 'click', 12, 0.5)}
 SELECT request_id, anchor, selected, round(usable, 6) AS usable, CAST(abs(selected - anchor) AS INT) AS gap_days,
   CASE WHEN usable >= 0.3 THEN 'clear' WHEN usable IS NOT NULL THEN 'cloudy' ELSE 'none' END AS status
-FROM req LEFT JOIN best USING (anchor)""")
+FROM req LEFT JOIN best USING (area, anchor)""")
 def j4(spark, sf_dir):
     req = requests(spark, sf_dir).withColumn("layer_key", F.lit("click"))
-    out = pairing.nearest_usable_date(req, probes(spark, sf_dir))
+    out = pairing.nearest_usable_date(req, area_probes(spark, sf_dir), on=("area", "layer_key"))
     return out.select("request_id", "anchor", "selected", F.round("usable", 6).alias("usable"), "gap_days", "status")
 
 
 @query("j5_search_optical", f"""
-WITH {REQ_SQL}, {PROBE_SQL}, {OBSERVED}, {_nearest('t', 'click', 10, 0.6)}, {_nearest('v', 'view', 10, 0.6)}
+WITH {REQ_SQL}, {AREA_PROBES}, {OBSERVED}, {_nearest('t', 'click', 10, 0.6)}, {_nearest('v', 'view', 10, 0.6)}
 SELECT request_id, CASE WHEN swap THEN 'view' WHEN ts IS NOT NULL THEN 'click' END AS layer_key,
   CASE WHEN swap THEN vs ELSE ts END AS selected, round(CASE WHEN swap THEN vu ELSE tu END, 6) AS usable,
   coalesce(CASE WHEN swap THEN vu ELSE tu END < 0.3, false) AS warn_cloud
 FROM (SELECT request_id, t.selected AS ts, t.usable AS tu, v.selected AS vs, v.usable AS vu,
         (t.usable IS NULL OR t.usable < 0.3) AND v.usable IS NOT NULL AND v.usable > coalesce(t.usable, 0) AS swap
-      FROM req LEFT JOIN t USING (anchor) LEFT JOIN v USING (anchor))""")
+      FROM req LEFT JOIN t USING (area, anchor) LEFT JOIN v USING (area, anchor))""")
 def j5(spark, sf_dir):
-    out = pairing.search_optical(requests(spark, sf_dir), probes(spark, sf_dir), primary="click", fallback="view")
+    out = pairing.search_optical(requests(spark, sf_dir), area_probes(spark, sf_dir), primary="click", fallback="view", area=("area",))
     return out.select("request_id", "layer_key", "selected", F.round("usable", 6).alias("usable"), "warn_cloud")
 
 
-SAR_CTES = """sp AS (SELECT probe_date, coverage FROM pb WHERE layer_key = 'purchase' AND coverage >= 0.5 AND day(probe_date) % 5 = 0),
-a AS (SELECT DISTINCT anchor FROM req),
-p1 AS (SELECT anchor, probe_date AS selected, coverage, 1 AS phase FROM a JOIN sp
-  ON (abs(probe_date - anchor) <= 48 AND abs(probe_date - anchor) % 12 = 0) OR abs(probe_date - anchor) IN (6, 18)),
-p2 AS (SELECT anchor, probe_date, coverage, 2 FROM a JOIN sp ON abs(probe_date - anchor) <= 150 AND abs(probe_date - anchor) % 3 = 0
-  WHERE anchor NOT IN (SELECT anchor FROM p1)),
+SAR_CTES = """sp AS (SELECT area, probe_date, coverage FROM pb WHERE layer_key = 'purchase' AND coverage >= 0.5),
+a AS (SELECT DISTINCT area, anchor FROM req),
+p1 AS (SELECT area, anchor, probe_date AS selected, coverage, 1 AS phase FROM a JOIN sp USING (area)
+  WHERE (abs(probe_date - anchor) <= 48 AND abs(probe_date - anchor) % 12 = 0) OR abs(probe_date - anchor) IN (6, 18)),
+p2 AS (SELECT area, anchor, probe_date, coverage, 2 FROM a JOIN sp USING (area) WHERE abs(probe_date - anchor) <= 150 AND abs(probe_date - anchor) % 3 = 0
+  AND (area, anchor) NOT IN (SELECT (area, anchor) FROM p1)),
 hit AS (SELECT * FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)
-  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY coverage DESC, abs(selected - anchor), selected) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY area, anchor ORDER BY coverage DESC, abs(selected - anchor), selected) = 1)"""
 
 
 def sar_probes(spark, sf_dir):
-    return probes(spark, sf_dir).where("layer_key = 'purchase' AND day(probe_date) % 5 = 0")
+    return area_probes(spark, sf_dir).where("layer_key = 'purchase'")
 
 
 @query("j6_search_sar", f"""
-WITH {REQ_SQL}, {PROBE_SQL}, {SAR_CTES}
+WITH {REQ_SQL}, {AREA_PROBES}, {SAR_CTES}
 SELECT request_id, selected, round(coverage, 6) AS coverage, CAST(abs(selected - anchor) AS INT) AS gap_days, phase,
-  coalesce(abs(selected - anchor) > 20, false) AS warn_gap FROM req LEFT JOIN hit USING (anchor)""")
+  coalesce(abs(selected - anchor) > 20, false) AS warn_gap FROM req LEFT JOIN hit USING (area, anchor)""")
 def j6(spark, sf_dir):
-    out = pairing.search_sar(requests(spark, sf_dir), sar_probes(spark, sf_dir))
+    out = pairing.search_sar(requests(spark, sf_dir), sar_probes(spark, sf_dir), area=("area",))
     return out.select("request_id", "selected", F.round("coverage", 6).alias("coverage"), "gap_days", "phase", "warn_gap")
 
 
 @query("j7_pair_nearest_optical", f"""
-WITH {REQ_SQL}, {PROBE_SQL}, {OBSERVED}, {SAR_CTES}, sr AS (SELECT request_id, selected AS anchor FROM req JOIN hit USING (anchor)),
+WITH {REQ_SQL}, {AREA_PROBES}, {OBSERVED}, {SAR_CTES}, sr AS (SELECT request_id, area, selected AS anchor FROM req JOIN hit USING (area, anchor)),
 {_nearest('t', 'click', 4, 0.6, 'sr')}, {_nearest('v', 'view', 4, 0.6, 'sr')}
 SELECT request_id, anchor AS sar_date, CASE WHEN swap THEN vs ELSE ts END AS selected,
   CAST(abs(CASE WHEN swap THEN vs ELSE ts END - anchor) AS INT) AS pair_gap_days
 FROM (SELECT request_id, anchor, t.selected AS ts, v.selected AS vs,
         (t.usable IS NULL OR t.usable < 0.3) AND v.usable IS NOT NULL AND v.usable > coalesce(t.usable, 0) AS swap
-      FROM sr LEFT JOIN t USING (anchor) LEFT JOIN v USING (anchor))""")
+      FROM sr LEFT JOIN t USING (area, anchor) LEFT JOIN v USING (area, anchor))""")
 def j7(spark, sf_dir):
-    sar = pairing.search_sar(requests(spark, sf_dir), sar_probes(spark, sf_dir)).where("selected IS NOT NULL").select(
-        "request_id", F.col("selected").alias("sar_date"))
-    pb = probes(spark, sf_dir).replace({"click": "modis_terra_truecolor", "view": "viirs_snpp_truecolor"}, subset=["layer_key"])
-    return pairing.pair_nearest_optical(sar, pb).select("request_id", "sar_date", "selected", "pair_gap_days")
+    sar = pairing.search_sar(requests(spark, sf_dir), sar_probes(spark, sf_dir), area=("area",)).where("selected IS NOT NULL").select(
+        "request_id", "area", F.col("selected").alias("sar_date"))
+    pb = area_probes(spark, sf_dir).replace({"click": "modis_terra_truecolor", "view": "viirs_snpp_truecolor"}, subset=["layer_key"])
+    return pairing.pair_nearest_optical(sar, pb, area=("area",)).select("request_id", "sar_date", "selected", "pair_gap_days")
 
 
 @query("u1_union_of_probe_logs", f"""

@@ -37,7 +37,7 @@ def places(spark, sf_dir):
 
 
 # messy free text: chat words glued to document openings
-CHAT = """chat AS (SELECT doc_id, concat(['please ', 'Hey, can you ', 'show me ', ''][doc_id % 4 + 1], 'floods & crops in ', left(text, 60),
+CHAT = """chat AS (SELECT doc_id, concat(['please ', 'Hey, can you ', 'show me ', ''][doc_id % 4 + 1], 'floods & crops in ', text,
   CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END) AS text FROM documents)"""
 
 
@@ -45,7 +45,7 @@ def chat(spark, sf_dir):
     i = F.col("doc_id")
     lead = F.element_at(F.array(*map(F.lit, ("please ", "Hey, can you ", "show me ", ""))), (i % 4 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(lead, F.lit("floods & crops in "), F.left("text", F.lit(60)), F.when(i % 3 == 0, "?").otherwise("")).alias("text"))
+        "doc_id", F.concat(lead, F.lit("floods & crops in "), "text", F.when(i % 3 == 0, "?").otherwise("")).alias("text"))
 
 
 NORMAL = f"trim(regexp_replace(replace(regexp_replace(text, '(?i){V.FILLER}', ' ', 'g'), '&', ' and '), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
@@ -77,7 +77,7 @@ def f4(spark, sf_dir):
     return words.distinct().select("word", T.singularise(F.col("word")).alias("singular"))
 
 
-STOP = "[" + ", ".join(f"'{w}'" for w in T.default_stopwords()) + "]"
+STOP = "[" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + "]"
 
 
 @query("f5_geocodable_terms", f"""WITH {CHAT} SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(

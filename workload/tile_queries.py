@@ -155,4 +155,4 @@ def c11(spark, sf_dir):
 
     model, _ = trained(spark, sf_dir)
     px = pixels(spark, sf_dir)
-    return classify_scenes(px, scenes(px), model, tile=8, max_tiles=16)
+    return classify_scenes(px, scenes(px), model, tile=8)
