@@ -18,4 +18,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
         known = known.filter(rule("labelled"))
     chosen = known.groupBy("labelled").agg(F.max("target").alias("target")).orderBy(F.xxhash64("labelled"), "labelled").limit(max_rows)
     rows = texts_of(docs, id_col, text_col)
-    return rows.join(chosen, rows.doc_id == chosen.labelled).select("doc_id", "text", "target")
+    # max_rows bounds what is broadcast, so texts stay where they are read
+    return rows.join(F.broadcast(chosen), rows.doc_id == chosen.labelled).select("doc_id", "text", "target")

@@ -150,7 +150,7 @@ def fit(docs: DataFrame, max_rows: int = FIT_ROWS, keep_at: float = KEEP_AT, id_
         return QualityModel(estimate(np.full((1, len(LABELLERS)), -1, np.int8), np.ones(1)), hashed.Linear(np.zeros(1 << hashed.BITS, np.float32), 0.0, 1.0, 0.0), keep_at)
     labels = estimate(_unpack(np.array([r[0] for r in counted])), np.array([r[1] for r in counted], float))
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct().withColumnRenamed("doc_id", "chosen")
-    sample = rows.join(chosen, F.col("doc_id") == F.col("chosen")).select("text")
+    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("text")
 
     def soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
