@@ -217,9 +217,16 @@ def segment_landcover(px: DataFrame, adaptive: bool = True, visible_only: bool =
 
 
 def segment_any(px: DataFrame, adaptive: bool = True) -> DataFrame:
-    """Dispatch on the bands each scene has; pixels gain ``class`` and ``basis``."""
-    spectral, _ = segment_landcover(px.where(has_multispectral()), adaptive)
-    visible, _ = segment_landcover(px.where(~has_multispectral() & has_rgb()), adaptive, visible_only=True)
+    """Dispatch on the bands each scene has; pixels gain ``class`` and ``basis``.
+
+    A scene has a band where any of its pixels does, and goes one way as a whole: a pixel that lacks a band its scene
+    needs is no valid pixel.
+    """
+    has = [F.first(b, ignorenulls=True).alias(b) for b in ("nir", "red", "green", "blue") if b in px.columns]
+    kinds = px.groupBy(*KEY).agg(*has).select(*KEY, has_multispectral().alias("_spectral"))
+    routed = attach(px, kinds, KEY)
+    spectral, _ = segment_landcover(routed.where(F.col("_spectral") & has_multispectral()).drop("_spectral"), adaptive)
+    visible, _ = segment_landcover(routed.where(~F.col("_spectral") & has_rgb()).drop("_spectral"), adaptive, visible_only=True)
     return spectral.withColumn("basis", F.lit("multispectral")).unionByName(
         visible.withColumn("basis", F.lit("rgb")))
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.landcover import segment_landcover
+from ..operators.landcover import segment_any
 from ..operators.radar import fuse_water, fusion_stats, sar_segment
 
 
 def optical_sar_fusion(optical: DataFrame, radar_grid: DataFrame, pixel_km2: DataFrame,
                        prefer_sar_under_cloud: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(fused cells, stats per scene) for scene ids that both sensors share."""
-    labels, _ = segment_landcover(optical)
+    """(fused cells, stats per scene) for scene ids that both sensors share; visible-only scenes take part."""
+    labels = segment_any(optical)
     seen = labels.select("scene_id", "r", "c", (F.col("class") == "water").alias("optical_water"),
                          (F.col("class") == "cloud_or_snow").alias("cloud"))
     cells, _ = sar_segment(radar_grid)

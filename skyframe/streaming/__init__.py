@@ -62,4 +62,6 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
         versions.append(version)
 
     writer.foreachBatch(replace).start().awaitTermination()
+    if not versions:  # the source held nothing
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{root}/table/v{versions[-1]}")
