@@ -18,7 +18,9 @@ IMAGE = ["scene_id"]
 def densify(pixels: DataFrame, scenes: DataFrame, fill: dict, key: list[str] | None = None) -> DataFrame:
     """Every grid cell of every scene with the grid size; cells never observed get ``fill``."""
     key = key or IMAGE
-    cells = scenes.select(*key, "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")).select(
+    cells = scenes.select(*key, "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r"))
+    # the lines of the few scenes are dealt out before each becomes a line of cells
+    cells = cells.repartition(*key, "r").select(
         *key, "width", "height", "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))
     return cells.join(pixels, [*key, "r", "c"], "left").na.fill(fill)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import OTSU_BINS, OTSU_MIN_VALUES
+from ..session import materialise
 from .stats import attach, usable
 
 
@@ -31,6 +32,8 @@ def otsu(df: DataFrame, by: list[str], value: str, bins: int = OTSU_BINS) -> Dat
     rows = df.where(usable(F.col(value))).selectExpr(*by, f"double({value}) AS _v")
     span = rows.groupBy(*by).agg(F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"),
                                  F.expr("count(1) AS _n"), F.expr("var_pop(_v) AS _var"))
+    # written out, so that its size and not that of the pixels decides how it meets them
+    span = materialise(span, "otsu_span")
     small, flat = f"_n < {OTSU_MIN_VALUES}", "_hi - _lo < 1e-9"
     binned = (
         attach(rows, span, by)

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def usable(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
@@ -25,6 +27,7 @@ def melt(df: DataFrame, keys: list[str], metrics: dict[str, Column], name="metri
     return long.where(usable(F.col(value)))
 
 
+#: Least number of tasks that the rows of one key are spread over; a wider shuffle spreads them further.
 SALTS = 16
 
 
@@ -32,12 +35,13 @@ def attach(rows: DataFrame, per_key: DataFrame, by: list[str], how: str = "inner
     """Give every row the columns of its key.
 
     Catalyst broadcasts ``per_key`` when its measured size allows. Beyond that the
-    join must shuffle the rows, so each key is spread over ``SALTS`` tasks by the
+    join must shuffle the rows, so each key is spread over many tasks by the
     input partition of the row (stable when a task is retried), and the aggregates
     that follow combine before their own shuffle instead of inheriting a hot key.
     """
-    spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.expr(f"pmod(spark_partition_id(), {SALTS})"))
+    salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.expr(f"pmod(spark_partition_id(), {salts})"))
     return salted.join(spread, [*by, "_salt"], how).drop("_salt")
 
 
@@ -45,12 +49,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
                     resolution: float = 1024.0) -> DataFrame:
     """Linear-interpolation quantiles per key, exact at any group size.
 
-    Buckets of width 1/resolution are counted with map-side combine; the running
-    count says which bucket holds each wanted rank. Only the rows of those buckets
-    are then grouped by value and ranked, one window per (key, bucket).
+    Values are counted in buckets whose width grows with the value, ``resolution`` for
+    each factor e: an outlier neither swallows the others in one bucket nor makes the
+    ladder of buckets long. The running count says which bucket holds each wanted rank;
+    only the rows of those buckets are then grouped by value and ranked.
     """
     key = ", ".join(by)
-    rows = df.where(usable(F.col(value))).selectExpr(*by, f"double({value}) AS _v", f"floor({value} * {resolution}D) AS _b")
+    rows = df.where(usable(F.col(value))).selectExpr(*by, f"double({value}) AS _v", f"bigint(sign({value}) * floor(ln(1D + abs(double({value})) * 1048576D) * {resolution}D)) AS _b")
     ladder = rows.groupBy(*by, "_b").agg(F.expr("count(1) AS _n")).selectExpr(
         *by, "_b", f"sum(_n) OVER (PARTITION BY {key} ORDER BY _b ROWS UNBOUNDED PRECEDING) AS _upto",
         "_n", f"sum(_n) OVER (PARTITION BY {key}) AS _total").selectExpr("*", "_upto - _n AS _before")
@@ -63,6 +68,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         ladder.selectExpr(*by, "_b", "_before", "_upto", f"inline(array({sides}))")
         .where("_rank >= _before AND _rank < _upto")
         .groupBy(*by, "_b", "_before").agg(F.expr("collect_list(struct(_q, _up, _rank, _t)) AS _targets")))
+    targets = materialise(targets, "quantile_buckets")  # its size decides how it meets the rows
     found = (
         attach(rows, targets, [*by, "_b"])
         .groupBy(*by, "_b", "_v", "_before", "_targets").agg(F.expr("count(1) AS _n"))
