@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.arrow import bound_batches
+from skyframe.llm.arrow import bound_batches, fresh
 from skyframe.session import materialise
 
 #: Runs merged by one round.
@@ -107,12 +107,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of ``docs`` that stay, with all their columns; of repeated rows of one id and text, one."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(_id_key("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    i, sha, one = fresh(docs, "__id"), fresh(docs, "__sha"), fresh(docs, "__one")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(_id_key("doc_id").alias(i), F.col("text_sha256").alias(sha))
     norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK, "")
-    keyed = docs.withColumns({"__id": _id_key(id_col), "__sha": F.sha2(norm, 256)})
+    keyed = docs.withColumns({i: _id_key(id_col), sha: F.sha2(norm, 256)})
     # the window needs no shuffle or sort beyond those of the join
-    one = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("__id", "__sha"))
-    return keyed.join(kept, ["__id", "__sha"], "left_semi").withColumn("__one", one).filter("__one = 1").select(*(keyed[c] for c in docs.columns))
+    rank = F.row_number().over(Window.partitionBy(i, sha).orderBy(i, sha))
+    return keyed.join(kept, [i, sha], "left_semi").withColumn(one, rank).filter(F.col(one) == 1).drop(i, sha, one)
 
 
 def _id_key(column: str) -> Column:

@@ -102,6 +102,10 @@ def parse(html: str) -> Node:
             _close(stack, *IMPLIED[tag])
         if tag not in ("meta", "link", "title", "style", "script", "base", "template", "noscript", "head") and stack[-1].tag == "head":
             stack.pop()
+        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in VOID:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.arrow import Block, blocks, mix, texts_of, windows
+from skyframe.llm.arrow import Block, blocks, fresh, mix, texts_of, windows
 from skyframe.operators.components import star_components
 from skyframe.session import materialise
 
@@ -323,5 +323,6 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, with all its columns."""
-    gone = near_groups(docs, k, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = near_groups(docs, k, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
