@@ -35,32 +35,43 @@ def workload_summary(trace: DataFrame) -> DataFrame:
         F.when(F.count_if(ok) == 0, "no_data").otherwise("ok").alias("status"))
 
 
+def _filled(text: str | None) -> Column:
+    """A text whose {column} placeholders are filled from the row."""
+    if text is None:
+        return F.lit(None).cast("string")
+    pieces, rest = [], text
+    while "{" in rest:
+        head, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        pieces += [F.lit(head), F.col(name).cast("string")]
+    return F.concat(*pieces, F.lit(rest))
+
+
 def to_facts(stats: DataFrame, spec: list[tuple], tool: str, by: str = REQ, extra: dict[str, Column] | None = None) -> DataFrame:
     """Wide measurement rows to fact rows.
 
     ``spec`` rows are (value column, key, label, unit, method); key, label and method
     may hold {column} placeholders filled from the same row. NULL values give no fact.
     """
-    def filled(text: str | None) -> Column:
-        if text is None:
-            return F.lit(None).cast("string")
-        pieces, rest = [], text
-        while "{" in rest:
-            head, _, rest = rest.partition("{")
-            name, _, rest = rest.partition("}")
-            pieces += [F.lit(head), F.col(name).cast("string")]
-        return F.concat(*pieces, F.lit(rest))
-
     rows = F.array(*[
-        F.struct(F.lit(i).alias("ord"), filled(key).alias("fact_key"), filled(label).alias("label"),
+        F.struct(F.lit(i).alias("ord"), _filled(key).alias("fact_key"), _filled(label).alias("label"),
                  half_even(F.col(col).cast("double"), 6).alias("value_num"), F.lit(unit).cast("string").alias("unit"),
-                 filled(method).alias("method"))
+                 _filled(method).alias("method"))
         for i, (col, key, label, unit, method) in enumerate(spec)])
     keep = list((extra or {}))
     return stats.withColumns(extra or {}).select(by, *[c for c in keep if c != by], F.inline(rows)).where(
         "value_num IS NOT NULL").withColumn("tool", F.lit(tool))
 
 
+def to_text_facts(stats: DataFrame, spec: list[tuple], tool: str, by: str = REQ) -> DataFrame:
+    """Fact rows whose value is a text; ``spec`` rows are (text column, key, label, method). NULL texts give no fact."""
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("ord"), _filled(key).alias("fact_key"), _filled(label).alias("label"), F.lit(None).cast("double").alias("value_num"),
+                 F.col(col).cast("string").alias("value_str"), F.lit(None).cast("string").alias("unit"), _filled(method).alias("method"))
+        for i, (col, key, label, method) in enumerate(spec)])
+    return stats.select(by, F.inline(rows)).where("value_str IS NOT NULL").withColumn("tool", F.lit(tool))
+
+
 def geometry_facts(scenes: DataFrame) -> DataFrame:
     """Grid size, scene count and areas of each request, from its scenes."""
     per = scenes.groupBy(REQ).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import index_expr
 from ..operators import series
-from ..operators.facts import to_facts
+from ..operators.facts import to_facts, to_text_facts
 from ..operators.stats import index_stats
 
 
@@ -37,4 +37,7 @@ def timeseries_analysis(pixels: DataFrame, areas: DataFrame, index: str = "NDVI"
         ("r2", "ts_r2", "Trend fit R²", None, "coefficient of determination"),
         ("max", "ts_max", f"Highest {index}", None, "maximum of the scene means"),
         ("min", "ts_min", f"Lowest {index}", None, "minimum of the scene means")], "timeseries_analyzer", by="aoi")
+    named = summary.where("observations > 0").withColumn("index_name", F.lit(index))
+    texts = to_text_facts(named, [("index_name", "ts_index", "Index of the series", "the index that was asked for")], "timeseries_analyzer", by="aoi")
+    facts = texts.unionByName(facts, allowMissingColumns=True)
     return {"series": rows, "trend": trend, "summary": summary, "facts": facts}

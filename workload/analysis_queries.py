@@ -155,6 +155,20 @@ def c8(spark, sf_dir):
     return s.select("aoi", "observations", F.round("confidence", 4).alias("confidence"), *[F.round(c, 6).alias(c) for c in ("slope_per_step", "r2", "net_change")])
 
 
+@query("c8_facts", with_px("""SELECT aoi, fact_key, round(v, 5) AS value_num, CAST(NULL AS VARCHAR) AS value_str FROM (
+  SELECT aoi, CAST(count(*) AS DOUBLE) AS ts_observations, avg(m) AS ts_mean, arg_min(m, yr) AS ts_first, arg_max(m, yr) AS ts_last, arg_max(m, yr) - arg_min(m, yr) AS ts_net_change,
+    regr_slope(m, x) AS ts_slope_per_step, regr_slope(m, x) AS ts_slope_per_year, regr_r2(m, x) AS ts_r2, max(m) AS ts_max, min(m) AS ts_min FROM sr GROUP BY aoi)
+  UNPIVOT (v FOR fact_key IN (ts_observations, ts_mean, ts_first, ts_last, ts_net_change, ts_slope_per_step, ts_slope_per_year, ts_r2, ts_max, ts_min))
+UNION ALL SELECT DISTINCT aoi, 'ts_index', NULL, 'NDVI' FROM sr""",
+    """sr AS (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY yr) - 1 AS x FROM (
+  SELECT aoi, yr, avg((nir - red) / greatest(nir + red, 1e-6)) AS m FROM px GROUP BY ALL HAVING count(*) / 4096.0 >= 0.25))"""))
+def c8_facts(spark, sf_dir):
+    px = pixels(spark, sf_dir).withColumn("d", F.expr("date_sub(DATE '2001-07-01', 365 * (2001 - yr))"))
+    areas = px.select("aoi").distinct().select("aoi", F.lit("2001-07-01").cast("date").alias("anchor"), F.lit(64).alias("width"), F.lit(64).alias("height"))
+    facts = timeseries.timeseries_analysis(px, areas, "NDVI", 8, 365)["facts"]
+    return facts.select("aoi", "fact_key", F.round("value_num", 5).alias("value_num"), "value_str")
+
+
 # --------------------------------------------------------------- facts per question
 SPEC = [("wf", "water_fraction", "Water share", "fraction"), ("wa", "water_area_km2", "Water area", "km2"), ("bf", "bare_soil_fraction", "Bare soil share", "fraction"),
         ("uf", "built_up_fraction", "Built-up share", "fraction"), ("nm", "ndvi_mean", "NDVI mean", None), ("cf", "change_fraction", "Share of observed area that changed", "fraction"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyframe.plans import tool_facts
 from skyframe.functions import geo
 from skyframe.operators import components, focal, radar
 from skyframe.operators.landcover import segment_landcover
@@ -239,3 +240,27 @@ def c10(spark, sf_dir):
     km2 = scenes(px).select("scene_id", geo.pixel_area_km2().alias("pixel_km2"))
     _, stats = optical_sar_fusion(px, radar_grid(spark, sf_dir), km2)
     return stats.select(*FUSION_COLS)
+
+
+SAR_FACTS = ("sar_mean_backscatter", "sar_median_backscatter", "sar_std_backscatter", "sar_water_fraction", "sar_water_pixels", "sar_builtup_fraction", "sar_mean_texture")
+
+
+@query("c9_facts", with_px(f"""SELECT scene_id, fact_key, round_even(v, 6) AS value_num FROM (SELECT scene_id, avg(filtered) AS sar_mean_backscatter, quantile_cont(filtered, 0.5) AS sar_median_backscatter,
+  stddev_pop(filtered) AS sar_std_backscatter, count(*) FILTER (water) / count(*) AS sar_water_fraction, CAST(count(*) FILTER (water) AS DOUBLE) AS sar_water_pixels,
+  count(*) FILTER (built_up) / count(*) AS sar_builtup_fraction, avg(texture) AS sar_mean_texture FROM sarc GROUP BY 1) UNPIVOT (v FOR fact_key IN ({', '.join(SAR_FACTS)}))""", *SAR_CTES))
+def c9_facts(spark, sf_dir):
+    cells, _ = radar.sar_segment(radar_grid(spark, sf_dir))
+    return tool_facts.sar_facts(radar.sar_stats(cells)).select("scene_id", "fact_key", "value_num")
+
+
+@query("c10_facts", with_px(f"""SELECT scene_id, fact_key, round_even(v, 6) AS value_num FROM (SELECT scene_id, iou AS fusion_iou, optical_water_pixels / valid_pixels AS fusion_optical_water_fraction,
+  sar_water_pixels / valid_pixels AS fusion_sar_water_fraction, fused_water_pixels / valid_pixels AS fusion_water_fraction,
+  CAST(optical_water_pixels - agreement_pixels AS DOUBLE) AS fusion_optical_only_pixels, CAST(sar_water_pixels - agreement_pixels AS DOUBLE) AS fusion_sar_only_pixels,
+  CAST(cloud_recovered_pixels AS DOUBLE) AS fusion_cloud_recovered_pixels, CAST(valid_pixels AS DOUBLE) AS fusion_coobserved_pixels,
+  fused_water_km2 AS fusion_water_km2, cloud_recovered_km2 AS fusion_cloud_recovered_km2 FROM ({FUSION.format(f="fz")}))
+  UNPIVOT (v FOR fact_key IN (fusion_iou, fusion_optical_water_fraction, fusion_sar_water_fraction, fusion_water_fraction, fusion_optical_only_pixels, fusion_sar_only_pixels,
+  fusion_cloud_recovered_pixels, fusion_coobserved_pixels, fusion_water_km2, fusion_cloud_recovered_km2))""", *MASKS))
+def c10_facts(spark, sf_dir):
+    km2 = scenes(pixels(spark, sf_dir)).select("scene_id", geo.pixel_area_km2().alias("pixel_km2"))
+    stats = radar.fusion_stats(radar.fuse_water(masks(spark, sf_dir)), km2)
+    return tool_facts.fusion_facts(stats).select("scene_id", "fact_key", "value_num")
