@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to a Python worker; texts of a block are processed together.
 BATCH_ROWS = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Words end at these six characters only.
 SPACE = b" \t\n\x0b\f\r"
@@ -38,8 +38,8 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most BLOCK_BYTES of text; a longer text is a slice of its own."""
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -48,7 +48,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < batch.num_rows:
             done = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, done + BLOCK_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from skyframe.llm.arrow import blocks, hash_spans, mix, texts_of
 
+#: Text that is looked up together; the more, the fewer distinct pre-tokens.
+BLOCK_BYTES = 4 << 20
 #: Keys of a bucket on average, and pre-tokens whose merges a worker remembers.
 BUCKET_KEYS = 4
 REMEMBERED = 400_000
@@ -196,7 +198,7 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 def _coder(path: str, pattern: str, table: PerfectHash, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern, table)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK_BYTES):
             rows = []
             for doc, ids in zip(block.column("doc_id").to_pylist(), vocab.encode(block.column("text").to_pylist()), strict=True):
                 raw, back = ids.tobytes(), vocab.decode(ids)
