@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +114,20 @@ class Block:
         self.end_word = np.searchsorted(self.word_starts, self.ends)
         self.n_words = self.end_word - self.first_word
 
-    def word_hashes(self) -> np.ndarray:
+    @cached_property
+    def _hashes(self) -> np.ndarray:
         return hash_spans(self.data, self.word_starts, self.word_ends)
 
-    def word_doc(self) -> np.ndarray:
+    @cached_property
+    def _word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
 
+    def word_hashes(self) -> np.ndarray:
+        return self._hashes
+
+    def word_doc(self) -> np.ndarray:
+        return self._word_doc
+
     def count(self, mark: np.ndarray) -> np.ndarray:
         """Number of marked bytes of each document."""
         total = np.concatenate(([0], np.cumsum(mark, dtype=np.int64)))

@@ -120,8 +120,8 @@ def estimate(patterns: np.ndarray, count: np.ndarray, rounds: int = 100) -> Weak
     return model
 
 
-def _extra(block: Block) -> list[np.ndarray]:
-    return [np.searchsorted(_STEPS, v) for v in measures(block).values()]
+def _extra(block: Block, found: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
+    return [np.searchsorted(_STEPS, v) for v in (found or measures(block)).values()]
 
 
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +162,9 @@ def fit(docs: DataFrame, max_rows: int = FIT_ROWS, keep_at: float = KEEP_AT, id_
     return QualityModel(labels, hashed.fit(sample.mapInArrow(soft, "text string, target double, weight double"), _extra), keep_at)
 
 
-def probability(block: Block, model: QualityModel) -> np.ndarray:
+def probability(block: Block, model: QualityModel, found: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """A text without words has probability 0."""
-    return np.where(block.n_words == 0, 0.0, model.scorer.probability(block, _extra(block)))
+    return np.where(block.n_words == 0, 0.0, model.scorer.probability(block, _extra(block, found)))
 
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,8 +175,9 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             block = Block(part.column("text"))
-            p = probability(block, model)
-            q = model.labels.posterior(votes(block, measures(block)))
+            found = measures(block)
+            p = probability(block, model, found)
+            q = model.labels.posterior(votes(block, found))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(q), pa.array(p), pa.array(p >= model.keep_at)], names=["doc_id", "posterior", "probability", "kept"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, posterior double, probability double, kept boolean")
