@@ -6,6 +6,10 @@ region of it, and candidates are neighbours by longest common prefix: in a small
 next neighbours on both sides, which agree to any depth, and the classes nearest to the middle of the region, around
 which copies of one text lie.  A region so large that it would burden a task is divided at greater depth.  Candidates are confirmed on whole sets, most similar first; once two classes are in one component, no
 more of their pairs are looked at, so a group of copies costs in proportion to its size.
+
+Large regions only propose likely pairs, so their classes are also joined exactly: two sets of the wanted similarity share
+one of the rarest shingles of each (a prefix of the set in an order of all shingles), and sizes and positions bound what
+they can have in common.  Only pairs across components go on.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ MIN_AGREE = 79
 FILTER_BITS = 1 << 23
 #: Confirmed at once for each class, before components are known.
 FIRST_PARTNERS = 2
+#: Counters by which shingles are ordered, rarest first, and groups a component's rows of a shingle are dealt to.
+COUNTERS = 1 << 21
+DEALT = 64
 
 _rng = np.random.default_rng(4004)
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,22 +117,23 @@ def _prefix(tree: Column, depth: int) -> Column:
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """(rep, tree, region, members): the regions of two or more classes, with the large ones divided by depth."""
+    """(rep, tree, region, members, divided): the regions of two or more classes, with the large ones divided by depth."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = classes.select("rep", "signature", trees)
     shown = rows.filter(F.pmod(F.xxhash64("rep"), F.lit(SHOWN)) == 0)
     depth = F.lit(DEPTH)
     region = F.xxhash64("tree", _prefix(F.col("tree"), DEPTH))
-    keyed = rows.withColumn("region", region)
+    keyed = rows.withColumn("region", region).withColumn("divided", F.lit(False))
     for last, d in zip((DEPTH, *DEPTHS), DEPTHS, strict=False):
         # a few rows at most: each stands for DIVIDE / SHOWN sampled ones
         large = materialise(shown.groupBy("tree", _prefix(F.col("tree"), last).alias("p")).count().filter(F.col("count") > DIVIDE // SHOWN).select("tree", "p"), "large_regions")
         if large.isEmpty():
             break
         marked = keyed.withColumn("p", _prefix(F.col("tree"), last)).join(large.withColumn("is_large", F.lit(True)), ["tree", "p"], "left")
-        keyed = marked.withColumn("region", F.when(F.col("is_large"), F.xxhash64("tree", _prefix(F.col("tree"), d))).otherwise(F.col("region"))).drop("p", "is_large")
+        keyed = marked.withColumn("region", F.when(F.col("is_large"), F.xxhash64("tree", _prefix(F.col("tree"), d))).otherwise(F.col("region")))
+        keyed = keyed.withColumn("divided", F.col("divided") | F.col("is_large").isNotNull()).drop("p", "is_large")
     members = F.count(F.lit(1)).over(Window.partitionBy("region"))
-    return keyed.select("rep", "tree", "region").withColumn("members", members).filter("members > 1")
+    return keyed.select("rep", "tree", "region", "divided").withColumn("members", members).filter("members > 1 OR divided")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
@@ -187,9 +195,9 @@ def _neighbours(percent: int):
     return run
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
+def candidates(classes: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     """(a, b, agree): pairs of classes that a tree finds close, a < b, each once."""
-    found = _regions(classes).join(classes, "rep")
+    found = regions.filter("members > 1").join(classes, "rep")
     label = F.substring(F.concat("signature", "signature"), 2 * STRIDE * F.col("tree") + 1, F.lit(2 * VALUES))
     rows = found.select("region", "members", "rep", "n_shingles", label.alias("label"))
     ordered = rows.repartition("region").sortWithinPartitions("region", "label", "rep")
@@ -254,6 +262,58 @@ def _confirmer(percent: int):
     return run
 
 
+def _rarities(sets: DataFrame) -> np.ndarray:
+    """Counts of hashed shingles, capped; with the shingle itself they order all shingles, rare ones first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            value = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            n += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for row in sets.select("shingles").coalesce(8).mapInArrow(run, "n binary").toLocalIterator():
+        out += np.frombuffer(row["n"], np.uint32)
+    return np.minimum(out, 0xFFFF).astype(np.uint16)
+
+
+_PREFIX = pa.schema([("shingle", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+
+
+def _prefixes(rarity: np.ndarray, percent: int):
+    """The rarest shingles of each set, one of which any set at least as similar holds, and their places in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, raw in zip(batch.column("rep").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                value = np.frombuffer(raw, np.uint64)
+                n = len(value)
+                order = np.lexsort((value, rarity[(value & np.uint64(COUNTERS - 1)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
+                m = len(order)
+                yield pa.RecordBatch.from_arrays([pa.array(value[order].view(np.int64)), pa.array(np.full(m, rep, np.int64)), pa.array(np.full(m, n, np.int32)),
+                                                  pa.array(np.arange(m, dtype=np.int32))], schema=_PREFIX)
+
+    return run
+
+
+def exact_candidates(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree): all pairs across components that can be similar enough, a < b, with the shingles they share in their prefixes."""
+    prefixes = sets.mapInArrow(_prefixes(_rarities(sets), percent), "shingle bigint, rep bigint, n int, at int")
+    rooted = prefixes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # rows of one component meet those of others, never each other
+    group = F.pmod(F.xxhash64("rep"), F.lit(DEALT))
+    held = materialise(rooted.groupBy("shingle", "root", group.alias("dealt")).agg(F.collect_list(F.struct("rep", "n", "at")).alias("rows")).drop("dealt"), "prefixes")
+    several = held.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
+    met = held.join(several, "shingle")
+    one = met.select("shingle", F.col("root").alias("r"), F.col("rows").alias("xs"))
+    other = met.select("shingle", F.col("root").alias("s"), F.col("rows").alias("ys"))
+    pairs = one.join(other, "shingle").filter("r < s").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    # at its first common shingle a pair shares nothing before it, and at most what is left of either set
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    possible = most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return pairs.filter(possible & sized).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"))
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's links as (node, smallest node reached), one row per node: what goes on does not grow with the links."""
     parent: dict[int, int] = {}
@@ -290,6 +350,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmer(percent), "a bigint, b bigint")
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """Links among ``pairs`` that join all their components: the likeliest of each class first, then those still across."""
+    by_end = F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")), F.struct(F.col("b").alias("one"), F.col("a").alias("other")))
+    rank = F.row_number().over(Window.partitionBy("one").orderBy(F.col("agree").desc(), "other"))
+    best = pairs.select("agree", F.inline(by_end)).withColumn("rank", rank).filter(F.col("rank") <= FIRST_PARTNERS).select(
+        F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
+    first = materialise(_links(best, sets, percent), "links")
+    rest = _across(pairs.join(best, ["a", "b"], "left_anti"), components(first if known is None else first.unionByName(known)))
+    return first.unionByName(materialise(_links(rest, sets, percent), "links"))
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -304,16 +375,15 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     # members of a class have the same signature: any of them will do
     classes = materialise(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    pairs = materialise(candidates(classes, percent), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    regions = materialise(_regions(classes), "regions")
+    pairs = materialise(candidates(classes, regions, percent), "candidates")
+    crowded = regions.filter((F.col("members") > ALL_PAIRS) | F.col("divided")).select(F.col("rep").alias("end")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).unionByName(crowded).distinct()
     sets = materialise(_with_candidates(rows, ends).mapInArrow(_set_maker(k), "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle_sets")
-    by_end = F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")), F.struct(F.col("b").alias("one"), F.col("a").alias("other")))
-    rank = F.row_number().over(Window.partitionBy("one").orderBy(F.col("agree").desc(), "other"))
-    best = pairs.select("agree", F.inline(by_end)).withColumn("rank", rank).filter(F.col("rank") <= FIRST_PARTNERS).select(
-        F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
-    first = materialise(_links(best, sets, percent), "links")
-    rest = _across(pairs.join(best, ["a", "b"], "left_anti"), components(first))
-    links = first.unionByName(materialise(_links(rest, sets, percent), "links"))
+    links = _confirmed(pairs, sets, percent)
+    if not crowded.isEmpty():
+        more = exact_candidates(sets.join(crowded, sets.rep == crowded.end, "left_semi"), components(links), percent)
+        links = links.unionByName(_confirmed(materialise(more, "exact_candidates"), sets, percent, links))
     roots = components(links).select(F.col("node").alias("rep"), "root")
     owner = classes.select(*key, "rep").join(roots, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component"))
     placed = signed.select("doc_id", *key).join(owner, key, "left")

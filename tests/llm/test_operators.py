@@ -107,6 +107,30 @@ def test_large_regions_are_divided(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_large_regions_lose_no_pair(spark):
+    rng = random.Random(7)
+    # one long passage with an ending of its own (similarity 0.75), and planted pairs that share some of their endings (0.83)
+    passage, texts = " ".join(f"t{i}" for i in range(103)), []
+    for i in range(1000):
+        own = [f"o{rng.random()}" for _ in range(17)]
+        texts.append(" ".join([passage, *own]))
+        if i < 200:
+            texts.append(" ".join([passage, *own[:6], *(f"p{rng.random()}" for _ in range(11))]))
+    rng.shuffle(texts)
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    column = {s: c for c, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [column[x] for x in s]] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    want = list(range(len(texts)))
+    for a, b in np.argwhere(np.triu(100 * common >= 80 * (size[:, None] + size - common), 1)):
+        want[b] = want[a]
+    got = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5), 4).collect()
+    assert len(set(want)) == 1000
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
 HTML = [
     ("<p>One<p>Two <b>bold</b><br>line", "One\n\nTwo bold\nline"),
     ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>end", "- a\n- b\n  3. c\n  4. d\n\nend"),
