@@ -175,36 +175,75 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions, and the shown cells of each shown row."""
-    captions, rows, todo = [], [], [iter(table.children)]
+def _rows(table: Node) -> tuple[list[Node], list[Node | str], list[list[Node]]]:
+    """Captions, what is shown outside the cells, and the shown cells of each shown row."""
+    captions, stray, rows, wrappers = [], [], [], _wrappers(table)
+    todo: list[tuple[Iterator[Node | str], list[Node] | None]] = [(iter(table.children), None)]
     while todo:
-        for child in todo[-1]:
-            if isinstance(child, str) or not shown(child):
+        children, row = todo[-1]
+        for child in children:
+            if isinstance(child, str):
+                stray.append(child)
+            elif not shown(child):
                 continue
-            if child.tag == "caption":
+            elif child.tag == "caption":
                 captions.append(child)
-            elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and shown(c)])
             elif child.tag in ("td", "th"):
-                rows.append([child])
-            elif child.tag != "table":
+                if row is None:
+                    rows.append([child])
+                else:
+                    row.append(child)
+            elif child.tag == "tr":
+                rows.append([])
+                stray.append(" ")
+                todo.append((iter(child.children), rows[-1]))
+                break
+            elif id(child) in wrappers:
+                stray.append(" ")
+                todo.append((iter(child.children), row))
+                break
+            else:
+                stray.append(child)
+        else:
+            todo.pop()
+    return captions, stray, rows
+
+
+def _wrappers(table: Node) -> set[int]:
+    """The elements between the table and its rows, cells and captions; each node is looked at once."""
+    found: set[int] = set()
+    path, todo = [table], [iter(table.children)]
+    while todo:
+        for child in todo[-1]:
+            if isinstance(child, str) or child.tag in ("table", "details"):
+                continue
+            if child.tag in ("tr", "td", "th", "caption"):
+                for node in reversed(path):
+                    if id(node) in found:
+                        break
+                    found.add(id(node))
+            if child.tag not in ("td", "th", "caption"):
+                path.append(child)
                 todo.append(iter(child.children))
                 break
         else:
             todo.pop()
-    return captions, rows
+            path.pop()
+    return found
 
 
 def _table(node: Node, depth: int) -> list[str]:
-    captions, rows = _rows(node)
+    captions, stray, rows = _rows(node)
     grid = [[render(cell, depth + 1).split("\n") for cell in row] for row in rows]
     width: list[int] = []
     for row in grid:
         for i, cell in enumerate(row):
             width += [0] * (i + 1 - len(width))
             width[i] = max(width[i], *map(len, cell))
-    lines = [line for c in captions for line in render(c, depth + 1).split("\n")]
+    # what is no cell goes before the table, as browsers move it there
+    before = render(Node("div", children=stray), depth + 1)
+    lines = before.split("\n") if before.strip() else []
+    lines += [line for c in captions for line in render(c, depth + 1).split("\n")]
     for row in grid:
         for k in range(max(map(len, row), default=0)):
             lines.append("  ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(row)).rstrip())

@@ -143,6 +143,18 @@ HTML = [
     ("<head><title>t</title><body>x", "x"),
     ("<dl><dt>k<dd>v</dl>", "k\n  v"),
     ("<a href='x>y'>z</a> 1 < 2", "z 1 < 2"),
+    ("<table><tr><form><td>x</td><td>y</td></form></tr></table>", "x  y"),
+    ("<table><form><tr><td>x</td></tr></form><tr><td>y</table>", "x\ny"),
+    ("<table>text<tr><td>x</table>", "text\nx"),
+    ("<table><div>text</div><tr><td>x</table>", "text\nx"),
+    ("<table><tr><p>text</p></tr></table>", "text"),
+    ("<table><tbody>a <b>b</b><tr><td>x</tbody></table>", "a b\nx"),
+    ("<table><tr>a<td>x<td>y</table>", "a\nx  y"),
+    ("<table><table><tr><td>in</table><tr><td>x</table>", "in\nx"),
+    ("<table>a<tr>b<td>x</table>", "a b\nx"),
+    ("<table>" + "<b>" * 20_000 + "<tr><td>x</table>", "x"),
+    ("<table><details><tr><td>no</td></tr></details><tr><td>x</table>", "x"),
+    ("<table><tr><div hidden>no</div><td>x</table>", "x"),
 ]
 
 
