@@ -367,6 +367,16 @@ def test_licences_are_found_whole(spark):
     assert got == want
 
 
+def test_short_notices_are_found(spark):
+    rows = [(0, "a b c d e f g All rights\nRESERVED. x"), (1, "all rights reserved"), (2, "all rights"), (3, "a b c all rights reserved"), (4, None), (5, "Copyright Licensed under CC BY-NC 4.0.")]
+    wanted = licences.TEMPLATES | licences.SHORT_NOTICES | {"one": "Copyright"}
+    got = {(r["doc_id"], r["licence"]): (r["n_windows"], r["first_word"], r["containment"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), wanted).collect()}
+    name = "all-rights-reserved"
+    assert got == {(0, name): (1, 6, 1.0), (1, name): (1, 0, 1.0), (3, name): (2, 0, 1.0), (5, "one"): (1, 0, 1.0), (5, "cc-by-nc-4.0"): (1, 0, 1.0)}
+    with pytest.raises(ValueError):
+        licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), {"none": " ."})
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 1000, 4097):
         out = token_output.permute(np.arange(n), n, 42)
