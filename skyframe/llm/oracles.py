@@ -29,6 +29,36 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.root AS compo
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+REPEATS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS phrase FROM d, unnest(generate_series(1, CAST(len(words) - 12 AS BIGINT))) t(i)),
+o AS (SELECT phrase, min(doc_id) AS first_doc FROM s GROUP BY phrase),
+gone AS (SELECT DISTINCT doc_id, i + k AS spot FROM s JOIN o USING (phrase), unnest(generate_series(0, 12)) u(k) WHERE first_doc < doc_id),
+w AS (SELECT doc_id, j AS spot, words[j] AS word FROM d, unnest(generate_series(1, CAST(len(words) AS BIGINT))) t(j)),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY spot) AS kept FROM w ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+FILL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha FROM documents),
+t AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, CAST('0x' || sha[1:8] AS UBIGINT) AS h1,
+    CAST('0x' || sha[9:16] AS UBIGINT) AS h2, CAST('0x' || sha[17:24] AS UBIGINT) AS h3, CAST('0x' || sha[25:32] AS UBIGINT) AS h4 FROM h),
+c AS (
+  SELECT *, CAST(len(tokens) AS BIGINT) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT *, coalesce(array_to_string(tokens[1:a], ''), '') AS pre, coalesce(array_to_string(tokens[a + 1:b], ''), '') AS mid,
+    coalesce(array_to_string(tokens[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
 
 def licence_sql() -> str:
     """Containment of every template in every window, over strings instead of hashes."""

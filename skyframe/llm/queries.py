@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, exact_dedup, html_text, licences, near_dedup, oracles, packing, quality_rules, token_output, toxicity, weak_quality
+from skyframe.llm import (
+    bpe, exact_dedup, fill_in_middle, html_text, licences, near_dedup, oracles, packing, phrases, quality_rules, spelling, token_output, toxicity, weak_quality)
 from skyframe.session import checkpoint_root
 
 SHUFFLE_KEY = 20240229
@@ -69,8 +70,22 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_shards(_table(spark, sf_dir, "documents"), folder, path, public_tokenizers.PATTERN, SHUFFLE_KEY)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(_table(spark, sf_dir, "documents"), seed=42))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_minhash_near_dedup, op3_html_extraction, op4_quality_classifier, op5_packing, op6_quality_rules, op7_toxicity, op8_byte_bpe,
-    op9_licence_scan, op10_token_output)}
+    op9_licence_scan, op10_token_output, op11_spelling_variants, op12_substring_dedup, op13_fill_in_middle)}
 
-ORACLES = {"op1_exact_dedup": oracles.EXACT, "op2_minhash_near_dedup": oracles.NEAR, "op9_licence_scan": oracles.licence_sql()}
+ORACLES = {"op1_exact_dedup": oracles.EXACT, "op2_minhash_near_dedup": oracles.NEAR, "op9_licence_scan": oracles.licence_sql(),
+           "op12_substring_dedup": oracles.REPEATS, "op13_fill_in_middle": oracles.FILL}
