@@ -12,9 +12,9 @@ comes only every few words, so anchors are shuffled instead of windows.
    is a whole word.
 4. The words located are removed from the documents.
 
-An anchor in very many documents would bring all of them into one task.  Its passages are divided into their windows,
-which are keyed by their own words: their first document is a minimum, combined before the shuffle, and the join that
-brings it back is split where one window is in a large part of all documents.
+An anchor in very many windows would bring all of them into one task.  Its passages are folded into distinct ones before
+the shuffle, the windows of these are keyed by their own words, and what recurs in a distinct passage comes back to its
+occurrences by a join that is split where one passage is in a large part of all documents.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ from skyframe.session import materialise
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 13, 5
-#: Passages of an anchor beyond which they are divided.
-COMMON = 2048
-#: Passages whose phrases are compiled into one automaton.
-SHARD = 8192
+#: Windows of an anchor beyond which its passages are keyed by their words instead.
+COMMON = 65_536
+#: Words after which a shard is compiled, once its last anchor ends.
+SHARD = 150_000
+#: Windows of a passage; more with one anchor, as in periodic texts, are several passages.
+LONGEST = 4096
 
 
 def _anchors(block: Block, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,30 +48,32 @@ def _anchors(block: Block, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     if not len(start):
         return empty, empty, empty, np.zeros(0, np.uint64)
     # hash of the anchor at each word; none where the document ends too early
-    value = np.zeros(len(block.word_starts), np.uint64)
+    value = np.full(len(block.word_starts), np.uint64(0xFFFFFFFFFFFFFFFF))
     value[at] = h
-    span = window - anchor + 1
-    best, place = value[start].copy(), start.copy()
-    for o in range(1, span):
-        less = value[start + o] < best
-        best[less] = value[start + o][less]
-        place[less] = start[less] + o
+    # smallest of a window's anchors: spans of two, four, ... words are combined
+    span, reach, best = window - anchor + 1, 1, value
+    while 2 * reach <= span:
+        best, reach = np.minimum(best[: len(best) - reach], best[reach:]), 2 * reach
+    rest = span - reach
+    best = (np.minimum(best[: len(best) - rest], best[rest:]) if rest else best)[start]
     doc = block.word_doc()[start]
-    new = np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(start)])) - 1
+    new = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]))))
+    within = np.arange(len(start)) - np.repeat(new, np.diff(np.append(new, len(start))))
+    first = np.flatnonzero(within % LONGEST == 0)
+    last = np.append(first[1:], len(start)) - 1
     return doc[first], start[first], start[last], best[first]
 
 
 def _anchorer(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
-            doc, _, _, value = _anchors(Block(part.column("text")), window, anchor)
+            doc, first, last, value = _anchors(Block(part.column("text")), window, anchor)
             order = np.lexsort((value, doc))
-            doc, value = doc[order], value[order]
-            edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]), [True]))) if len(doc) else np.zeros(1, np.int64)
-            fresh, n = edge[:-1], np.diff(edge).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(value[fresh].view(np.int64)), part.column("doc_id").take(pa.array(doc[fresh])), pa.array(n)], names=["anchor", "doc_id", "n"])
+            doc, value, size = doc[order], value[order], (last - first + 1)[order]
+            fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])))) if len(doc) else np.zeros(0, np.int64)
+            n = np.add.reduceat(size, fresh) if len(doc) else size
+            yield pa.RecordBatch.from_arrays([pa.array(value[fresh].view(np.int64)), part.column("doc_id").take(pa.array(doc[fresh])), pa.array(n.astype(np.int32))],
+                                             names=["anchor", "doc_id", "n"])
 
     return run
 
@@ -78,7 +82,7 @@ _PASSAGE = "doc_id bigint, copy bigint, anchor bigint, common boolean, at bigint
 
 
 def _passages(window: int, anchor: int):
-    """The passages of a document's recurring anchors; those of common anchors window by window."""
+    """The passages of a document's recurring anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             block = Block(part.column("text"))
@@ -96,19 +100,13 @@ def _passages(window: int, anchor: int):
             mine["doc"], mine["value"] = doc, value.view(np.int64)
             place = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
             hit = np.flatnonzero(known[place] == mine) if len(known) else np.zeros(0, np.int64)
-            out: list[list] = [[], [], [], [], []]
-            for i in hit.tolist():
-                is_common = bool(common[place[i]])
-                words = block.data[block.word_starts[first[i]] : block.word_ends[last[i] + window - 1]].tobytes().split()
-                at = int(first[i] - block.first_word[doc[i]])
-                pieces = [(at + w, words[w : w + window]) for w in range(len(words) - window + 1)] if is_common else [(at, words)]
-                for where, piece in pieces:
-                    for column, v in zip(out, (int(doc[i]), int(value.view(np.int64)[i]), is_common, where, b" ".join(piece)), strict=True):
-                        column.append(v)
-            rows = pa.array(out[0], pa.int64())
+            begins, ends = block.word_starts[first[hit]].tolist(), block.word_ends[last[hit] + window - 1].tolist()
+            raw = block.data.tobytes()
+            texts = [b" ".join(raw[x:y].split()) for x, y in zip(begins, ends, strict=True)]
+            rows = pa.array(doc[hit])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(rows), part.column("copy").take(rows), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()),
-                 pa.array(out[4], pa.binary()).cast(pa.string())], names=["doc_id", "copy", "anchor", "common", "at", "passage"])
+                [part.column("doc_id").take(rows), part.column("copy").take(rows), pa.array(mine["value"][hit]), pa.array(common[place[hit]] if len(hit) else np.zeros(0, bool)),
+                 pa.array(first[hit] - block.first_word[doc[hit]]), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "copy", "anchor", "common", "at", "passage"])
 
     return run
 
@@ -116,19 +114,26 @@ def _passages(window: int, anchor: int):
 _SPAN = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
+class _Symbols(dict):
+    """A symbol for each word; surrogates are none."""
+
+    def __missing__(self, word: str) -> str:
+        n = len(self) + 1
+        symbol = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return symbol
+
+
 class PhraseAutomaton:
     """Phrases of whole words with the first document of each; a word is one symbol."""
 
     def __init__(self, window: int):
         self.window = window
-        self.symbols: dict[str, str] = {}
+        self.symbols = _Symbols()
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.ready = False
 
     def encode(self, words: list[str]) -> str:
-        known = self.symbols
-        # surrogates are no symbols
-        return "".join([known.get(w) or known.setdefault(w, chr(n + 1 if (n := len(known)) < 0xD7FF else n + 0x801)) for w in words])
+        return "".join(map(self.symbols.__getitem__, words))
 
     def compile(self, phrases: dict[str, int]) -> None:
         for phrase, first in phrases.items():
@@ -153,56 +158,95 @@ def recurring(texts: dict[str, tuple[int, int]], window: int) -> dict[str, int]:
     return {phrase: l for phrase, (l, h) in seen.items() if l < h}
 
 
-def _shard(rows: list[tuple[int, int, int, str]], window: int) -> pa.RecordBatch:
+def covered(located: list[tuple[int, int]], doc: int, window: int) -> list[tuple[int, int]]:
+    """The words of located phrases (first word, first document; in order) that begin in a smaller document, as spans."""
+    spans: list[tuple[int, int]] = []
+    for where, first in located:
+        if first < doc:
+            if spans and where <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], where + window)
+            else:
+                spans.append((where, where + window))
+    return spans
+
+
+def _shard(columns: list[list], window: int) -> pa.RecordBatch:
     """The words of passages (doc_id, copy, at, passage) that earlier documents hold, as spans."""
     automaton = PhraseAutomaton(window)
     texts: dict[str, tuple[int, int]] = {}
-    coded = []
-    of: dict[str, str] = {}
-    for doc, _, _, passage in rows:
-        symbols = of.get(passage)
-        if symbols is None:
-            symbols = of[passage] = automaton.encode(passage.split(" "))
-        low, high = texts.get(symbols, (doc, doc))
-        texts[symbols] = (min(low, doc), max(high, doc))
-        coded.append(symbols)
-    automaton.compile(recurring(texts, window))
-    located = {t: automaton.locate(t) for t in texts}
-    spans = []
-    for (doc, copy, at, _), symbols in zip(rows, coded, strict=True):
-        stop = start = -1
-        for where, first in located[symbols]:
-            if first >= doc:
-                continue
-            if where > stop:
-                if start >= 0:
-                    spans.append((doc, copy, at + start, at + stop))
-                start = where
-            stop = where + window
-        if start >= 0:
-            spans.append((doc, copy, at + start, at + stop))
-    return pa.RecordBatch.from_arrays([pa.array([s[c] for s in spans], pa.int64()) for c in range(4)], schema=_SPAN)
+    for doc, _, _, passage in zip(*columns, strict=True):
+        known = texts.get(passage)
+        texts[passage] = (doc, doc) if known is None else (min(known[0], doc), max(known[1], doc))
+    coded = {passage: automaton.encode(passage.split(" ")) for passage in texts}
+    automaton.compile(recurring({coded[p]: ends for p, ends in texts.items()}, window))
+    located = {passage: automaton.locate(symbols) for passage, symbols in coded.items()}
+    spans: list[list[int]] = [[], [], [], []]
+    for doc, copy, at, passage in zip(*columns, strict=True):
+        for start, stop in covered(located[passage], doc, window):
+            for column, v in zip(spans, (doc, copy, at + start, at + stop), strict=True):
+                column.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in spans], schema=_SPAN)
 
 
 def _locator(window: int):
     """Rows come sorted by anchor; a shard takes whole anchors, so all passages that can share a phrase."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, str]] = []
-        last = None
+        held: list[list] = [[], [], [], []]
+        words, last = 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "copy", "at", "passage")]
-            for anchor, *row in zip(*columns, strict=True):
-                if anchor != last and len(rows) >= SHARD:
-                    yield _shard(rows, window)
-                    rows = []
+            anchors = batch.column("anchor").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "copy", "at", "passage")]
+            begin = 0
+            for i, (anchor, passage) in enumerate(zip(anchors, columns[3], strict=True)):
+                if words >= SHARD and anchor != last:
+                    yield _shard([h + c[begin:i] for h, c in zip(held, columns, strict=True)], window)
+                    held, begin, words = [[], [], [], []], i, 0
                 last = anchor
-                rows.append(tuple(row))
-        if rows:
-            yield _shard(rows, window)
+                words += passage.count(" ") + 1
+            held = [h + c[begin:] for h, c in zip(held, columns, strict=True)]
+        if held[0]:
+            yield _shard(held, window)
 
     return run
 
 
+def _windows_of(window: int):
+    """The windows of passages, by the place of their first word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "passage"):
+            out: list[list] = [[], [], []]
+            for i, passage in enumerate(part.column("passage").to_pylist()):
+                words = passage.split(" ")
+                n = len(words) - window + 1
+                for column, values in zip(out, ([i] * n, range(n), [" ".join(words[w : w + window]) for w in range(n)]), strict=True):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([*part.take(pa.array(out[0], pa.int64())).columns, pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
+                                             names=[*part.schema.names, "place", "phrase"])
+
+    return run
+
+
+def _common_spans(passages: DataFrame, window: int) -> DataFrame:
+    """What ``_locator`` finds, for passages of anchors with very many windows."""
+    distinct = materialise(passages.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "common_passages")
+    pieces = distinct.mapInArrow(_windows_of(window), "passage string, low bigint, high bigint, place bigint, phrase string")
+    first = pieces.groupBy("phrase").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("phrase", "first")
+    # at most one entry per word of a passage
+    located = pieces.select("passage", "place", "phrase").join(first, "phrase").groupBy("passage").agg(F.collect_list(F.struct("place", "first")).alias("located"))
+    held = passages.select("doc_id", "copy", "at", "passage").join(materialise(located, "common_phrases"), "passage")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = [[], [], [], []]
+            for doc, copy, at, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "at", "located")), strict=True):
+                for start, stop in covered(sorted((x["place"], x["first"]) for x in places), doc, window):
+                    for column, v in zip(out, (doc, copy, at + start, at + stop), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in out], schema=_SPAN)
+
+    return held.select("doc_id", "copy", "at", "located").mapInArrow(spans, "doc_id bigint, copy bigint, start bigint, stop bigint")
+
+
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches):
         block = Block(part.column("text"))
@@ -246,10 +290,7 @@ def _spans(rows: DataFrame, window: int, anchor: int, common: int) -> DataFrame:
     passages = materialise(found, "passages")
     dealt = passages.filter("NOT common").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     some = dealt.select("anchor", "doc_id", "copy", "at", "passage").mapInArrow(_locator(window), "doc_id bigint, copy bigint, start bigint, stop bigint")
-    single = passages.filter("common")
-    first = materialise(single.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("passage", "low"), "common_phrases")
-    many = single.join(first, "passage").filter("low < doc_id").select("doc_id", "copy", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
-    return some.unionByName(many)
+    return some.unionByName(_common_spans(passages.filter("common"), window))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,8 +171,8 @@ def passages(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("common", [2048, 3])
-@pytest.mark.parametrize("shard", [8192, 20])
+@pytest.mark.parametrize("common", [65_536, 3, 60])
+@pytest.mark.parametrize("shard", [150_000, 200])
 def test_repeats_against_brute_force(spark, monkeypatch, common, shard):
     monkeypatch.setattr(phrases, "SHARD", shard)
     rows = passages(common, 300)
@@ -188,6 +188,13 @@ def test_repeats_on_odd_rows(spark):
     assert removal(phrases.remove_repeats(table(spark, []))) == []
 
 
+def test_periodic_texts_in_several_passages(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "LONGEST", 8)
+    rows = [(1, "a b " * 60), (2, "b a " * 40 + "c"), (3, "c " + "a b " * 30), (4, "a " * 90), (5, "a " * 50)]
+    for common in (65_536, 10):
+        assert removal(phrases.remove_repeats(table(spark, rows), common=common)) == sorted(removed_by_hand(rows), key=key)
+
+
 def test_anchors_of_other_sizes(spark):
     rows = passages(5, 120)
     for window, anchor in ((5, 5), (6, 1), (20, 8)):
