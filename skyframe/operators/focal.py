@@ -1,22 +1,24 @@
-"""Neighbourhood operators as separable windows.
+"""Neighbourhood operators over images given as rows (key…, r, c, value).
 
-A k x k box is a vertical window over each column followed by a horizontal one
-over each row. Window partitions are single rows or columns of one image, so they
-are bounded by the image side and a large scene still spreads over all tasks.
+All run on tiles with a halo (``halo``): one shuffle of pixels for any chain of steps.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import attach
+from . import halo as tiles
 
 IMAGE = ["scene_id"]
 
 
 def densify(pixels: DataFrame, scenes: DataFrame, fill: dict, key: list[str] | None = None) -> DataFrame:
-    """Every grid cell of every scene with the grid size; cells never observed get ``fill``."""
+    """Every grid cell of every scene with the grid size; cells never observed get ``fill``.
+
+    For results that list empty cells; the operators below fill empty cells by themselves.
+    """
     key = key or IMAGE
     cells = scenes.select(*key, "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r"))
     # the lines of the few scenes are dealt out before each becomes a line of cells
@@ -25,107 +27,85 @@ def densify(pixels: DataFrame, scenes: DataFrame, fill: dict, key: list[str] | N
     return cells.join(pixels, [*key, "r", "c"], "left").na.fill(fill)
 
 
-def _with_halo(df: DataFrame, axis: str, size: str, half: int, edge: str | None) -> DataFrame:
-    """Add mirrored lines beyond both ends of ``axis``.
+def box_mean(df: DataFrame, value: str, k: int, out: str, edge: str = "symmetric", key: list[str] | None = None) -> DataFrame:
+    """Mean of the k x k box; ``symmetric`` repeats the edge line, ``reflect`` does not."""
+    def kernel(a, present, image):
+        return {out: tiles.box_sum(a[value], k // 2, edge) / float(k * k)}
 
-    ``symmetric`` repeats the edge line (… 1 0 | 0 1 …), ``reflect`` does not
-    (… 2 1 | 0 1 …); None adds nothing, so missing neighbours count as absent.
-    """
-    if edge is None:
-        return df
-    near, far = (-1, -1) if edge == "symmetric" else (0, -2)
-    lo, hi = (0, half - 1) if edge == "symmetric" else (1, half)
-    places = (f"filter(array({axis}, CASE WHEN {axis} BETWEEN {lo} AND {hi} THEN {near} - {axis} END, "
-              f"CASE WHEN {size} - 1 - {axis} BETWEEN {lo} AND {hi} THEN 2 * {size} + {far} - {axis} END), "
-              f"x -> x IS NOT NULL)")
-    others = [c for c in df.columns if c != axis]
-    return df.selectExpr(*others, f"explode({places}) AS {axis}")
-
-
-def box_sums(df: DataFrame, values: dict[str, tuple[str, int]], edge: str | None, key: list[str] | None = None,
-             across_first: bool = False) -> DataFrame:
-    """Sums over square boxes as columns: name -> (expression, side); needs width and height.
-
-    Boxes of several sides share the halo of the largest and the two sorts.
-    """
-    key = key or IMAGE
-    half = {name: k // 2 for name, (_, k) in values.items()}
-    out = df.selectExpr("*", *[f"double({expr}) AS {name}" for name, (expr, _) in values.items()])
-    passes = [("r", "c", "height"), ("c", "r", "width")]
-    for along, fixed, size in reversed(passes) if across_first else passes:
-        out = _with_halo(out, along, size, max(half.values()), edge)
-        frame = f"OVER (PARTITION BY {', '.join(key)}, {fixed} ORDER BY {along} RANGE BETWEEN {{h}} PRECEDING AND {{h}} FOLLOWING)"
-        others = [c for c in out.columns if c not in values]
-        out = out.selectExpr(*others, *[f"sum({name}) {frame.format(h=h)} AS {name}" for name, h in half.items()])
-        if edge is not None:
-            out = out.where(f"{along} >= 0 AND {along} < {size}")
-    return out
+    return tiles.over_tiles(df, key or IMAGE, [value], [out], k // 2, kernel)
 
 
-def box_mean(df: DataFrame, value: str, k: int, out: str, edge: str = "symmetric", key: list[str] | None = None) -> DataFrame:
-    n = float(k * k)
-    summed = box_sums(df, {"_s": (value, k)}, edge, key)
-    return summed.withColumn(out, F.col("_s") / n).drop("_s")
+def local_std(df: DataFrame, value: str, sides: dict[str, int], key: list[str] | None = None) -> DataFrame:
+    """Box standard deviations (name -> side) with mirrored borders that do not repeat the edge."""
+    def kernel(a, present, image):
+        return {name: np.sqrt(tiles.box_moments(a[value], k, "reflect")[1]) for name, k in sides.items()}
 
+    return tiles.over_tiles(df, key or IMAGE, [value], list(sides), max(sides.values()) // 2, kernel)
 
-def local_moments(df: DataFrame, value: str, sides: dict[str, int], edge: str, key: list[str] | None = None) -> DataFrame:
-    """Adds <name>_m (box mean) and <name>_var (box variance, never negative) per side."""
-    square = f"{value} * {value}"
-    summed = box_sums(df, {f"{n}_{p}": (e, k) for n, k in sides.items() for p, e in (("s", value), ("q", square))}, edge, key)
-    parts = []
-    for n, k in sides.items():
-        area = f"{float(k * k)}D"
-        parts += [f"{n}_s / {area} AS {n}_m", f"greatest({n}_q / {area} - ({n}_s / {area}) * ({n}_s / {area}), 0D) AS {n}_var"]
-    return summed.selectExpr(*df.columns, *parts)
+
+def whole_variance(df: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """(key…, width, height, whole): population variance over every cell of each image, cells without a row being 0."""
+    n = F.max("width").cast("double") * F.max("height")
+    v = F.coalesce(F.col(value), F.lit(0.0))
+    mean = F.sum(v) / n
+    return df.groupBy(*key).agg(F.max("width").alias("width"), F.max("height").alias("height"), F.greatest(F.sum(v * v) / n - mean * mean, F.lit(0.0)).alias("whole"))
 
 
 def lee_filter(df: DataFrame, value: str, out: str = "filtered", k: int = 5, key: list[str] | None = None) -> DataFrame:
-    """Adaptive speckle filter; the scene variance covers every cell of the image."""
+    """Adaptive speckle filter; the scene variance covers every cell of the image. Needs width and height."""
+    def kernel(a, present, image):
+        return {out: tiles.lee(a[value], image["whole"], k)}
+
     key = key or IMAGE
-    whole = df.groupBy(*key).agg(F.var_pop(value).alias("_all"))
-    local = attach(local_moments(df, value, {"_": k}, "symmetric", key), whole, key).withColumnsRenamed({"__m": "_m", "__var": "_var"})
-    weight = F.col("_var") / F.greatest(F.col("_var") + F.col("_all"), F.lit(1e-6))
-    return local.withColumn(out, F.col("_m") + weight * (F.col(value) - F.col("_m"))).drop("_m", "_var", "_all")
+    return tiles.over_tiles(df, key, [value], [out], k // 2, kernel, whole_variance(df, value, key))
 
 
 def local_texture(df: DataFrame, value: str, out: str = "texture", k: int = 7, key: list[str] | None = None) -> DataFrame:
     """Local coefficient of variation."""
-    local = local_moments(df, value, {"_": k}, "symmetric", key)
-    return local.withColumn(out, F.sqrt("__var") / F.greatest("__m", F.lit(1e-6))).drop("__m", "__var")
+    def kernel(a, present, image):
+        return {out: tiles.variation(a[value], k)}
 
+    return tiles.over_tiles(df, key or IMAGE, [value], [out], k // 2, kernel)
 
-def local_std(df: DataFrame, value: str, sides: dict[str, int], key: list[str] | None = None) -> DataFrame:
-    """Box standard deviations (name -> side) with mirrored borders that do not repeat the edge."""
-    local = local_moments(df, value, sides, "reflect", key)
-    return local.select(*df.columns, *[F.sqrt(f"{n}_var").alias(n) for n in sides])
+
+def despeckled_texture(df: DataFrame, value: str, despeckle: bool = True, digits: int = 9, lee_side: int = 5, texture_side: int = 7,
+                       key: list[str] | None = None) -> DataFrame:
+    """``filtered`` and the ``texture`` of it, both rounded, in one pass over tiles. Needs width and height.
+
+    The value filtered in a cell without a row is computed too, as its neighbours' texture needs it.
+    """
+    key = key or IMAGE
+
+    def kernel(a, present, image):
+        filtered = np.round(tiles.lee(a[value], image["whole"], lee_side) if despeckle else a[value], digits)
+        return {"filtered": filtered, "texture": np.round(tiles.variation(filtered, texture_side), digits)}
+
+    reach = texture_side // 2 + (lee_side // 2 if despeckle else 0)
+    return tiles.over_tiles(df, key, [value], ["filtered", "texture"], reach, kernel, whole_variance(df, value, key) if despeckle else None)
 
 
 def gradient(df: DataFrame, value: str, key: list[str] | None = None) -> DataFrame:
     """Central differences inside, one-sided at the borders: columns gy, gx."""
-    key = ", ".join(key or IMAGE)
-    out = df
-    for name, along, fixed in (("gy", "r", "c"), ("gx", "c", "r")):
-        over = f"OVER (PARTITION BY {key}, {fixed} ORDER BY {along})"
-        out = out.selectExpr("*", f"lag({value}) {over} AS _p", f"lead({value}) {over} AS _n").selectExpr(
-            *out.columns, f"(coalesce(_n, {value}) - coalesce(_p, {value})) / "
-            f"CASE WHEN _n IS NOT NULL AND _p IS NOT NULL THEN 2D ELSE 1D END AS {name}")
-    return out
+    def kernel(a, present, image):
+        return {name: tiles.slopes(a[value], present, axis) for name, axis in (("gy", 0), ("gx", 1))}
+
+    return tiles.over_tiles(df, key or IMAGE, [value], ["gy", "gx"], 1, kernel)
 
 
 def morphology(df: DataFrame, mask: str, radius: int = 1, key: list[str] | None = None) -> DataFrame:
-    """Closing then opening with a square, cells outside the image counting as off.
+    """Closing then opening of a mask with a row per cell; cells outside the image count as off."""
+    def kernel(a, present, image):
+        return {"_on": tiles.smooth(a["_m"] > 0, present, radius).astype(float)}
+
+    flag = df.withColumn("_m", F.coalesce(F.col(mask), F.lit(False)).cast("double"))
+    kept = [c for c in df.columns if c != mask]
+    out = tiles.over_tiles(flag.select(*kept, "_m"), key or IMAGE, ["_m"], ["_on"], 4 * radius, kernel)
+    return out.select(*kept, (F.col("_on") > 0).alias(mask))
 
-    The erosion that ends the closing and the one that starts the opening are one
-    erosion of twice the radius. Passes alternate between rows and columns so that
-    each shuffle serves two windows.
-    """
-    def grow(x: DataFrame, rows_first: bool) -> DataFrame:
-        return box_sums(x, {"_on": ("int(_m)", 2 * radius + 1)}, None, key, rows_first).withColumn("_m", F.col("_on") > 0).drop("_on")
 
-    def shrink(x: DataFrame, rows_first: bool) -> DataFrame:
-        side = 4 * radius + 1
-        return box_sums(x, {"_on": ("int(_m)", side)}, None, key, rows_first).withColumn(
-            "_m", F.col("_on") == side * side).drop("_on")
+def smooth_cells(cells: DataFrame, images: DataFrame, radius: int = 1, key: list[str] | None = None) -> DataFrame:
+    """(key…, r, c): closing then opening of masks given by their cells that are on; cells that are off are never rows."""
+    def kernel(on):
+        return tiles.smooth(on, np.ones_like(on), radius)
 
-    out = df.withColumn("_m", F.coalesce(F.col(mask), F.lit(False)))
-    return grow(shrink(grow(out, False), True), False).drop(mask).withColumnRenamed("_m", mask)
+    return tiles.mask_over_tiles(cells, images, key or IMAGE, 4 * radius, kernel)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.indices import clamp
 from ..functions.numbers import half_even
 from ..session import materialise
-from .focal import lee_filter, local_texture
+from .focal import despeckled_texture
 from .otsu import otsu
 from .stats import attach, exact_quantiles, melt, wide
 
@@ -16,11 +16,9 @@ KEY = ["scene_id"]
 DIGITS = 9  # layers are rounded here, so that sums taken in any order rank alike
 
 
-def backscatter_layers(grid: DataFrame, value: str = "gray", despeckle: bool = True) -> DataFrame:
-    """Despeckled backscatter and its texture over dense grids with width and height."""
-    out = lee_filter(grid, value) if despeckle else grid.withColumn("filtered", F.col(value))
-    out = out.withColumn("filtered", F.round("filtered", DIGITS))
-    return local_texture(out, "filtered").withColumn("texture", F.round("texture", DIGITS))
+def backscatter_layers(cells: DataFrame, value: str = "gray", despeckle: bool = True) -> DataFrame:
+    """Despeckled backscatter and its texture; needs width and height, and cells without a row read 0."""
+    return despeckled_texture(cells, value, despeckle, DIGITS)
 
 
 def _stretched(name: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import CLASS_LABELS
 from ..operators import components
 from ..operators.facts import to_facts
-from ..operators.focal import densify, morphology
+from ..operators.focal import smooth_cells
 from ..session import materialise
 
 
@@ -18,8 +18,7 @@ def clean_mask(cells: DataFrame, scenes: DataFrame, by: list[str], min_size: int
     A scene whose every component is smaller than ``min_size`` keeps its raw mask,
     marked ``unfiltered``.
     """
-    grid = densify(cells.select(*by, "r", "c", F.lit(True).alias("m")), scenes.select(*by, "width", "height"), {"m": False}, by)
-    smooth = morphology(grid, "m", 1, by).where("m").select(*by, "r", "c")
+    smooth = smooth_cells(cells, scenes, 1, by)
     kept = materialise(components.area_open(smooth, by, min_size).withColumn("unfiltered", F.lit(False)), "clean-runs")
     lost = cells.select(*by).distinct().join(kept.select(*by).distinct(), by, "left_anti")
     lost = materialise(lost, "unfiltered-scenes")

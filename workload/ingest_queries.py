@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyframe import fixed_values as V
 from skyframe.operators import components
 from skyframe.operators.focal import densify
-from skyframe.sources import bands, catalog, images, scenes as scene_checks, sinks
+from skyframe.session import checkpoint_root
+from skyframe.sources import bands, catalog, images, scenes as scene_checks, sinks, tiff
 
 from .expression_queries import AREA, HALF_SQL, BANDS_SQL, band_lists, half_located
 from .fixtures import SCENES_SQL, pixels, scenes, with_px
@@ -60,6 +63,67 @@ def s1(spark, sf_dir):
     return images.explode_images(decoded).select("scene_id", "r", "c", "valid", *[F.round(b, 6).alias(b) for b in ("red", "green", "blue")])
 
 
+PLANTED = ("blue", "green", "red", "nir", "swir2", "sar")
+BAND_COUNTS = (2, 5, 6)
+#: Bands of a planted scene by their position, under the names that follow from their number.
+FILE_ROWS = "fr AS (" + " UNION ALL ".join(
+    f"SELECT scene_id, r, c, '{name}' AS band, {source} AS v FROM px WHERE scene_id % 3 = {i}"
+    for i, n in enumerate(BAND_COUNTS) for name, source in zip(V.BAND_PRESETS[n], PLANTED, strict=False)) + ")"
+
+
+def planted_tiffs(spark, sf_dir):
+    """A folder with a 16-bit file of 2, 5 or 6 bands per scene, in strips or tiles, packed or plain; cells never observed are 0, the no-data value."""
+    folder = f"{checkpoint_root(spark)}/tiff-{uuid.uuid4().hex}"
+
+    def write(table):
+        import numpy as np
+        from pyarrow import fs
+
+        scene = table.column("scene_id")[0].as_py()
+        n = BAND_COUNTS[scene % 3]
+        cube = np.zeros((64, 64, n), np.uint16)
+        at = (table.column("r").to_numpy(), table.column("c").to_numpy())
+        for k, band in enumerate(PLANTED[:n]):
+            cube[..., k][at] = np.rint(table.column(band).to_numpy() * 65535)
+        tiled = scene % 2 == 0
+        body = tiff.encode(cube, tile=32 if tiled else None, rows_per_strip=None if tiled else 12, deflate=scene % 5 < 3, predictor=scene % 5 < 2, planar=scene % 7 == 0, nodata=0)
+        system, name = tiff.filesystem(folder)
+        system.create_dir(name)
+        with system.open_output_stream(f"{name}/{scene}.tif") as out:
+            out.write(body)
+        return table.slice(0, 1).select(["scene_id"])
+
+    px = pixels(spark, sf_dir).select("scene_id", "r", "c", *PLANTED)
+    px.groupBy("scene_id").applyInArrow(write, "scene_id bigint").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def named_bands(px):
+    """(scene_id, r, c, …, band, v) of file pixels, bands named by their number and position."""
+    long = px.withColumn("n_bands", F.size("values")).select(
+        F.regexp_extract("path", r"([^/]+)\.tif$", 1).cast("bigint").alias("scene_id"), "r", "c", "factor", "n_bands", F.posexplode("values").alias("pos", "v"))
+    return long.join(bands.band_presets(px.sparkSession), ["n_bands", "pos"]).withColumnRenamed("preset", "band")
+
+
+@query("s1_scan_tiff", with_px("SELECT scene_id, r, c, band, round(v, 6) AS v FROM fr", FILE_ROWS))
+def s1_tiff(spark, sf_dir):
+    _, px = tiff.scan_tiff(spark, planted_tiffs(spark, sf_dir))
+    return named_bands(px.where("valid")).select("scene_id", "r", "c", "band", F.round(F.col("v") / 65535, 6).alias("v"))
+
+
+@query("s6_reduced_scan", with_px("SELECT scene_id, 3 AS factor, CAST(r // 3 AS INT) AS r, CAST(c // 3 AS INT) AS c, band, round(avg(v), 6) AS v FROM fr WHERE r // 3 < 21 AND c // 3 < 21 GROUP BY ALL",
+                               FILE_ROWS))
+def s6_reduced(spark, sf_dir):
+    _, px = tiff.scan_tiff(spark, planted_tiffs(spark, sf_dir), max_side=22, split_bytes=1 << 16)
+    return named_bands(px.where("valid")).select("scene_id", "factor", "r", "c", "band", F.round(F.col("v") / 65535, 6).alias("v"))
+
+
+@query("s1_tiff_scenes", with_px("""SELECT DISTINCT scene_id, 64 AS width, 64 AS height, CAST([2, 5, 6][scene_id % 3 + 1] AS INT) AS n_bands, 'uint16' AS dtype, 'accepted' AS status FROM px"""))
+def s1_scenes(spark, sf_dir):
+    found, _ = tiff.scan_tiff(spark, planted_tiffs(spark, sf_dir))
+    return found.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).cast("bigint").alias("scene_id"), "width", "height", "n_bands", "dtype", "status")
+
+
 DESC = ["B2", "b03", " Red ", "near infrared", "swir1", "B12"]
 
 

@@ -27,6 +27,12 @@ def radar_grid(spark, sf_dir):
     return focal.densify(cells, sc, {"gray": 0.0, "valid": False})
 
 
+def radar_cells(spark, sf_dir):
+    """Observed radar cells with the grid size; the filters read the others as 0."""
+    px = pixels(spark, sf_dir)
+    return px.select("scene_id", "r", "c", F.col("sar").alias("gray"), F.lit(True).alias("valid"), F.lit(64).alias("width"), F.lit(64).alias("height"))
+
+
 @query("w3_box_mean", with_px("SELECT scene_id, r, c, round(s / 25, 6) AS mean FROM b5", *GRID, *box_ctes("b5", "grid", "gray", 5, "symmetric")))
 def w3(spark, sf_dir):
     out = focal.box_mean(radar_grid(spark, sf_dir), "gray", 5, "mean")
@@ -161,7 +167,7 @@ SAR_CTES = [
 @query("c9_sar_segment", with_px("""SELECT scene_id, count(*) AS valid, count(*) FILTER (water) AS water, count(*) FILTER (built_up) AS built_up,
   round(any_value(t_water), 6) AS t_water, round(any_value(t_built), 5) AS t_built FROM sarc GROUP BY 1""", *SAR_CTES))
 def c9(spark, sf_dir):
-    cells, cuts = radar.sar_segment(radar_grid(spark, sf_dir))
+    cells, cuts = radar.sar_segment(radar_cells(spark, sf_dir))
     n = cells.groupBy("scene_id").agg(F.count("*").alias("valid"), F.count_if("water").alias("water"), F.count_if("built_up").alias("built_up"))
     return n.join(cuts, "scene_id").select("scene_id", "valid", "water", "built_up", F.round("t_water", 6).alias("t_water"),
                                            F.round("t_built", 5).alias("t_built"))
@@ -169,7 +175,7 @@ def c9(spark, sf_dir):
 
 @query("k7_top_land_score", with_px("SELECT scene_id, r, c FROM sarc WHERE built_up", *SAR_CTES))
 def k7(spark, sf_dir):
-    cells, _ = radar.sar_segment(radar_grid(spark, sf_dir))
+    cells, _ = radar.sar_segment(radar_cells(spark, sf_dir))
     return cells.where("built_up").select("scene_id", "r", "c")
 
 
@@ -179,7 +185,7 @@ def k7(spark, sf_dir):
   count(*) FILTER (water) AS water_pixels, count(*) FILTER (built_up) AS builtup_pixels, round(count(*) FILTER (water) / count(*), 6) AS water_fraction,
   round(count(*) FILTER (NOT water) / count(*), 6) AS land_fraction FROM sarc GROUP BY 1""", *SAR_CTES))
 def a9(spark, sf_dir):
-    cells, _ = radar.sar_segment(radar_grid(spark, sf_dir))
+    cells, _ = radar.sar_segment(radar_cells(spark, sf_dir))
     s = radar.sar_stats(cells)
     return s.select("scene_id", "valid_pixels", "water_pixels", "builtup_pixels", *[F.round(c, 6).alias(c) for c in (
         "mean_backscatter", "std_backscatter", "median_backscatter", "p10_backscatter", "p90_backscatter", "water_fraction", "land_fraction")],
@@ -238,7 +244,7 @@ def c10(spark, sf_dir):
 
     px = pixels(spark, sf_dir)
     km2 = scenes(px).select("scene_id", geo.pixel_area_km2().alias("pixel_km2"))
-    _, stats = optical_sar_fusion(px, radar_grid(spark, sf_dir), km2)
+    _, stats = optical_sar_fusion(px, radar_cells(spark, sf_dir), km2)
     return stats.select(*FUSION_COLS)
 
 
@@ -249,7 +255,7 @@ SAR_FACTS = ("sar_mean_backscatter", "sar_median_backscatter", "sar_std_backscat
   stddev_pop(filtered) AS sar_std_backscatter, count(*) FILTER (water) / count(*) AS sar_water_fraction, CAST(count(*) FILTER (water) AS DOUBLE) AS sar_water_pixels,
   count(*) FILTER (built_up) / count(*) AS sar_builtup_fraction, avg(texture) AS sar_mean_texture FROM sarc GROUP BY 1) UNPIVOT (v FOR fact_key IN ({', '.join(SAR_FACTS)}))""", *SAR_CTES))
 def c9_facts(spark, sf_dir):
-    cells, _ = radar.sar_segment(radar_grid(spark, sf_dir))
+    cells, _ = radar.sar_segment(radar_cells(spark, sf_dir))
     return tool_facts.sar_facts(radar.sar_stats(cells)).select("scene_id", "fact_key", "value_num")
 
 
