@@ -231,9 +231,9 @@ def _common_spans(passages: DataFrame, window: int) -> DataFrame:
     distinct = materialise(passages.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "common_passages")
     pieces = distinct.mapInArrow(_windows_of(window), "passage string, low bigint, high bigint, place bigint, phrase string")
     first = pieces.groupBy("phrase").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("phrase", "first")
-    # at most one entry per word of a passage
-    located = pieces.select("passage", "place", "phrase").join(first, "phrase").groupBy("passage").agg(F.collect_list(F.struct("place", "first")).alias("located"))
-    held = passages.select("doc_id", "copy", "at", "passage").join(materialise(located, "common_phrases"), "passage")
+    # at most one entry per word of a passage; the files of such texts are far smaller than the texts, so sizes must not invite a broadcast
+    located = pieces.select("passage", "place", "phrase").join(first.hint("merge"), "phrase").groupBy("passage").agg(F.collect_list(F.struct("place", "first")).alias("located"))
+    held = passages.select("doc_id", "copy", "at", "passage").join(materialise(located, "common_phrases").hint("merge"), "passage")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
