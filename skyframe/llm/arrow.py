@@ -55,8 +55,10 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 
 _rng = np.random.default_rng(20240229)
-#: Random odd multipliers of a multilinear string hash, by position in the string.
+#: Random odd multipliers of a multilinear string hash, by position in a stretch of 64 KB, and by stretch.
 MULT = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STRETCH = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STRETCH[0] = 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,6 +93,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     first = np.cumsum(size) - size
     at = np.arange(int(size.sum())) - np.repeat(first, size)
     value = (data[at + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)) * MULT[at & 0xFFFF]
+    if size.max() > 1 << 16:
+        value *= STRETCH[at >> 16]
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 

@@ -416,3 +416,66 @@ def test_pipeline_keeps_what_its_stages_keep(spark, texts):
             assert set(after) == {root for _, root in near_by_hand(before, 5).values()}
     kept = {r["doc_id"]: r["text"] for r in left.collect()}
     assert check_pieces(entry_point.queries()["pipeline"](spark, SF).collect(), kept, packing.SEQ_LEN) == 0
+
+
+def test_hashes_of_long_words_have_no_period():
+    import pyarrow as pa
+
+    from skyframe.llm.arrow import Block
+
+    words = ["".join("b" if i == at else "a" for i in range(140_000)) for at in (0, 65_536, 131_072, 3)]
+    assert len(set(Block(pa.array(words)).word_hashes().tolist())) == 4
+
+
+def test_near_groups_of_long_words(spark):
+    words = ["".join("b" if i == at else "a" for i in range(70_000)) for at in (0, 65_536)]
+    got = near_dedup.near_groups(spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 1}
+
+
+def test_long_lines_are_compared_whole(spark):
+    lines = ["".join("b" if i == at else "a" for i in range(70_000)) for at in (0, 65_536)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([lines[0]] * 2))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.apply_rules(df, quality_rules.fit(df, labels)).collect()}
+    assert got == {1: 0, 2: 1}
+
+
+def test_two_texts_under_one_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "x"])
+    rows = [(1, " ".join(base)), (4, near), (4, "quite another text that has nothing in common with the rest"), (4, near), (9, "quite another text that has nothing in common with the rest")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(df).collect())
+    assert got == Counter([(1, 56, 1, True), (4, 56, 1, False), (4, 56, 1, False), (4, 7, 4, True), (9, 7, 4, False)])
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.keep_one_of_each(df).collect())
+    assert kept == Counter([rows[0], rows[2]])
+
+
+def test_ties_of_near_copies(spark):
+    words = [f"w{i}" for i in range(84)]
+    rows = [(7, " ".join(words)), (3, " ".join(words)), (5, " ".join([*words[:-9], *(f"y{i}" for i in range(9))]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: c for i, (_, c) in near_by_hand(dict(rows), 5).items()}
+
+
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)], [(500 - i, 500) for i in range(1, 300)],
+                                   [(i, 2 * i) for i in range(1, 100)] + [(3, 3), (8, 4)], []])
+def test_components_of_links(spark, edges):
+    from skyframe.llm import graph
+
+    rng = random.Random(4)
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: find(x) for x in root if find(x) != x}
+    assert len(got) == len({r["node"] for r in got})
