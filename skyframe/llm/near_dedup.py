@@ -9,7 +9,10 @@ more of their pairs are looked at, so a group of copies costs in proportion to i
 
 Large regions only propose likely pairs, so their classes are also joined exactly: two sets of the wanted similarity share
 one of the rarest shingles of each (a prefix of the set in an order of all shingles), and sizes and positions bound what
-they can have in common.  Only pairs across components go on.
+they can have in common.  Of two sets the smaller one needs only about half of its prefix, so a passage that many texts
+share, and that is not rare, is no key at all unless texts have little else.  Only pairs across components go on.
+
+A class is named by a hash of its set, never by a document: ids may repeat.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.llm.arrow import Block, blocks, fresh, mix, texts_of, windows
-from skyframe.operators.components import star_components
+from skyframe.llm.graph import components
+from skyframe.operators.stats import attach
 from skyframe.session import materialise
 
 #: Values of a signature, trees, and the distance between the first values of two trees.
@@ -47,9 +51,11 @@ MIN_AGREE = 79
 FILTER_BITS = 1 << 23
 #: Confirmed at once for each class, before components are known.
 FIRST_PARTNERS = 2
-#: Counters by which shingles are ordered, rarest first, and groups a component's rows of a shingle are dealt to.
+#: Counters by which shingles are ordered, rarest first, and rows of a component that one list of a shingle holds at most.
 COUNTERS = 1 << 21
-DEALT = 64
+LISTED = 1024
+#: Tasks whose counters or filters one task adds up.
+ADDED = 32
 
 _rng = np.random.default_rng(4004)
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +94,17 @@ def signatures(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
     return docs, out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("signature", pa.binary())])
+
+
+def set_keys(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each document's whole set: its size, a sum and an exclusive or over its shingles, mixed."""
+    size, a, b = np.bincount(owner, minlength=n).astype(np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    docs, first = np.unique(owner, return_index=True)
+    if len(docs):
+        a[docs] = np.add.reduceat(mix(value + np.uint64(1)), first)
+        b[docs] = np.bitwise_xor.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
+    return (mix(a + mix(b + mix(size))) >> np.uint64(1)).view(np.int64)
 
 
 def _signer(k: int):
@@ -96,17 +112,12 @@ def _signer(k: int):
         for part in blocks(batches):
             block = Block(part.column("text"), lower=True)
             owner, value = shingle_hashes(block, k)
-            n = np.bincount(owner, minlength=block.n)
             docs, sig = signatures(owner, value)
-            a, b = np.zeros(block.n, np.uint64), np.zeros(block.n, np.uint64)
-            if len(docs):
-                first = np.searchsorted(owner, docs)
-                a[docs] = np.add.reduceat(mix(value + np.uint64(1)), first)
-                b[docs] = np.bitwise_xor.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
             raw: list[bytes | None] = [None] * block.n
             for i, d in enumerate(docs):
                 raw[d] = sig[i].tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(raw, pa.binary())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.bincount(owner, minlength=block.n)), pa.array(set_keys(owner, value, block.n)),
+                                              pa.array(raw, pa.binary())], schema=_SIGNED)
 
     return run
 
@@ -217,10 +228,22 @@ def _membership(ends: DataFrame) -> np.ndarray:
             bits[_bits_of(batch.column("end").to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ends.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], np.uint8)
-    return out
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            for raw in batch.column("bits").to_pylist():
+                bits |= np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    return np.frombuffer(_added(ends.select("end").mapInArrow(run, "bits binary"), "bits", added), np.uint8)
+
+
+def _added(rows: DataFrame, column: str, add) -> bytes:
+    """The one value that ``add`` makes of the partial values of all tasks, in two levels."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    if (n := rows.rdd.getNumPartitions()) > ADDED:
+        rows = rows.coalesce(max(parts, -(-n // ADDED))).mapInArrow(add, f"{column} binary")
+    return next(iter(rows.repartition(1).mapInArrow(add, f"{column} binary").toLocalIterator()))[column]
 
 
 def _with_candidates(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -233,8 +256,7 @@ def _with_candidates(rows: DataFrame, ends: DataFrame) -> DataFrame:
             batch = batch.filter(batch.column("doc_id").is_valid())
             yield batch.filter(pa.array(bits[_bits_of(batch.column("doc_id").to_numpy())].reshape(2, -1).all(axis=0)))
 
-    some = rows.mapInArrow(run, "doc_id bigint, text string")
-    return some.join(ends, some.doc_id == ends.end, "left_semi")
+    return rows.mapInArrow(run, "doc_id bigint, text string").join(ends.withColumnRenamed("end", "doc_id"), "doc_id", "left_semi")
 
 
 def _set_maker(k: int):
@@ -244,7 +266,7 @@ def _set_maker(k: int):
             owner, value = shingle_hashes(block, k)
             cut = np.searchsorted(owner, np.arange(block.n + 1))
             sets = [value[cut[d] : cut[d + 1]].tobytes() for d in range(block.n)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(owner, value, block.n)), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -265,77 +287,69 @@ def _confirmer(percent: int):
 def _rarities(sets: DataFrame) -> np.ndarray:
     """Counts of hashed shingles, capped; with the shingle itself they order all shingles, rare ones first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.uint32)
+        n = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             value = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
-            n += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            n += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        n = np.minimum(n, 0xFFFF).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.uint16)
+        for batch in batches:
+            for raw in batch.column("n").to_pylist():
+                n += np.minimum(np.frombuffer(raw, np.uint16), np.uint16(0xFFFF) - n)
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
 
-    out = np.zeros(COUNTERS, np.int64)
-    for row in sets.select("shingles").coalesce(8).mapInArrow(run, "n binary").toLocalIterator():
-        out += np.frombuffer(row["n"], np.uint32)
-    return np.minimum(out, 0xFFFF).astype(np.uint16)
+    return np.frombuffer(_added(sets.select("shingles").mapInArrow(run, "n binary"), "n", added), np.uint16)
 
 
-_PREFIX = pa.schema([("shingle", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+_PREFIX = pa.schema([("shingle", pa.int64()), ("root", pa.int64()), ("part", pa.int32()), ("rep", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("small", pa.bool_())])
 
 
 def _prefixes(rarity: np.ndarray, percent: int):
-    """The rarest shingles of each set, one of which any set at least as similar holds, and their places in it."""
+    """The rarest shingles of each set, one of which any set at least as similar holds, and their places in it.
+
+    Those marked small come early enough for a partner that is no smaller: such a pair has 2 percent / (100 + percent) of
+    the set in common at least.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, raw in zip(batch.column("rep").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            for rep, root, parts, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "root", "parts", "shingles")), strict=True):
                 value = np.frombuffer(raw, np.uint64)
                 n = len(value)
                 order = np.lexsort((value, rarity[(value & np.uint64(COUNTERS - 1)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
                 m = len(order)
-                yield pa.RecordBatch.from_arrays([pa.array(value[order].view(np.int64)), pa.array(np.full(m, rep, np.int64)), pa.array(np.full(m, n, np.int32)),
-                                                  pa.array(np.arange(m, dtype=np.int32))], schema=_PREFIX)
+                at = np.arange(m, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value[order].view(np.int64)), *(pa.array(np.full(m, v, t)) for v, t in ((root, np.int64), (rep % parts, np.int32), (rep, np.int64), (n, np.int32))),
+                     pa.array(at), pa.array(at <= n - -(-2 * percent * n // (100 + percent)))], schema=_PREFIX)
 
     return run
 
 
 def exact_candidates(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b, agree): all pairs across components that can be similar enough, a < b, with the shingles they share in their prefixes."""
-    prefixes = sets.mapInArrow(_prefixes(_rarities(sets), percent), "shingle bigint, rep bigint, n int, at int")
-    rooted = prefixes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # a large component's rows are dealt into lists, so that no list grows with it
+    sizes = materialise(rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / LISTED).cast("int").alias("parts")).filter("parts > 1"), "large_components")
+    dealt = rooted.join(sizes, "root", "left").select("rep", "root", F.coalesce("parts", F.lit(1)).alias("parts"), "shingles")
+    prefixes = dealt.mapInArrow(_prefixes(_rarities(sets), percent), "shingle bigint, root bigint, part int, rep bigint, n int, at int, small boolean")
+    held = materialise(prefixes.groupBy("shingle", "root", "part").agg(F.collect_list(F.struct("rep", "n", "at", "small")).alias("rows"), F.max("small").alias("small")), "prefixes")
+    several = held.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("small").alias("small")).filter("lo < hi AND small").select("shingle")
+    met = held.join(materialise(several, "shared_shingles"), "shingle")
     # rows of one component meet those of others, never each other
-    group = F.pmod(F.xxhash64("rep"), F.lit(DEALT))
-    held = materialise(rooted.groupBy("shingle", "root", group.alias("dealt")).agg(F.collect_list(F.struct("rep", "n", "at")).alias("rows")).drop("dealt"), "prefixes")
-    several = held.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
-    met = held.join(several, "shingle")
-    one = met.select("shingle", F.col("root").alias("r"), F.col("rows").alias("xs"))
-    other = met.select("shingle", F.col("root").alias("s"), F.col("rows").alias("ys"))
-    pairs = one.join(other, "shingle").filter("r < s").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    # at its first common shingle a pair shares nothing before it, and at most what is left of either set
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    possible = most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    return pairs.filter(possible & sized).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"))
-
-
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's links as (node, smallest node reached), one row per node: what goes on does not grow with the links."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = parent[x]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in (0, 1)], names=["u", "v"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node that is not the smallest of its component."""
-    return star_components(links.mapInArrow(_roots, "u bigint, v bigint"), []).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    one = met.filter("small").select("shingle", F.col("root").alias("r"), F.filter("rows", lambda x: x["small"]).alias("ys"))
+    other = met.select("shingle", F.col("root").alias("s"), F.col("rows").alias("xs"))
+    y = F.col("y")
+
+    def possible(x: Column) -> Column:
+        # at its first common shingle a pair shares nothing before it, and at most what is left of either set
+        most = F.least(x["n"] - x["at"], y["n"] - y["at"])
+        return (y["n"] <= x["n"]) & (100 * y["n"] >= percent * x["n"]) & (most * (100 + percent) >= percent * (x["n"] + y["n"]))
+
+    pairs = one.join(other, "shingle").filter("r <> s").select(F.explode("ys").alias("y"), "xs").select("y", F.explode(F.filter("xs", possible)).alias("x"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"))
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -350,49 +364,67 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmer(percent), "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among ``pairs`` that join all their components: the likeliest of each class first, then those still across."""
     by_end = F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")), F.struct(F.col("b").alias("one"), F.col("a").alias("other")))
     rank = F.row_number().over(Window.partitionBy("one").orderBy(F.col("agree").desc(), "other"))
     best = pairs.select("agree", F.inline(by_end)).withColumn("rank", rank).filter(F.col("rank") <= FIRST_PARTNERS).select(
         F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct()
     first = materialise(_links(best, sets, percent), "links")
-    rest = _across(pairs.join(best, ["a", "b"], "left_anti"), components(first if known is None else first.unionByName(known)))
+    rest = _across(pairs.join(best, ["a", "b"], "left_anti"), components(first))
     return first.unionByName(materialise(_links(rest, sets, percent), "links"))
 
 
+def _roots(classes: DataFrame, regions: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the classes that are not the smallest of their component."""
+    links = _confirmed(pairs, sets, percent)
+    roots = components(links)
+    crowded = regions.filter((F.col("members") > ALL_PAIRS) | F.col("divided")).select("rep").distinct()
+    if crowded.isEmpty():
+        return roots
+    more = materialise(exact_candidates(sets.join(crowded, "rep", "left_semi"), roots, percent), "exact_candidates")
+    new = materialise(_links(more, sets, percent), "links")
+    return roots if new.isEmpty() else components(links.unionByName(new))
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key (Spark's xxhash64 of the text).
 
     Words are those of the lower-cased (A-Z) text; two documents are linked when the intersection of their sets of k-word
     shingles is at least ``percent`` of the union.  component_id is the smallest id that links reach.  Null and empty
     texts have no shingles and are on their own.  A row with a null id is linked with none, has no component and is kept.
-    Repeated rows are rows of one class; an empty table gives an empty result.
+    Repeated rows are rows of one class; rows with one id and different texts are linked each by its own text, so that
+    each has the component of its text.  An empty table gives an empty result.
     """
     rows = texts_of(docs, id_col, text_col)
-    signed = materialise(rows.mapInArrow(_signer(k), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary"), "signatures")
-    key = ["n_shingles", "set_a", "set_b"]
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    signed = materialise(keyed.mapInArrow(_signer(k), "doc_id bigint, text_key bigint, n_shingles bigint, rep bigint, signature binary"), "signatures")
     # members of a class have the same signature: any of them will do
-    classes = materialise(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = materialise(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("rep").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     regions = materialise(_regions(classes), "regions")
     pairs = materialise(candidates(classes, regions, percent), "candidates")
-    crowded = regions.filter((F.col("members") > ALL_PAIRS) | F.col("divided")).select(F.col("rep").alias("end")).distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).unionByName(crowded).distinct()
-    sets = materialise(_with_candidates(rows, ends).mapInArrow(_set_maker(k), "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle_sets")
-    links = _confirmed(pairs, sets, percent)
-    if not crowded.isEmpty():
-        more = exact_candidates(sets.join(crowded, sets.rep == crowded.end, "left_semi"), components(links), percent)
-        links = links.unionByName(_confirmed(materialise(more, "exact_candidates"), sets, percent, links))
-    roots = components(links).select(F.col("node").alias("rep"), "root")
-    owner = classes.select(*key, "rep").join(roots, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component"))
-    placed = signed.select("doc_id", *key).join(owner, key, "left")
+    crowded = regions.filter((F.col("members") > ALL_PAIRS) | F.col("divided")).select("rep")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowded).distinct()
+    holders = materialise(ends.join(classes, "rep").select(F.col("least").alias("end")).distinct(), "ends")
+    sets = materialise(_with_candidates(rows, holders).mapInArrow(_set_maker(k), "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle_sets")
+    roots = materialise(_roots(classes, regions, sets, pairs, percent).select(F.col("node").alias("rep"), "root"), "roots")
+    owner = classes.select("rep", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    smallest = materialise(owner.groupBy("root").agg(F.min("least").alias("component")), "components")
+    # written, so that both sides of the join have an exchange and the rows of a very common text can be split
+    named = materialise(attach(owner.select("rep", "root"), smallest, ["root"]).select("rep", "component"), "owners")
+    placed = signed.drop("signature").join(named, "rep", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return placed.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return placed.select("doc_id", "n_shingles", own.alias("component_id"), "text_key").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each group, with all its columns."""
-    name = fresh(docs, "__gone")
-    gone = near_groups(docs, k, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    """The document with the smallest id of each group, with all its columns.
+
+    Rows without words or without an id stay; of rows with one id and different texts each stays or goes by its own text; an empty table stays
+    empty.  Long texts count whole; columns of any name pass through.
+    """
+    name, key = fresh(docs, "__gone"), fresh(docs, "__gone_text")
+    gone = near_groups(docs, k, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col(name)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(key)), "left_anti")

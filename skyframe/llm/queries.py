@@ -24,7 +24,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    groups = near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
