@@ -1,15 +1,17 @@
-"""Scene classification with Spark ML, and its evaluation."""
+"""Scene classification with a forest or boosted trees, and its evaluation."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import EUROSAT_TO_COARSE
+from . import boosting
+from .boosting import BoostedModel
 from .stats import exact_quantiles
 
 
@@ -26,26 +28,28 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
 
 
 def train(rows: DataFrame, label: str = "label", features: str = "features", algorithm: str = "forest", seed: int = 42,
-          trees: int = 40, depth: int = 8) -> PipelineModel:
-    """Standardise, then a random forest, or boosted trees one class against the rest."""
-    data = rows.withColumn("raw", array_to_vector(F.col(features))).withColumn("target", F.col(label).cast("string"))
+          trees: int = 40, depth: int = 8) -> PipelineModel | BoostedModel:
+    """A random forest over standardised features, or (``boosted``) trees of all classes boosted together, ``trees`` of each."""
     if algorithm == "boosted":
-        head = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=5, seed=seed), featuresCol="x", labelCol="y")
-    else:
-        head = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
+        return boosting.fit(rows, label, features, iterations=trees, depth=depth, seed=seed)
+    if algorithm != "forest":
+        raise ValueError("algorithm is forest or boosted")
+    data = rows.withColumn("raw", array_to_vector(F.col(features))).withColumn("target", F.col(label).cast("string"))
     return Pipeline(stages=[
         StringIndexer(inputCol="target", outputCol="y", stringOrderType="alphabetAsc"),
-        StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True), head]).fit(data)
+        StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True),
+        RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]).fit(data)
 
 
-def predict(model: PipelineModel, rows: DataFrame, features: str = "features") -> DataFrame:
-    """Adds ``predicted`` and ``confidence`` (largest class probability; NULL without probabilities)."""
+def predict(model: PipelineModel | BoostedModel, rows: DataFrame, features: str = "features") -> DataFrame:
+    """Adds ``predicted`` and ``confidence``, the largest class probability."""
+    if isinstance(model, BoostedModel):
+        return boosting.predict(model, rows, features).drop("probabilities")
     data = rows.withColumn("raw", array_to_vector(F.col(features)))
     for stage in model.stages[1:]:
         data = stage.transform(data)
     names = F.array(*map(F.lit, model.stages[0].labels))
-    score = F.array_max(vector_to_array("probability")) if "probability" in data.columns else F.lit(None).cast("double")
-    return data.select(*rows.columns, F.get(names, F.col("prediction").cast("int")).alias("predicted"), score.alias("confidence"))
+    return data.select(*rows.columns, F.get(names, F.col("prediction").cast("int")).alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
 def map_coarse(label: Column) -> Column:

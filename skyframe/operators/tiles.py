@@ -1,17 +1,23 @@
 """Tiles of scenes and their features, as relational operators over (tile_id, r, c).
 
-A tile holds at most tile x tile pixels, so per-tile aggregates are bounded. Patch
-tables are partitioned by tile once; every window and aggregate below then runs
-without another shuffle of pixels.
+A tile holds at most tile x tile pixels, so per-tile aggregates are bounded. All
+features of a tile come from one pass over its arrays, after a single shuffle of pixels.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed_values import EPS
 from ..functions.indices import rgb_proxies
 from .focal import gradient, local_std
+from .halo import box_moments, slopes
 from .stats import attach, usable
 
 TILE = ["tile_id"]
@@ -19,6 +25,8 @@ CHANNELS = ("red", "green", "blue")
 PROXIES = ("vari", "exg", "gli", "ngrdi", "rbdiff", "chroma_r", "chroma_g", "chroma_b", "brightness", "saturation")
 MOMENTS = ("mean", "std", "skew", "kurt", "p5", "p25", "p50", "p75", "p95")
 HIST_BINS = 12
+#: Summed slope from which a pixel counts as an edge.
+EDGE = 0.06
 
 
 def tile_pixels(pixels: DataFrame, scenes: DataFrame, tile: int = 64, stride: int | None = None) -> DataFrame:
@@ -90,7 +98,7 @@ def texture_stats(gray: DataFrame, sides: tuple[int, ...] = (3, 7, 15)) -> DataF
             ("mean", F.avg(f"ls{k}")), ("std", F.stddev_pop(f"ls{k}")), ("p90", F.expr(f"percentile(ls{k}, 0.9D)")))])
 
 
-def gradient_stats(gray: DataFrame, edge: float = 0.06) -> DataFrame:
+def gradient_stats(gray: DataFrame, edge: float = EDGE) -> DataFrame:
     """Gradient magnitude statistics and the share of edge pixels."""
     g = gradient(gray, "gray", TILE).withColumn("mag", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
     steep = (F.abs("gy") + F.abs("gx") > edge).cast("double")
@@ -140,36 +148,115 @@ def feature_names() -> list[str]:
     return names + ["row_profile_std", "col_profile_std", "anisotropy"]
 
 
+def _quantiles(v: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+    """Linearly interpolated quantiles along the last axis; a row per share comes last."""
+    v = np.sort(v, axis=-1)
+    at = np.array(shares) * (v.shape[-1] - 1)
+    low = np.floor(at).astype(np.int64)
+    high = np.minimum(low + 1, v.shape[-1] - 1)
+    return v[..., low] + (v[..., high] - v[..., low]) * (at - low)
+
+
+def _moment_values(v: np.ndarray) -> np.ndarray:
+    """MOMENTS of each row of values."""
+    if not v.shape[-1]:
+        return np.zeros((len(v), len(MOMENTS)))
+    mean, std = v.mean(axis=1, keepdims=True), v.std(axis=1, keepdims=True)
+    z = (v - mean) / np.maximum(std, 1e-6)
+    square = z * z
+    return np.hstack((mean, std, (square * z).mean(axis=1, keepdims=True), (square * square).mean(axis=1, keepdims=True), _quantiles(v, (0.05, 0.25, 0.5, 0.75, 0.95))))
+
+
+def _channels(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> list[np.ndarray]:
+    """The bands and the derived channels of ``rgb_proxies``, on arrays."""
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a / np.maximum(b, EPS)
+
+    total, high, low = red + green + blue, np.maximum(np.maximum(red, green), blue), np.minimum(np.minimum(red, green), blue)
+    excess = 2 * green - red - blue
+    return [red, green, blue, over(green - red, green + red), excess, over(excess, 2 * green + red + blue), over(green - red, green + red), over(red - blue, red + blue),
+            over(red, total), over(green, total), over(blue, total), total / 3.0, over(high - low, high)]
+
+
+def tile_values(bands: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """The 196 values of one tile in the order of ``feature_names``; bands is 3 x rows x columns, NaN where there is no value."""
+    with np.errstate(invalid="ignore"):
+        gray = bands.sum(axis=0) / 3.0
+        out: list[float] = []
+        channels = np.stack(_channels(*bands)).reshape(len(CHANNELS + PROXIES), -1)
+        good = np.isfinite(channels)
+        if good.all():
+            out += _moment_values(channels).ravel().tolist()
+        else:
+            out += [x for channel, mask in zip(channels, good, strict=True) for x in _moment_values(channel[mask][None])[0]]
+        filled = np.where(np.isfinite(gray), gray, 0.0)
+        for k in (3, 7, 15):
+            local = np.sqrt(box_moments(filled, k, "reflect")[1])[present]
+            out += [local.mean(), local.std(), _quantiles(local, (0.9,))[0]]
+        known = np.isfinite(gray)
+        gy, gx = (slopes(filled, known, axis)[known] for axis in (0, 1))
+        size = np.hypot(gx, gy)
+        out += [size.mean(), size.std(), _quantiles(size, (0.95,))[0], (np.abs(gy) + np.abs(gx) > EDGE).mean()] if size.size else [0.0] * 4
+        n = present.sum()
+        for band in bands:
+            v = band[np.isfinite(band) & (band >= 0.0) & (band <= 1.0)]
+            out += (np.bincount(np.minimum(np.floor(v * HIST_BINS), HIST_BINS - 1).astype(np.int64), minlength=HIST_BINS) / n).tolist()
+        rows, columns = ([g * size // 3 for g in range(4)] for size in present.shape)
+        for i in range(3):
+            for j in range(3):
+                for band in bands:
+                    cell = band[rows[i]:rows[i + 1], columns[j]:columns[j + 1]]
+                    cell = cell[~np.isnan(cell)]
+                    out.append(cell.mean() if cell.size else 0.0)
+        across = []
+        for axis in (1, 0):
+            count = known.sum(axis=axis)
+            across.append(((filled * known).sum(axis=axis)[count > 0] / count[count > 0]).std() if known.any() else 0.0)
+        out += [*across, abs(across[0] - across[1])]
+    values = np.array(out)
+    return np.where(np.isfinite(values), values, 0.0)
+
+
 def patch_features(patches: DataFrame) -> DataFrame:
-    """(tile_id, features): the 196 values of each patch, missing ones 0.
+    """(tile_id, features): the 196 values of each patch, missing ones 0, from one shuffle and one pass over its arrays.
+
+    ``patches`` has tile_id, r, c, height, width and red, green, blue in 0..1. A patch is bounded by its tile; pixels without a row or value
+    take no part, and box deviations read them as 0.
+    """
+    kind = patches.schema["tile_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        h, w = table.column("height")[0].as_py(), table.column("width")[0].as_py()
+        at = (table.column("r").to_numpy(), table.column("c").to_numpy())
+        bands, present = np.full((3, h, w), np.nan), np.zeros((h, w), bool)
+        present[at] = True
+        for k, name in enumerate(CHANNELS):
+            column = table.column(name).cast(pa.float64())
+            bands[k][at] = pc.fill_null(column, float("nan")).to_numpy()
+        return pa.table({"tile_id": table.column("tile_id").slice(0, 1), "features": pa.array([tile_values(bands, present)], pa.list_(pa.float64()))})
+
+    return patches.select(*TILE, "r", "c", "height", "width", *CHANNELS).groupBy(*TILE).applyInArrow(run, f"tile_id {kind}, features array<double>")
+
+
+def paint_tiles(tile_labels: DataFrame, pixels: DataFrame, tile: int = 64, stride: int | None = None, rule: str = "votes") -> DataFrame:
+    """Tile classes back on the pixel grid; ``class`` is NULL where no labelled tile lies.
 
-    ``patches`` has tile_id, r, c, height, width and red, green, blue in 0..1.
+    Where tiles overlap, ``votes`` takes the class with the largest sum of confidence (1 per tile without that column; of
+    equal sums the first class by name), and ``last`` the class of the last tile in raster order. All pixels of a cell
+    of the grid that tile edges draw lie under the same tiles, so classes are decided per cell and pixels only look theirs up.
     """
-    px = patches.repartition(*TILE).withColumn("gray", (F.col("red") + F.col("green") + F.col("blue")) / 3.0)
-    gray = px.select(*TILE, "r", "c", "height", "width", "gray")
-
-    def long(df: DataFrame, label: str, values: list[str]) -> DataFrame:
-        cells = F.array(*[F.struct(F.expr(label.format(v=f"'{v}'")).alias("name"), F.col(v).alias("value")) for v in values])
-        return df.select(*TILE, F.inline(cells))
-
-    parts = [long(patch_moments(channel_rows(px), [*TILE, "channel"]), "concat(channel, '_', {v})", list(MOMENTS))]
-    parts.append(long(texture_stats(gray), "{v}", [f"texstd{k}_{n}" for k in (3, 7, 15) for n in ("mean", "std", "p90")]))
-    parts.append(long(gradient_stats(gray), "{v}", ["grad_mean", "grad_std", "grad_p95", "edge_density"]))
-    parts.append(long(channel_histogram(px), "concat('hist_', channel, '_', bin)", ["share"]))
-    parts.append(long(layout_grid(px, list(CHANNELS)), "concat('grid', gi, gj, '_', {v})", list(CHANNELS)))
-    parts.append(long(profiles(gray), "{v}", ["row_profile_std", "col_profile_std", "anisotropy"]))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    value = F.when(usable(F.col("value")), F.col("value")).otherwise(0.0)
-    # 196 named values per tile at most
-    table = rows.groupBy(*TILE).agg(F.map_from_entries(F.collect_list(F.struct("name", value))).alias("m"))
-    order = F.array(*map(F.lit, feature_names()))
-    return table.select(*TILE, F.transform(order, lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0))).alias("features"))
-
-
-def paint_tiles(tile_labels: DataFrame, pixels: DataFrame, tile: int = 64) -> DataFrame:
-    """Tile class back on the pixel grid, for tiles that do not overlap."""
-    cell = {a: F.expr(f"int(floor({a} / {tile})) * {tile}") for a in ("r", "c")}
-    return pixels.withColumns({"tile_r": cell["r"], "tile_c": cell["c"]}).join(
-        tile_labels.select("scene_id", "tile_r", "tile_c", "class"), ["scene_id", "tile_r", "tile_c"], "left").drop("tile_r", "tile_c")
+    if rule not in ("votes", "last"):
+        raise ValueError("rule is votes or last")
+    cell = math.gcd(tile, stride or tile)
+    steps = F.sequence(F.lit(0), F.lit(tile - cell), F.lit(cell))
+    weight = F.col("confidence") if "confidence" in tile_labels.columns else F.lit(1.0)
+    over = tile_labels.select("scene_id", "tile_r", "tile_c", "class", weight.alias("_w"), F.explode(steps).alias("_dr")).select(
+        "scene_id", "tile_r", "tile_c", "class", "_w", (F.col("tile_r") + F.col("_dr")).alias("_r"), F.explode(steps).alias("_dc")).withColumn("_c", F.col("tile_c") + F.col("_dc"))
+    by = ["scene_id", "_r", "_c"]
+    if rule == "last":
+        cells = over.groupBy(*by).agg(F.max_by("class", F.struct("tile_r", "tile_c")).alias("class"))
+    else:
+        sums = over.groupBy(*by, "class").agg(F.round(F.sum("_w"), 9).alias("_sum"))
+        cells = sums.groupBy(*by).agg(F.min(F.struct((-F.col("_sum")).alias("m"), "class"))["class"].alias("class"))
+    spot = {f"_{a}": F.expr(f"int(floor({a} / {cell})) * {cell}") for a in ("r", "c")}
+    return pixels.withColumns(spot).join(cells, by, "left").drop("_r", "_c")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import gsd_m
 from ..operators import learn, tiles
+from ..operators.boosting import BoostedModel
 from ..sources.scenes import domain_check
 
 
-def classify_tiles(pixels: DataFrame, scenes: DataFrame, model: PipelineModel, tile: int = 64, stride: int | None = None,
+def classify_tiles(pixels: DataFrame, scenes: DataFrame, model: PipelineModel | BoostedModel, tile: int = 64, stride: int | None = None,
                    max_tiles: int | None = None, min_valid: float = 0.6) -> DataFrame:
     """(scene_id, tile_r, tile_c, predicted, confidence, coarse_class) for every tile, or ``max_tiles`` even ones of each scene."""
     covered = tiles.tile_pixels(pixels, scenes, tile, stride)
@@ -26,11 +27,11 @@ def classify_tiles(pixels: DataFrame, scenes: DataFrame, model: PipelineModel, t
         "coarse_class", learn.map_coarse(F.col("predicted")))
 
 
-def classify_scenes(pixels: DataFrame, scenes: DataFrame, model: PipelineModel, tile: int = 64, stride: int | None = None,
+def classify_scenes(pixels: DataFrame, scenes: DataFrame, model: PipelineModel | BoostedModel, tile: int = 64, stride: int | None = None,
                     max_tiles: int | None = None) -> DataFrame:
     """Dominant class per scene with its share, confidence and domain check."""
     labelled = classify_tiles(pixels, scenes, model, tile, stride, max_tiles)
     summary = learn.scene_classes(labelled, ["scene_id"]).join(scenes.withColumn("gsd", gsd_m()).select("scene_id", "gsd"), "scene_id")
     out = domain_check(summary, "gsd", "mean_confidence")
-    return out.select("scene_id", "tiles", "dominant_class", F.round("dominant_fraction", 4).alias("dominant_fraction"),
-                      F.round("mean_confidence", 4).alias("mean_confidence"), "out_of_domain", "narrated")
+    return out.select("scene_id", "tiles", "dominant_class", F.round("dominant_fraction", 4).alias("dominant_fraction"), F.round("mean_confidence", 4).alias("mean_confidence"),
+                      F.round("min_confidence", 4).alias("min_confidence"), "out_of_domain", "narrated")
