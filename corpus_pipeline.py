@@ -1,4 +1,8 @@
-"""Preparation of a training corpus: each stage works on all that its predecessor kept."""
+"""Preparation of a training corpus: each stage works on all that its predecessor kept.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows, tables without rows and columns of any name;
+what becomes of them is said where its operator is. All stages but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal but for blanks."""
     return exact_dedup.keep_first_copies(docs)
 
 

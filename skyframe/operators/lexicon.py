@@ -1,14 +1,21 @@
 """Reading questions: place, task, classes, indices, modalities, phenomenon.
 
 Rule tables are small and constant, so each rule is one literal pattern in the row's
-own expression: patterns compile once and nothing is shuffled. Places are looked up
-by word n-grams with an equi-join, which also holds for a very large gazetteer.
+own expression: patterns compile once and nothing is shuffled. Places are found by
+one automaton of all names where the list is short enough to send out, and otherwise
+by a join of the few n-grams that a filter of names lets through.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +24,7 @@ from ..functions.numbers import half_even
 from ..functions.text import fold_key, normalise_text
 from ..sources.catalog import place_keys
 from .dates import extract_dates
+from .stats import attach
 
 
 def _strings(values) -> Column:
@@ -106,19 +114,98 @@ def action_note(event: Column, normalised: Column, n_dates: Column) -> Column:
     return out
 
 
-def resolve_place(questions: DataFrame, places: DataFrame, text: str = "text", key: str = "question_id") -> DataFrame:
-    """(key, place …): the longest place name or alias contained in each text, however many words it has."""
+#: Bytes of place names up to which every task gets an automaton of them all.
+AUTOMATON_BYTES = 8 << 20
+#: Bits of the filter that stands for longer lists.
+FILTER_BITS = 1 << 23
+
+
+@lru_cache(maxsize=2)
+def _automaton(keys: tuple[tuple[str, int], ...]) -> ahocorasick.Automaton:
+    """All keys as whole words, each with its length and its place in the list, so that the larger pair wins."""
+    out = ahocorasick.Automaton()
+    for key, seen in keys:
+        out.add_word(f" {key} ", (len(key), -seen, key))
+    out.make_automaton()
+    return out
+
+
+def _longest(keys: tuple[tuple[str, int], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(keys)
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("_folded").to_pylist()):
+                # the blank between two names ends one and begins the other, and a match may use it twice
+                best = max((value for _, value in automaton.iter(f" {text} ")), default=None) if text else None
+                if best:
+                    at.append(i)
+                    found.append(best[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "key"])
+
+    return run
+
+
+def _slots(gram: str) -> tuple[int, int]:
+    h = int.from_bytes(blake2b(gram.encode(), digest_size=8).digest(), "little")
+    return h % FILTER_BITS, (h >> 32) % FILTER_BITS
+
+
+def _known_grams(packed: bytes, lengths: tuple[int, ...]):
+    """(key, n-gram) of the texts' word sequences that the filter of names lets through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("_folded").to_pylist()):
+                words, seen = (text or "").split(), set()
+                for n in lengths:
+                    for k in range(len(words) - n + 1):
+                        gram = " ".join(words[k : k + n])
+                        if gram not in seen and all(bits[s] for s in _slots(gram)):
+                            seen.add(gram)
+                at += [i] * len(seen)
+                found += sorted(seen)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "key"])
+
+    return run
+
+
+def _filter_of(keys: DataFrame) -> tuple[bytes, tuple[int, ...]]:
+    """The bits of all names, and the numbers of words they have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = np.zeros(FILTER_BITS, bool), set()
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                bits[list(_slots(key))] = True
+                sizes.add(len(key.split()))
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], names=["bits", "sizes"])
+
+    out, lengths = np.zeros(FILTER_BITS // 8, np.uint8), set()
+    for row in keys.select("key").coalesce(16).mapInArrow(run, "bits binary, sizes array<int>").toLocalIterator():
+        out |= np.frombuffer(row["bits"], np.uint8)
+        lengths |= set(row["sizes"])
+    return out.tobytes(), tuple(sorted(lengths))
+
+
+def resolve_place(questions: DataFrame, places: DataFrame, text: str = "text", key: str = "question_id", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """(key, place …): the longest place name or alias contained in each text, however many words it has.
+
+    Up to ``automaton_bytes`` of names, measured first, every task searches its texts with one automaton of all names, and only the
+    name found goes on. A longer list is met by a join of n-grams, of which a filter of fixed size lets hardly any but names through.
+    """
     keys = place_keys(places)
-    max_words = keys.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
-    words = F.split(fold_key(F.col(text)), " ")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i + n - 1 <= F.size("_w")),
-        lambda i: F.array_join(F.slice("_w", i, n), " "))))
+    folded = questions.select(key, fold_key(F.col(text)).alias("_folded"))
+    kind = questions.schema[key].dataType.simpleString()
+    keys = keys.where("key <> ''")
+    if (keys.agg(F.sum(F.octet_length("key") + 16)).first()[0] or 0) <= automaton_bytes:
+        listed = tuple(sorted((r["key"], r["seen"]) for r in keys.groupBy("key").agg(F.min("first_seen").alias("seen")).collect()))
+        named = folded.mapInArrow(_longest(listed), f"`{key}` {kind}, key string")
+    else:
+        named = folded.mapInArrow(_known_grams(*_filter_of(keys)), f"`{key}` {kind}, key string")
     others = [c for c in keys.columns if c not in ("key", "first_seen")]
-    named = questions.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(grams)).alias("key"))
-    return (
-        named.join(keys, "key").groupBy(key)
-        .agg(F.max_by(F.struct(*others), F.struct(F.length("key"), -F.col("first_seen"))).alias("p")).select(key, "p.*"))
+    met = attach(named, keys, ["key"])
+    return met.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.length("key"), -F.col("first_seen"))).alias("p")).select(key, "p.*")
 
 
 def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, text: str = "text",

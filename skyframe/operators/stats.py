@@ -45,35 +45,51 @@ def attach(rows: DataFrame, per_key: DataFrame, by: list[str], how: str = "inner
     return salted.join(spread, [*by, "_salt"], how).drop("_salt")
 
 
+#: Rows of one value range that a single task ranks; a range with more is divided further.
+RANKED = 65_536
+#: Parts into which such a range is divided.
+PARTS = 1024
+
+
+def _holding(counts: DataFrame, by: list[str], order: str, targets: str, unpack: str) -> DataFrame:
+    """The counted ranges (by…, _lo, _hi, _n) that hold a wanted rank, with the ranks; ``order`` sorts the ranges of a key."""
+    key = ", ".join(by)
+    running = counts.selectExpr("*", f"sum(_n) OVER (PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING) - _n AS _below", f"sum(_n) OVER (PARTITION BY {key}) AS _total")
+    return running.selectExpr("*", f"{targets} AS _from").selectExpr("*", unpack).where("_rank >= _from AND _rank < _from + _n")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
                     resolution: float = 1024.0) -> DataFrame:
     """Linear-interpolation quantiles per key, exact at any group size.
 
     Values are counted in buckets whose width grows with the value, ``resolution`` for
     each factor e: an outlier neither swallows the others in one bucket nor makes the
-    ladder of buckets long. The running count says which bucket holds each wanted rank;
-    only the rows of those buckets are then grouped by value and ranked.
+    ladder of buckets long. The running count says which bucket holds each wanted rank.
+    A bucket with many different values is divided again, and so are its parts, until
+    every range that holds a rank is small; only the rows of those are grouped by value and ranked.
     """
-    key = ", ".join(by)
     rows = df.where(usable(F.col(value))).selectExpr(*by, f"double({value}) AS _v", f"bigint(sign({value}) * floor(ln(1D + abs(double({value})) * 1048576D) * {resolution}D)) AS _b")
-    ladder = rows.groupBy(*by, "_b").agg(F.expr("count(1) AS _n")).selectExpr(
-        *by, "_b", f"sum(_n) OVER (PARTITION BY {key} ORDER BY _b ROWS UNBOUNDED PRECEDING) AS _upto",
-        "_n", f"sum(_n) OVER (PARTITION BY {key}) AS _total").selectExpr("*", "_upto - _n AS _before")
+    ladder = rows.groupBy(*by, "_b").agg(F.expr("count(1) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
     # two ranks around each position (total - 1) * p, with the weight of the upper one
     sides = ", ".join(
         f"struct('{q}' AS _q, {side} AS _up, {snap}((_total - 1) * {p}D) AS _rank, "
         f"(_total - 1) * {p}D - floor((_total - 1) * {p}D) AS _t)"
         for q, p in probs.items() for side, snap in (("false", "floor"), ("true", "ceil")))
-    targets = (
-        ladder.selectExpr(*by, "_b", "_before", "_upto", f"inline(array({sides}))")
-        .where("_rank >= _before AND _rank < _upto")
-        .groupBy(*by, "_b", "_before").agg(F.expr("collect_list(struct(_q, _up, _rank, _t)) AS _targets")))
+    wanted = F.expr("collect_list(struct(_q, _up, _rank, _t)) AS _targets")
+    span = [*by, "_b", "_lo", "_hi", "_before", "_n"]
+    targets = _holding(ladder, by, "_b", "_below", f"inline(array({sides}))").withColumn("_before", F.col("_from")).groupBy(*span).agg(wanted)
     targets = materialise(targets, "quantile_buckets")  # its size decides how it meets the rows
+    while not (wide_ := targets.where(f"_n > {RANKED} AND _lo < _hi")).isEmpty():
+        part = f"least(bigint(floor((_v - _lo) / (_hi - _lo) * {PARTS})), {PARTS - 1}L) AS _part"
+        counts = attach(rows, wide_, [*by, "_b"]).where("_v BETWEEN _lo AND _hi").selectExpr(*by, "_b", "_lo AS _outer", "_before", "_targets", "_v", part).groupBy(
+            *by, "_b", "_outer", "_before", "_targets", "_part").agg(F.expr("count(1) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
+        finer = _holding(counts, [*by, "_b", "_outer"], "_part", "_before + _below", "inline(_targets)").drop("_before").withColumnRenamed("_from", "_before").groupBy(*span).agg(wanted)
+        targets = materialise(targets.where(f"NOT (_n > {RANKED} AND _lo < _hi)").unionByName(finer), "quantile_buckets")
     found = (
-        attach(rows, targets, [*by, "_b"])
-        .groupBy(*by, "_b", "_v", "_before", "_targets").agg(F.expr("count(1) AS _n"))
+        attach(rows, targets.drop("_n"), [*by, "_b"]).where("_v BETWEEN _lo AND _hi")
+        .groupBy(*by, "_b", "_lo", "_v", "_before", "_targets").agg(F.expr("count(1) AS _n"))
         .selectExpr(*by, "_v", "_n", "_targets", "_before + sum(_n) OVER (PARTITION BY "
-                    f"{key}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _end")
+                    f"{', '.join(by)}, _b, _lo ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _end")
         .selectExpr(*by, "_v", "_end - _n AS _start", "_end", "inline(_targets)")
         .where("_rank >= _start AND _rank < _end"))
     # a + (b - a) t gives back the value itself where both neighbours are equal

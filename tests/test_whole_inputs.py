@@ -53,3 +53,18 @@ def test_requests_without_facts_stay(spark):
     facts = spark.createDataFrame([], "request_id int, fact_key string, value_num double, value_str string, unit string, ord int, confidence double, tool string")
     assert [r["request_id"] for r in answers.caption(requests, facts).collect()] == [1]
     assert [r["request_id"] for r in answers.narrate(requests, facts).collect()] == [1]
+
+
+def test_a_summary_of_change_plans_nothing_else(spark):
+    from helpers import BANDS, scene_row
+    from test_spatial import change_pair
+
+    from skyframe.plans import change_analysis
+
+    px, pairs = change_pair(spark)
+    out = change_analysis.change_analysis(px, pairs, scene_row(spark, 64, 64, "p", (70.0, 20.0, 71.0, 21.0), "pair_id"), list(BANDS))
+    assert out.made == [] and list(out) == ["summary", "transitions", "class_deltas", "delta_stats", "regions", "facts"]
+    out["summary"].collect()
+    assert set(out.made) == {"co_observed", "gate", "both", "cuts", "measured", "summary"}
+    out["transitions"].collect()
+    assert "regions" not in out.made and len(out) == 6

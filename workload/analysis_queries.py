@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyframe import fixed_values as V
@@ -10,7 +12,8 @@ from skyframe.functions import geo
 from skyframe.operators import facts as fact_ops
 from skyframe.operators import pairing, quality
 from skyframe.operators.landcover import segment_landcover
-from skyframe.session import materialise
+from skyframe.session import checkpoint_root, materialise
+from skyframe.sources import tiff
 from skyframe.plans import answers, change_analysis, landcover_report, regions, spectral, timeseries
 
 from .expression_queries import AREA
@@ -40,19 +43,24 @@ def spectral_products(spark, sf_dir):
         F.col("scene_id") % 2 == 0, F.array(F.lit("NDVI"), F.lit("NBR"))).otherwise(F.array(F.lit("NDVI"))))
 
 
-@query("c1_spectral_index", with_px("""SELECT scene_id, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std,
-  round(quantile_cont(v, 0.9), 6) AS p90, count(*) AS n FROM long GROUP BY ALL""", SPECTRAL))
+INDEX_STATS = """st AS (SELECT scene_id, metric, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS std, min(v) AS min, max(v) AS max,
+  quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90, count(*) AS n FROM long GROUP BY ALL)"""
+STAT_NAMES = [name for name, _ in spectral.STATS]
+
+
+@query("c1_spectral_index", with_px("SELECT scene_id, metric, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in STAT_NAMES) + " FROM st", SPECTRAL, INDEX_STATS))
 def c1(spark, sf_dir):
     st = spectral_products(spark, sf_dir)["stats"]
-    return st.select("scene_id", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "p90")])
+    return st.select("scene_id", "metric", "n", *[F.round(c, 6).alias(c) for c in STAT_NAMES])
 
 
-@query("a23_to_facts", with_px("""SELECT scene_id, concat(lower(metric), '_', s) AS fact_key, CASE s WHEN 'min' THEN concat(metric, ' minimum') WHEN 'max' THEN concat(metric, ' maximum')
-    ELSE concat(metric, ' valid pixel count') END AS label, CASE s WHEN 'valid_pixels' THEN 'pixels' END AS unit, round_even(x, 6) AS value_num
-FROM (SELECT scene_id, metric, unnest(['min', 'max', 'valid_pixels']) AS s, unnest([lo, hi, n]) AS x FROM (SELECT scene_id, metric, min(v) AS lo, max(v) AS hi, CAST(count(*) AS DOUBLE) AS n FROM long GROUP BY ALL))""", SPECTRAL))
+@query("a23_to_facts", with_px("""SELECT scene_id, concat(lower(metric), '_', s) AS fact_key, concat(metric, ' ', MAP {'mean': 'mean', 'median': 'median', 'std': 'standard deviation',
+    'min': 'minimum', 'max': 'maximum', 'p10': '10th percentile', 'p90': '90th percentile', 'valid_pixels': 'valid pixel count'}[s]) AS label,
+  CASE s WHEN 'valid_pixels' THEN 'pixels' END AS unit, round_even(x, 6) AS value_num
+FROM (SELECT scene_id, metric, s, x FROM (SELECT * EXCLUDE (n), CAST(n AS DOUBLE) AS valid_pixels FROM st) UNPIVOT (x FOR s IN (mean, median, std, min, max, p10, p90, valid_pixels)))""",
+                               SPECTRAL, INDEX_STATS))
 def a23(spark, sf_dir):
-    f = spectral_products(spark, sf_dir)["facts"]
-    return f.where("fact_key rlike '_(min|max|valid_pixels)$'").select("scene_id", "fact_key", "label", "unit", "value_num")
+    return spectral_products(spark, sf_dir)["facts"].select("scene_id", "fact_key", "label", "unit", "value_num")
 
 
 @query("a22_geometry_facts", with_px(f"""SELECT request_id, fact_key, value_num FROM (
@@ -299,13 +307,13 @@ def c16(spark, sf_dir):
 
 # -------------------------------------------------------------------------- streams
 METRICS = f"""{TRACE_SQL}, wn AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, tool, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, round(avg(duration_ms), 4) AS mean_ms,
-  max(duration_ms) AS max_ms FROM tr GROUP BY ALL)"""
+  max(duration_ms) AS max_ms, list_sort(list(duration_ms))[CAST(ceil(0.95 * count(*)) AS INT)] AS p95_ms FROM tr GROUP BY ALL)"""
 
 
-@query("t2_stage_metrics", f"WITH {METRICS} SELECT CAST(window_start AS VARCHAR) AS window_start, tool, calls, errors, mean_ms, max_ms FROM wn")
+@query("t2_stage_metrics", f"WITH {METRICS} SELECT CAST(window_start AS VARCHAR) AS window_start, tool, calls, errors, mean_ms, max_ms, p95_ms FROM wn")
 def t2_batch(spark, sf_dir):
     m = streaming.stage_metrics(trace(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
-    return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool", "calls", "errors", F.round("mean_ms", 4).alias("mean_ms"), "max_ms")
+    return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool", "calls", "errors", F.round("mean_ms", 4).alias("mean_ms"), "max_ms", "p95_ms")
 
 
 def event_stream(spark, sf_dir):
@@ -313,7 +321,7 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query("t2_stage_metrics_stream", f"""WITH {METRICS} SELECT CAST(window_start AS VARCHAR) AS window_start, tool, calls, errors, mean_ms, max_ms FROM wn
+@query("t2_stage_metrics_stream", f"""WITH {METRICS} SELECT CAST(window_start AS VARCHAR) AS window_start, tool, calls, errors, mean_ms, max_ms, p95_ms FROM wn
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tr) - INTERVAL 2 HOUR""")
 def t2(spark, sf_dir):
     i = F.col("event_id")
@@ -322,7 +330,7 @@ def t2(spark, sf_dir):
         F.element_at(F.array(*map(F.lit, ("ok", "ok", "no_data", "error", "skipped"))), (i % 5 + 1).cast("int")).alias("status"),
         F.round(F.col("value") * 100).cast("bigint").alias("duration_ms"))
     m = streaming.run_to_table(streaming.stage_metrics_stream(tr), "stage-metrics")
-    return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool", "calls", "errors", F.round("mean_ms", 4).alias("mean_ms"), "max_ms")
+    return m.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool", "calls", "errors", F.round("mean_ms", 4).alias("mean_ms"), "max_ms", "p95_ms")
 
 
 @query("t3_latest_usable_scene", """SELECT aoi, scene_id, round(u, 4) AS usable_fraction FROM (SELECT user_id AS aoi, event_id AS scene_id, least(1.0, value / 60)::DOUBLE AS u, CAST(ts AS DATE) AS d FROM events)
@@ -331,11 +339,36 @@ def t3(spark, sf_dir):
     q = event_stream(spark, sf_dir).select(
         F.col("user_id").alias("aoi"), F.col("event_id").alias("scene_id"), F.least(F.lit(1.0), F.col("value") / 60).alias("usable_fraction"),
         F.col("ts").cast("date").alias("acq_date"))
-    best = streaming.run_to_table(streaming.latest_usable_scene(q), "latest-scene", "complete")
+    best = streaming.latest(streaming.run_to_table(streaming.latest_usable_scene(q), "latest-scene", "update"), "aoi")
     return best.select("aoi", "scene_id", F.round("usable_fraction", 4).alias("usable_fraction"))
 
 
-@query("t1_ingest_stream")
+#: Uploads planted from pages: every seventh is a copy of the one before it, and every third body is no image.
+UPLOADS = """up AS (SELECT page_id, CASE WHEN page_id % 7 = 6 THEN page_id - 1 ELSE page_id END AS body FROM pages),
+k AS (SELECT DISTINCT body % 4 = 3 AS pdf, CASE WHEN body % 3 = 0 THEN '' ELSE '89504E470D0A1A0A' END || hex(encode('upload of a scene, body number ' || body)) AS h FROM up)"""
+
+
+@query("t1_ingest_stream", f"""WITH {UPLOADS} SELECT CAST(len(h) / 2 AS BIGINT) AS length, left(sha1(unhex(h)), 16) AS content_key,
+  CASE WHEN NOT pdf AND h LIKE '89504E47%' THEN 'accepted' ELSE 'rejected' END AS status,
+  CASE WHEN pdf THEN 'unsupported extension' WHEN h NOT LIKE '89504E47%' THEN 'contents are not an image' END AS reason FROM k""")
 def t1(spark, sf_dir):
-    out = streaming.run_to_table(streaming.ingest_stream(spark, sf_dir, "*.parquet"), "ingest")
-    return out.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "content_key", "status", "reason")
+    """Files written from pages and read back as a stream, one row per content."""
+    folder = f"{checkpoint_root(spark)}/uploads-{uuid.uuid4().hex}"
+
+    def write(batches):
+        system, name = tiff.filesystem(folder)
+        system.create_dir(name)
+        for batch in batches:
+            for file, body in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with system.open_output_stream(f"{name}/{file}") as out:
+                    out.write(body)
+            yield batch.select(["file"])
+
+    i = F.col("page_id")
+    body = F.when(i % 7 == 6, i - 1).otherwise(i)
+    content = F.concat(F.when(body % 3 == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.lit("89504E470D0A1A0A"))),
+                       F.encode(F.concat(F.lit("upload of a scene, body number "), body.cast("string")), "UTF-8"))
+    files = table(spark, sf_dir, "pages").select(F.concat(i.cast("string"), F.when(body % 4 == 3, ".pdf").otherwise(".png")).alias("file"), content.alias("content"))
+    files.mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
+    out = streaming.run_to_table(streaming.ingest_stream(spark, folder), "ingest")
+    return out.select("length", "content_key", "status", "reason")

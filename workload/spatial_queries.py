@@ -270,3 +270,51 @@ def c10_facts(spark, sf_dir):
     km2 = scenes(pixels(spark, sf_dir)).select("scene_id", geo.pixel_area_km2().alias("pixel_km2"))
     stats = radar.fusion_stats(radar.fuse_water(masks(spark, sf_dir)), km2)
     return tool_facts.fusion_facts(stats).select("scene_id", "fact_key", "value_num")
+
+
+# ------------------------------------------------- fusion with its gates: planted refusals by year
+def gated(spark, sf_dir):
+    """Fusion where 1995 has no radar scene, 1996 hardly any radar cell and 1997 a radar scene that lies elsewhere."""
+    from skyframe.plans import fusion
+
+    px = pixels(spark, sf_dir)
+    sc = scenes(px)
+    radar_scenes = sc.where("yr <> 1995").withColumns({k: F.col(k) + F.when(F.col("yr") == 1997, 0.5).otherwise(0.0) for k in ("west", "east")})
+    cells = radar_cells(spark, sf_dir).where("scene_id % 10000 <> 1995 AND (scene_id % 10000 <> 1996 OR r = 0)")
+    return fusion, (px, cells, sc, radar_scenes)
+
+
+FUSED_CELLS = "fu AS (SELECT scene_id, r, c, class = 'water' AS o, water AS s, class = 'cloud_or_snow' AS cloud FROM (SELECT scene_id, r, c, class FROM lc) JOIN (SELECT scene_id, r, c, water FROM sarc) USING (scene_id, r, c) WHERE scene_id % 10000 NOT IN (1995, 1996, 1997))"
+GATED = [MASKS[1], *landcover_ctes(), *SAR_CTES, FUSED_CELLS]
+
+
+@query("c10_status", with_px("""SELECT scene_id, CASE WHEN yr = 1995 THEN 'skipped' WHEN yr = 1997 THEN 'error' WHEN share < 0.02 THEN 'no_data' ELSE 'ok' END AS status,
+  CASE WHEN yr = 1995 THEN 'no radar scene' WHEN yr = 1997 THEN 'corners lie apart by 0.500000 degrees'
+    WHEN share < 0.02 THEN concat('both sensors observed only ', CAST(CAST(share * 100 AS DECIMAL(9, 1)) AS VARCHAR), ' % of the grid') END AS reason,
+  CASE WHEN yr = 1997 THEN 0.5 WHEN yr <> 1995 THEN 0.0 END AS max_corner_offset_deg, CASE WHEN yr NOT IN (1995, 1997) THEN share END AS overlap
+FROM (SELECT scene_id, yr, count(*) FILTER (yr <> 1996 OR r = 0) / 4096.0::DOUBLE AS share FROM px GROUP BY ALL)"""))
+def c10_status(spark, sf_dir):
+    fusion, given = gated(spark, sf_dir)
+    return fusion.fusion_status(*given)
+
+
+@query("c10_regions", with_px(f"SELECT {REGION_COLS} FROM rg", *GATED, "fw AS (SELECT scene_id, r, c, 1 AS v FROM fu WHERE CASE WHEN cloud THEN s ELSE o OR s END)",
+                             *grid_ctes("fw", "v", "0", out="bg"), "bmask AS (SELECT scene_id, r, c, valid AS m FROM bg)", *morph_ctes("bmask", "mo"),
+                             "moc AS (SELECT scene_id, r, c FROM mo WHERE m)", *component_ctes("moc", "cc"), f"sc AS ({SCENES_SQL})",
+                             "big AS (SELECT scene_id, component FROM cc GROUP BY ALL HAVING sum(c1 - c0 + 1) >= 20)", "kept AS (SELECT cc.* FROM cc JOIN big USING (scene_id, component))",
+                             *region_ctes("kept", "rg", "sc", min_pixels=40, top=6)))
+def c10_regions(spark, sf_dir):
+    fusion, given = gated(spark, sf_dir)
+    return fusion.fuse_scenes(*given)["regions"]
+
+
+@query("c10_plan_facts", with_px(f"""SELECT scene_id, fact_key, round_even(v, 6) AS value_num FROM (SELECT scene_id, iou AS fusion_iou, optical_water_pixels / valid_pixels AS fusion_optical_water_fraction,
+  sar_water_pixels / valid_pixels AS fusion_sar_water_fraction, fused_water_pixels / valid_pixels AS fusion_water_fraction,
+  CAST(optical_water_pixels - agreement_pixels AS DOUBLE) AS fusion_optical_only_pixels, CAST(sar_water_pixels - agreement_pixels AS DOUBLE) AS fusion_sar_only_pixels,
+  CAST(cloud_recovered_pixels AS DOUBLE) AS fusion_cloud_recovered_pixels, CAST(valid_pixels AS DOUBLE) AS fusion_coobserved_pixels,
+  fused_water_km2 AS fusion_water_km2, cloud_recovered_km2 AS fusion_cloud_recovered_km2 FROM ({FUSION.format(f="fu")}))
+  UNPIVOT (v FOR fact_key IN (fusion_iou, fusion_optical_water_fraction, fusion_sar_water_fraction, fusion_water_fraction, fusion_optical_only_pixels, fusion_sar_only_pixels,
+  fusion_cloud_recovered_pixels, fusion_coobserved_pixels, fusion_water_km2, fusion_cloud_recovered_km2))""", *GATED))
+def c10_plan_facts(spark, sf_dir):
+    fusion, given = gated(spark, sf_dir)
+    return fusion.fuse_scenes(*given)["facts"].select("scene_id", "fact_key", "value_num")
