@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import EUROSAT_TO_COARSE
 from . import boosting
 from .boosting import BoostedModel
-from .stats import exact_quantiles
+from .stats import attach, exact_quantiles
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42) -> DataFrame:
@@ -24,7 +24,7 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
     hashed = rows.withColumn("_h", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12))
     cut = exact_quantiles(hashed, [label], "_h", {"_cut": test_share})
-    return hashed.join(cut, label).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    return attach(hashed, cut, [label]).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
 
 def train(rows: DataFrame, label: str = "label", features: str = "features", algorithm: str = "forest", seed: int = 42,

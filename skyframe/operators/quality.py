@@ -52,5 +52,5 @@ def build_cube(true_color: DataFrame, infrared: DataFrame) -> DataFrame:
         .groupBy("aoi", "acq_date").agg(F.min_by("sensor", "pref").alias("sensor")))
     ir = infrared.select(*key, "r", "c", "swir2", "nir", F.col("red").alias("red_ir"))
     return (
-        true_color.join(ir, [*key, "r", "c"]).join(best, key)
+        attach(true_color.join(ir, [*key, "r", "c"]), best, key)
         .select(*key, "r", "c", "blue", "green", F.coalesce("red", "red_ir").alias("red"), "nir", "swir2"))

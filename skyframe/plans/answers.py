@@ -14,6 +14,7 @@ from .. import fixed_values as V
 from ..functions.numbers import half_even
 from ..functions.text import format_fact, sentence_list
 from ..operators.facts import REQ, fact_map, top_classes
+from ..session import materialise
 
 VOCABULARY = (
     [f"{c}_{s}" for c in V.CLASS_LABELS for s in ("fraction", "area_km2", "delta_area_km2", "relative_change_pct", "fraction_before", "fraction_after")]
@@ -107,14 +108,16 @@ def resolve_answers(plans: DataFrame, facts: DataFrame, text: str = "text", limi
     keys = F.transform("h", lambda x: x["fact_key"])
     named = named.withColumn("h", F.filter("h", lambda x, i: F.array_position(keys, x["fact_key"]) == i + 1)).where(F.size("h") > 0)
     direct = named.select(REQ, F.posexplode(F.slice("h", 1, limit)).alias("rank", "x")).select(REQ, "rank", "x.*").drop("tier", "pos")
+    # read several times below
+    direct = materialise(direct, "answers-direct")
 
     rest = plans.join(direct.select(REQ).distinct(), REQ, "left_anti")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]{4,}"), F.lit(0)))
     hay = F.lower(F.concat_ws(" ", "label", "fact_key"))
     scored = rest.select(REQ, words.alias("_w")).join(facts.select(REQ, *cols), REQ).withColumn(
         "score", F.size(F.filter("_w", lambda w: F.contains(hay, w)))).where("score > 0")
-    worded = scored.selectExpr(REQ, f"row_number() OVER (PARTITION BY {REQ} ORDER BY score DESC, fact_key DESC) - 1 AS rank", *cols).where(
-        F.col("rank") < limit)
+    worded = materialise(scored.selectExpr(REQ, f"row_number() OVER (PARTITION BY {REQ} ORDER BY score DESC, fact_key DESC) - 1 AS rank", *cols).where(
+        F.col("rank") < limit), "answers-worded")
 
     last = rest.join(worded.select(REQ).distinct(), REQ, "left_anti").select(REQ)
     comp = top_classes(facts.join(last, REQ, "left_semi"), 0.02, limit).select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.indices import index_expr
 from ..operators import series
 from ..operators.facts import to_facts, to_text_facts
-from ..operators.stats import index_stats
+from ..operators.stats import attach, index_stats
 
 
 def timeseries_analysis(pixels: DataFrame, areas: DataFrame, index: str = "NDVI", steps: int = 8, interval_days: int = 30,
@@ -19,7 +19,7 @@ def timeseries_analysis(pixels: DataFrame, areas: DataFrame, index: str = "NDVI"
     observation stay in the series with their status.
     """
     spine = series.date_spine(areas, "anchor", steps, interval_days)
-    wanted = pixels.join(spine.select("aoi", "d"), ["aoi", "d"], "left_semi").select("aoi", "d", index_expr(index).alias("v"))
+    wanted = attach(pixels, spine.select("aoi", "d").distinct(), ["aoi", "d"]).select("aoi", "d", index_expr(index).alias("v"))
     stats = index_stats(wanted, ["aoi", "d"], "v").join(areas.select("aoi", "width", "height"), "aoi").withColumn(
         "coverage", F.col("n") / (F.col("width") * F.col("height"))).drop("width", "height")
     rows = series.time_series(spine.select("aoi", "d"), stats, "aoi", min_coverage)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import attach
+
 from .. import fixed_values as V
 from .catalog import layer_catalog
 
@@ -46,33 +48,44 @@ def write_geojson(regions: DataFrame, label: str, path: str) -> None:
     geojson(regions, label).select("geojson").write.mode("overwrite").text(path)
 
 
-def request_records(plans: DataFrame, trace: DataFrame, facts: DataFrame, provenance: DataFrame, grounding: DataFrame,
-                    by: str = "request_id", part_size: int = 10_000) -> DataFrame:
-    """Nested records of each request, children in order.
+def record_pieces(plans: DataFrame, trace: DataFrame, facts: DataFrame, provenance: DataFrame, grounding: DataFrame,
+                  by: str = "request_id") -> DataFrame:
+    """(by, section, ord, follows, piece): the nested record of every request as pieces of its JSON text, children in order.
 
-    A record takes the children whose position lies in one span of ``part_size``; a
-    request with more continues in further numbered parts, so no list grows with the
-    request. Plan and verdict come with every part.
+    Joined in the order of these columns the pieces of a request are one JSON object with its plan, trace, facts, provenance and
+    verdict (null without one). A child is a row, so nothing grows with the number of children, and every size has one layout.
     """
     children = [(trace, "step", "execution_trace"), (facts, "ord", "facts"), (provenance, "ord", "provenance")]
-    part = [F.floor(F.col(order) / part_size).alias("part") for _, order, _ in children]
-
-    def nest(df: DataFrame, order: str, name: str, at: Column) -> DataFrame:
-        others = [c for c in df.columns if c not in (by, order)]
-        return df.select("*", at).groupBy(by, "part").agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias(name))
-
-    out = plans.select(by, F.lit(0).cast("bigint").alias("part"))
-    for (df, _, _), at in zip(children, part):
-        out = out.unionByName(df.select(by, at))
-    out = out.distinct().join(plans.select(by, F.struct(*[c for c in plans.columns if c != by]).alias("plan")), by)
-    for (df, order, name), at in zip(children, part):
-        out = out.join(nest(df, order, name, at), [by, "part"], "left")
-    verdict = grounding.select(by, F.struct(*[c for c in grounding.columns if c != by]).alias("grounding"))
-    return out.join(verdict, by, "left")
-
-
-def write_records(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").json(path)
+    requests = plans.select(by)
+    none = F.lit(None).cast("bigint")
+
+    def fixed(df: DataFrame, section: int, text: Column) -> DataFrame:
+        return df.select(by, F.lit(section).alias("section"), none.alias("ord"), F.lit(False).alias("follows"), text.alias("piece"))
+
+    plan = F.struct(by, F.struct(*[c for c in plans.columns if c != by]).alias("plan"))
+    # the opening is the object of id and plan, left open
+    opening = F.concat(F.expr("left(_json, length(_json) - 1)"), F.lit(f',"{children[0][2]}":['))
+    out = fixed(plans.withColumn("_json", F.to_json(plan, {"ignoreNullFields": "false"})), 0, opening)
+    for k, (df, order, _) in enumerate(children):
+        named = df.select(by, F.col(order).cast("bigint").alias("ord"), F.to_json(F.struct(order, *[c for c in df.columns if c not in (by, order)]), {"ignoreNullFields": "false"}).alias("piece"))
+        # equal children are one row with their number until the first child of each request is known
+        mine = attach(named, requests, [by]).groupBy(by, "ord", "piece").agg(F.count("*").alias("_n"))
+        place = F.struct(F.coalesce("ord", F.lit(-(2**63))), "piece")
+        first = mine.groupBy(by).agg(F.min(place).alias("_first"))
+        single = attach(mine, first, [by]).select(by, "ord", "piece", (place == F.col("_first")).alias("_leads"), F.explode(F.sequence(F.lit(1), "_n")).alias("_copy"))
+        follows = ~(F.col("_leads") & (F.col("_copy") == 1))
+        out = out.unionByName(single.select(by, F.lit(2 * k + 1).alias("section"), "ord", follows.alias("follows"), F.when(follows, F.concat(F.lit(","), "piece")).otherwise(F.col("piece")).alias("piece")))
+        closing = f'],"{children[k + 1][2]}":[' if k + 1 < len(children) else '],"grounding":'
+        out = out.unionByName(fixed(requests, 2 * k + 2, F.lit(closing)))
+    verdict = requests.join(grounding.select(by, F.to_json(F.struct(*[c for c in grounding.columns if c != by]), {"ignoreNullFields": "false"}).alias("_json")), by, "left")
+    return out.unionByName(fixed(verdict, 2 * len(children) + 1, F.concat(F.coalesce("_json", F.lit("null")), F.lit("}"))))
+
+
+def write_records(pieces: DataFrame, path: str, by: str = "request_id") -> None:
+    """Pieces in order over the part files of a folder: one JSON object after the other, each over as many lines as it has pieces."""
+    order = [by, "section", F.col("ord").asc_nulls_first(), "follows", "piece"]
+    width = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces.repartitionByRange(width, *order).sortWithinPartitions(*order).select("piece").write.mode("overwrite").text(path)
 
 
 def write_facts(facts: DataFrame, path: str, partition: str = "tool") -> None:

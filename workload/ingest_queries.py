@@ -13,10 +13,11 @@ from skyframe.session import checkpoint_root
 from skyframe.sources import bands, catalog, images, scenes as scene_checks, sinks, tiff
 
 from .expression_queries import AREA, HALF_SQL, BANDS_SQL, band_lists, half_located
-from .fixtures import SCENES_SQL, pixels, scenes, with_px
+from .fixtures import FACTS_SQL, SCENES_SQL, duck, pixels, scenes, with_px
 from .registry import query, table
 from .spatial_queries import CELLS, KEY, built_cells
 from .sql_parts import component_ctes, region_ctes
+from .text_queries import TRACE_SQL
 
 EXT = ["png", "jpg", "tif", "bmp", "webp", "pdf", "geotiff", "tif"]
 HEAD = ["89504E470D0A1A0A", "FFD8FF", "49492A00", "424D", "524946460000000057454250", "", "89504E470D0A1A0A", ""]
@@ -124,6 +125,9 @@ def s1_scenes(spark, sf_dir):
     return found.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).cast("bigint").alias("scene_id"), "width", "height", "n_bands", "dtype", "status")
 
 
+#: Facts of the fixture, and the trace of the events.
+FACT_SQL = f"f AS ({duck(FACTS_SQL)})"
+
 DESC = ["B2", "b03", " Red ", "near infrared", "swir1", "B12"]
 
 
@@ -270,15 +274,22 @@ def s15(spark, sf_dir):
     return images.sample_labelled(files, 20, 42).select("path", "label")
 
 
-@query("s14_request_records")
+@query("s14_request_records", f"""WITH {FACT_SQL}, {TRACE_SQL.replace("SELECT user_id", "SELECT event_id AS step, user_id")}, pr AS (SELECT request_id FROM f GROUP BY 1),
+it AS (SELECT request_id, 1 AS section, step AS ord, tool AS name, CAST(duration_ms AS DOUBLE) AS value FROM tr SEMI JOIN pr USING (request_id)
+  UNION ALL SELECT request_id, 3, ord, fact_key, value_num FROM f
+  UNION ALL SELECT s_suppkey, 5, 0, concat('archive ', s_suppkey % 4), NULL FROM supplier SEMI JOIN pr ON request_id = s_suppkey)
+SELECT request_id, section, ord, name, round(value, 6) AS value, ord <> min(ord) OVER (PARTITION BY request_id, section) AS follows FROM it
+UNION ALL SELECT request_id, section, NULL, NULL, NULL, false FROM pr, unnest([0, 2, 4, 6, 7]) t(section)""")
 def s14(spark, sf_dir):
     from .text_queries import fx_facts, fx_narrations, provenance, trace
     from skyframe.operators import grounding
 
     n = fx_narrations(spark, sf_dir).withColumn("narrator", F.lit("template"))
-    f = fx_facts(spark, sf_dir)
-    report = grounding.verify_narrations(n, f, provenance(spark, sf_dir))
-    tr = trace(spark, sf_dir)
-    pv = provenance(spark, sf_dir).withColumn("ord", F.lit(0))
-    rec = sinks.request_records(n.select("request_id", "narrator"), tr, f, pv, report)
-    return rec.select("request_id", "part", F.to_json(F.struct("plan", "execution_trace", "facts", "provenance", "grounding")).alias("record"))
+    f, pv = fx_facts(spark, sf_dir), provenance(spark, sf_dir).withColumn("ord", F.lit(0))
+    pieces = sinks.record_pieces(n.select("request_id", "narrator"), trace(spark, sf_dir), f, pv, grounding.verify_narrations(n, f, provenance(spark, sf_dir)))
+    item = F.when(F.col("section") % 2 == 1, F.regexp_replace("piece", "^,", ""))
+    field = {k: F.get_json_object(item, f"$.{k}") for k in ("tool", "fact_key", "source", "duration_ms", "value_num")}
+    inner = F.col("section").isin(1, 3, 5)
+    return pieces.select("request_id", "section", "ord", F.when(inner, F.coalesce(field["tool"], field["fact_key"], field["source"])).alias("name"),
+                         F.when(inner, F.round(F.coalesce(field["duration_ms"], field["value_num"]).cast("double"), 6)).alias("value"),
+                         "follows")

@@ -291,7 +291,7 @@ GATED = [MASKS[1], *landcover_ctes(), *SAR_CTES, FUSED_CELLS]
 @query("c10_status", with_px("""SELECT scene_id, CASE WHEN yr = 1995 THEN 'skipped' WHEN yr = 1997 THEN 'error' WHEN share < 0.02 THEN 'no_data' ELSE 'ok' END AS status,
   CASE WHEN yr = 1995 THEN 'no radar scene' WHEN yr = 1997 THEN 'corners lie apart by 0.500000 degrees'
     WHEN share < 0.02 THEN concat('both sensors observed only ', CAST(CAST(share * 100 AS DECIMAL(9, 1)) AS VARCHAR), ' % of the grid') END AS reason,
-  CASE WHEN yr = 1997 THEN 0.5 WHEN yr <> 1995 THEN 0.0 END AS max_corner_offset_deg, CASE WHEN yr NOT IN (1995, 1997) THEN share END AS overlap
+  CASE WHEN yr = 1997 THEN 0.5::DOUBLE WHEN yr <> 1995 THEN 0.0::DOUBLE END AS max_corner_offset_deg, CASE WHEN yr NOT IN (1995, 1997) THEN share END AS overlap
 FROM (SELECT scene_id, yr, count(*) FILTER (yr <> 1996 OR r = 0) / 4096.0::DOUBLE AS share FROM px GROUP BY ALL)"""))
 def c10_status(spark, sf_dir):
     fusion, given = gated(spark, sf_dir)
