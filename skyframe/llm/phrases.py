@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,60 +130,75 @@ class PhraseAutomaton:
     def __init__(self, window: int):
         self.window = window
         self.symbols = _Symbols()
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.automaton = ahocorasick.Automaton()
         self.ready = False
 
     def encode(self, words: list[str]) -> str:
         return "".join(map(self.symbols.__getitem__, words))
 
     def compile(self, phrases: dict[str, int]) -> None:
+        """Phrases with their first document; a phrase may be longer than a window."""
         for phrase, first in phrases.items():
-            self.automaton.add_word(phrase, first)
+            self.automaton.add_word(phrase, (len(phrase), first))
         self.ready = bool(phrases)
         if self.ready:
             self.automaton.make_automaton()
 
-    def locate(self, symbols: str) -> list[tuple[int, int]]:
-        """(first word, first document) of every phrase in the symbols of a passage."""
-        return [(end - self.window + 1, first) for end, first in self.automaton.iter(symbols)] if self.ready else []
+    def locate(self, symbols: str) -> list[tuple[int, int, int]]:
+        """(first word, word after the last, first document) of every phrase in the symbols of a passage, in order."""
+        return [(end + 1 - size, end + 1, first) for end, (size, first) in self.automaton.iter(symbols)] if self.ready else []
 
 
 def recurring(texts: dict[str, tuple[int, int]], window: int) -> dict[str, int]:
-    """The phrases found in two or more documents, with the first of them; a text comes with its first and last document."""
+    """The phrases found in two or more documents, with the first of them; a text comes with its first and last document.
+
+    The texts are the passages of one anchor.  Where there is only one, all its windows recur with it, and it is one phrase.
+    """
+    if len(texts) == 1:
+        return {text: low for text, (low, high) in texts.items() if low < high}
     seen: dict[str, tuple[int, int]] = {}
     for text, (low, high) in texts.items():
         for i in range(len(text) - window + 1):
             phrase = text[i : i + window]
-            l, h = seen.get(phrase, (low, high))
-            seen[phrase] = (min(l, low), max(h, high))
+            known = seen.get(phrase)
+            seen[phrase] = (low, high) if known is None else (min(known[0], low), max(known[1], high))
     return {phrase: l for phrase, (l, h) in seen.items() if l < h}
 
 
-def covered(located: list[tuple[int, int]], doc: int, window: int) -> list[tuple[int, int]]:
-    """The words of located phrases (first word, first document; in order) that begin in a smaller document, as spans."""
+def covered(located: list[tuple[int, int, int]], doc: int) -> list[tuple[int, int]]:
+    """The words of located phrases (first word, word after the last, first document; in order) that begin in a smaller document, as spans."""
     spans: list[tuple[int, int]] = []
-    for where, first in located:
+    for where, end, first in located:
         if first < doc:
             if spans and where <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], where + window)
+                spans[-1] = (spans[-1][0], end)
             else:
-                spans.append((where, where + window))
+                spans.append((where, end))
     return spans
 
 
 def _shard(columns: list[list], window: int) -> pa.RecordBatch:
-    """The words of passages (doc_id, copy, at, passage) that earlier documents hold, as spans."""
+    """The words of passages (anchor, doc_id, copy, at, passage) that earlier documents hold, as spans."""
     automaton = PhraseAutomaton(window)
     texts: dict[str, tuple[int, int]] = {}
-    for doc, _, _, passage in zip(*columns, strict=True):
+    of: dict[int, list[str]] = {}
+    for anchor, doc, _, _, passage in zip(*columns, strict=True):
         known = texts.get(passage)
-        texts[passage] = (doc, doc) if known is None else (min(known[0], doc), max(known[1], doc))
+        if known is None:
+            texts[passage] = (doc, doc)
+            of.setdefault(anchor, []).append(passage)
+        else:
+            texts[passage] = (min(known[0], doc), max(known[1], doc))
     coded = {passage: automaton.encode(passage.split(" ")) for passage in texts}
-    automaton.compile(recurring({coded[p]: ends for p, ends in texts.items()}, window))
+    # phrases hold their anchor, so those of two anchors are never in one passage
+    phrases: dict[str, int] = {}
+    for passages in of.values():
+        phrases |= recurring({coded[p]: texts[p] for p in passages}, window)
+    automaton.compile(phrases)
     located = {passage: automaton.locate(symbols) for passage, symbols in coded.items()}
     spans: list[list[int]] = [[], [], [], []]
-    for doc, copy, at, passage in zip(*columns, strict=True):
-        for start, stop in covered(located[passage], doc, window):
+    for _, doc, copy, at, passage in zip(*columns, strict=True):
+        for start, stop in covered(located[passage], doc):
             for column, v in zip(spans, (doc, copy, at + start, at + stop), strict=True):
                 column.append(v)
     return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in spans], schema=_SPAN)
@@ -191,18 +207,22 @@ def _shard(columns: list[list], window: int) -> pa.RecordBatch:
 def _locator(window: int):
     """Rows come sorted by anchor; a shard takes whole anchors, so all passages that can share a phrase."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        words, last = 0, None
+        held: list[list] = [[], [], [], [], []]
+        words = 0
         for batch in batches:
-            anchors = batch.column("anchor").to_pylist()
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "copy", "at", "passage")]
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "copy", "at", "passage")]
             begin = 0
-            for i, (anchor, passage) in enumerate(zip(anchors, columns[3], strict=True)):
-                if words >= SHARD and anchor != last:
+            anchor = batch.column("anchor").to_numpy()
+            last = held[0][-1] if held[0] else None
+            size = np.cumsum(pc.count_substring(batch.column("passage"), " ").to_numpy() + 1) + words
+            # rows with which another anchor begins
+            for i in np.flatnonzero(np.concatenate(([anchor[0] != last], anchor[1:] != anchor[:-1])) if len(anchor) else []).tolist():
+                before = int(size[i - 1]) if i else words
+                if before >= SHARD:
                     yield _shard([h + c[begin:i] for h, c in zip(held, columns, strict=True)], window)
-                    held, begin, words = [[], [], [], []], i, 0
-                last = anchor
-                words += passage.count(" ") + 1
+                    held, begin = [[], [], [], [], []], i
+                    size = size - before
+            words = int(size[-1]) if len(size) else words
             held = [h + c[begin:] for h, c in zip(held, columns, strict=True)]
         if held[0]:
             yield _shard(held, window)
@@ -239,7 +259,7 @@ def _common_spans(passages: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
             for doc, copy, at, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "at", "located")), strict=True):
-                for start, stop in covered(sorted((x["place"], x["first"]) for x in places), doc, window):
+                for start, stop in covered(sorted((x["place"], x["place"] + window, x["first"]) for x in places), doc):
                     for column, v in zip(out, (doc, copy, at + start, at + stop), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in out], schema=_SPAN)

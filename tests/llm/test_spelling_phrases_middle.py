@@ -221,7 +221,7 @@ def test_automaton_symbols_are_words():
     text = automaton.encode([f"w{i}" for i in range(60_000)])
     assert len(set(text)) == 60_000 and not any(0xD800 <= ord(c) < 0xE000 for c in text)
     automaton.compile({text[55_295:55_297]: 5})
-    assert automaton.locate(text) == [(55_295, 5)]
+    assert automaton.locate(text) == [(55_295, 55_297, 5)]
 
 
 def middle_by_hand(rows):
