@@ -106,7 +106,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that stay, with all their columns; of repeated rows of one id and text, one."""
+    """The documents of ``docs`` that stay, with all their columns; of repeated rows of one id and text, one.
+
+    Null and empty texts are copies of each other; texts of any length count whole; of equal texts the longest original
+    stays, of ties the smallest id, a row without an id last; an empty table stays empty.
+    """
     i, sha, one = fresh(docs, "__id"), fresh(docs, "__sha"), fresh(docs, "__one")
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(_id_key("doc_id").alias(i), F.col("text_sha256").alias(sha))
     norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK, "")

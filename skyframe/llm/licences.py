@@ -35,7 +35,7 @@ TEMPLATES = {
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Notices too short for a 5-word shingle.  The SQL of op9 has no such shingles, so that query leaves them out.
+#: Notices too short for a 5-word shingle.
 SHORT_NOTICES = {"all-rights-reserved": "All rights reserved."}
 
 
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     do not match it; repeated rows of an id count together, as do rows without an id; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = template_table(spark, TEMPLATES if templates is None else templates)
+    table = template_table(spark, TEMPLATES | SHORT_NOTICES if templates is None else templates)
     short: dict[int, dict[str, int]] = {}
     for r in table.filter(F.col("n_words") < SHINGLE).collect():
         if not r["n_words"]:

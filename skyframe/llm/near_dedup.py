@@ -341,14 +341,15 @@ def exact_candidates(sets: DataFrame, roots: DataFrame, percent: int) -> DataFra
     # rows of one component meet those of others, never each other
     one = met.filter("small").select("shingle", F.col("root").alias("r"), F.filter("rows", lambda x: x["small"]).alias("ys"))
     other = met.select("shingle", F.col("root").alias("s"), F.col("rows").alias("xs"))
-    y = F.col("y")
 
-    def possible(x: Column) -> Column:
+    def possible(x: Column, y: Column) -> Column:
         # at its first common shingle a pair shares nothing before it, and at most what is left of either set
         most = F.least(x["n"] - x["at"], y["n"] - y["at"])
         return (y["n"] <= x["n"]) & (100 * y["n"] >= percent * x["n"]) & (most * (100 + percent) >= percent * (x["n"] + y["n"]))
 
-    pairs = one.join(other, "shingle").filter("r <> s").select(F.explode("ys").alias("y"), "xs").select("y", F.explode(F.filter("xs", possible)).alias("x"))
+    met = one.join(other, "shingle").filter("r <> s").select("xs", F.filter("ys", lambda y: F.exists("xs", lambda x: possible(x, y))).alias("ys"))
+    near = met.select("xs", F.explode("ys").alias("y"))
+    pairs = near.select("y", F.explode(F.filter("xs", lambda x: possible(x, F.col("y")))).alias("x"))
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"))
 
 

@@ -63,19 +63,19 @@ FROM p
 def licence_sql() -> str:
     """Containment of every template in every window, over strings instead of hashes."""
     pattern = r"[^\p{L}\p{N}]+"
-    values = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licences.TEMPLATES.items()))
-    span = "CASE " + " ".join(f"WHEN len(words) <= {n} THEN {n}" for n in licences.LENGTHS) + " ELSE len(words) END"
+    values = ", ".join(f"('{k}', '{v}')" for k, v in sorted((licences.TEMPLATES | licences.SHORT_NOTICES).items()))
+    span = "CASE WHEN len(words) < 5 THEN len(words) " + " ".join(f"WHEN len(words) <= {n} THEN {n}" for n in licences.LENGTHS) + " ELSE len(words) END"
     listed = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{pattern}'), lambda x: x <> '')"
     return f"""
 WITH t AS (SELECT licence, {listed} AS words FROM (VALUES {values}) v(licence, text)),
-ts AS (SELECT licence, {span} AS span, words[i:i + 4] AS shingle FROM t, unnest(generate_series(1, len(words) - 4)) g(i)),
+ts AS (SELECT licence, {span} AS span, least(len(words), 5) AS g, words[i:i + least(len(words), 5) - 1] AS shingle FROM t, unnest(generate_series(1, len(words) - least(len(words), 5) + 1)) s(i)),
 tn AS (SELECT licence, count(DISTINCT shingle) AS n FROM ts GROUP BY licence),
 d AS (SELECT doc_id, {listed} AS words FROM documents),
-ds AS (SELECT doc_id, i - 1 AS pos, words[i:i + 4] AS shingle FROM d, unnest(generate_series(1, len(words) - 4)) g(i)),
-h AS (SELECT DISTINCT doc_id, licence, span, pos, ts.shingle FROM ds JOIN ts ON ds.shingle = ts.shingle),
+ds AS (SELECT doc_id, i - 1 AS pos, g, words[i:i + g - 1] AS shingle FROM d, (SELECT DISTINCT g FROM ts) gs, unnest(generate_series(1, len(words) - g + 1)) s(i)),
+h AS (SELECT DISTINCT doc_id, licence, span, ts.g, pos, ts.shingle FROM ds JOIN ts ON ds.shingle = ts.shingle AND ds.g = ts.g),
 w AS (
-  SELECT doc_id, licence, shingle, span * k AS start FROM h, unnest([pos // span - 1, pos // span]) g(k)
-  WHERE k >= 0 AND pos >= span * k AND pos <= span * k + 2 * span - 5),
+  SELECT doc_id, licence, shingle, span * k AS start FROM h, unnest([pos // span - 1, pos // span]) s(k)
+  WHERE k >= 0 AND pos >= span * k AND pos <= span * k + 2 * span - g),
 c AS (SELECT doc_id, licence, start, count(DISTINCT shingle) / n AS containment FROM w JOIN tn USING (licence) GROUP BY doc_id, licence, start, n)
 SELECT doc_id, licence, count(*) AS n_windows, CAST(min(start) AS BIGINT) AS first_word, max(containment) AS containment
 FROM c WHERE containment >= {licences.CONTAINED} GROUP BY doc_id, licence

@@ -69,41 +69,50 @@ def pack(lengths: np.ndarray, seq_len: int = SEQ_LEN) -> list[tuple[int, int, in
     full, tail = divmod(total, seq_len)
     room = [seq_len] * full + [1 << b for b in range(seq_len.bit_length()) if tail >> b & 1]
     size, spent = list(room), [0] * len(room)
-    open_ = [(0, -seq_len, s) for s in range(full)]
-    placed, unplaced = [], []
+    # sequences by the room they have left, those of one room by cost, and the least cost of each room
+    open_: list[list[tuple[int, int]]] = [[] for _ in range(seq_len + 1)]
+    least = np.full(seq_len + 1, np.inf)
+
+    def add(s: int) -> None:
+        if room[s]:
+            heapq.heappush(open_[room[s]], (spent[s], s))
+            least[room[s]] = open_[room[s]][0][0]
+
+    def cheapest(need: int) -> int | None:
+        """The cheapest sequence with so much room, of equal ones the emptiest."""
+        at = seq_len - int(least[need:][::-1].argmin())
+        if least[at] == np.inf:
+            return None
+        _, s = heapq.heappop(open_[at])
+        least[at] = open_[at][0][0] if open_[at] else np.inf
+        return s
+
+    def put(i: int, start: int, take: int, s: int) -> None:
+        placed.append((i, start, take, s, size[s] - room[s]))
+        room[s] -= take
+        spent[s] += cost(take)
+        add(s)
+
+    for s in range(full):
+        add(s)
+    placed: list[tuple[int, int, int, int, int]] = []
+    unplaced = []
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        need, passed, found = int(lengths[i]), [], None
-        # the cheapest sequences have the most room; where none of the first few has enough, the rest will be cut
-        while open_ and len(passed) < 8:
-            top = heapq.heappop(open_)
-            if room[top[2]] >= need:
-                found = top[2]
-                break
-            passed.append(top)
-        for top in passed:
-            heapq.heappush(open_, top)
-        if found is None:
+        s = cheapest(int(lengths[i]))
+        if s is None:
             unplaced.append(i)
-            continue
-        placed.append((i, 0, need, found, size[found] - room[found]))
-        room[found] -= need
-        spent[found] += cost(need)
-        if room[found]:
-            heapq.heappush(open_, (spent[found], -room[found], found))
+        else:
+            put(i, 0, int(lengths[i]), s)
     # what is left is cut to fill the remaining room, cheapest sequences first
     for s in range(full, len(room)):
-        heapq.heappush(open_, (0, -room[s], s))
+        add(s)
     for i in unplaced:
         start, need = 0, int(lengths[i])
         while need:
-            _, _, s = heapq.heappop(open_)
+            s = cheapest(1)
             take = min(need, room[s])
-            placed.append((i, start, take, s, size[s] - room[s]))
-            room[s] -= take
-            spent[s] += cost(take)
+            put(i, start, take, s)
             start, need = start + take, need - take
-            if room[s]:
-                heapq.heappush(open_, (spent[s], -room[s], s))
     return placed
 
 

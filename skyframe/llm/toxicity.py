@@ -310,7 +310,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns.
+
+    A row counts by its whole text alone: a null text counts as the empty one, ids may be null or repeat, equal texts stay or go
+    together, and an empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model.lexicon)
         for part in blocks(batches, text_col):

@@ -184,7 +184,11 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    A row counts by its whole text alone: a null text counts as the empty one, ids may be null or repeat, equal texts stay or go
+    together, and an empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text_col):
             block = Block(part.column(text_col).fill_null(""))
