@@ -117,31 +117,6 @@ def _merged(by: list[str], size: int):
     return run
 
 
-def star_components(edges: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, u, v): every non-minimal node with the smallest node of its component.
-
-    Both steps combine before the shuffle and join on (key, node), where a hub's rows
-    are split by adaptive skew handling since another shuffle follows; each round is
-    written out, and the loop ends when every node hangs on one root.
-    """
-    def settled(df: DataFrame) -> bool:
-        roles = F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("child")), F.struct(F.col("v").alias("n"), F.lit(0).alias("child")))
-        nodes = df.select(*by, F.inline(roles)).groupBy(*by, "n").agg(
-            F.sum("child").alias("above"), F.count_if(F.col("child") == 0).alias("below"))
-        return nodes.where("above > 1 OR (above > 0 AND below > 0)").isEmpty()
-
-    stars = materialise(edges.distinct(), "edges")
-    while not settled(stars):
-        both = stars.unionByName(stars.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-        small = large.join(least, [*by, "u"]).select(*by, F.inline(pairs)).where("u <> v").distinct()
-        stars = materialise(small, "stars")
-    return stars
-
-
 def connected_runs(mask: DataFrame, by: list[str]) -> DataFrame:
     """(by…, r, c0, c1, component): runs of cells, cut where blocks meet, with their component's first cell in raster order."""
     kinds = {f.name: f.dataType.simpleString() for f in mask.schema.fields}

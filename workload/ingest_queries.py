@@ -78,7 +78,6 @@ def planted_tiffs(spark, sf_dir):
 
     def write(table):
         import numpy as np
-        from pyarrow import fs
 
         scene = table.column("scene_id")[0].as_py()
         n = BAND_COUNTS[scene % 3]
