@@ -35,6 +35,15 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
+def _per_request(df: DataFrame) -> DataFrame:
+    """A table that has rows for every request, to be met by a shuffle.
+
+    Its rows are many and alike, so its files are far smaller than its rows: by the size of the files it would be sent out
+    whole by the driver.
+    """
+    return df.hint("merge")
+
+
 def val(key: str) -> Column:
     return F.try_element_at("vals", F.lit(key))
 
@@ -98,7 +107,8 @@ def resolve_answers(plans: DataFrame, facts: DataFrame, text: str = "text", limi
     """
     cols = ["fact_key", "label", "value_num", "value_str", "unit"]
     wanted = plans.select(REQ, F.posexplode(_wanted(F.col(text))).alias("pos", "w")).select(REQ, "pos", "w.tier", "w.fact_key")
-    hits = wanted.join(facts.select(REQ, *cols), [REQ, "fact_key"])
+    facts = _per_request(facts.select(REQ, *cols))
+    hits = wanted.join(facts, [REQ, "fact_key"])
     # the wanted list of a question is short, so its hits are too
     named = hits.groupBy(REQ).agg(F.array_sort(F.collect_list(F.struct("tier", "pos", *cols))).alias("h"))
     has_named = F.exists("h", lambda x: x["tier"] == 1)
@@ -111,18 +121,18 @@ def resolve_answers(plans: DataFrame, facts: DataFrame, text: str = "text", limi
     # read several times below
     direct = materialise(direct, "answers-direct")
 
-    rest = plans.join(direct.select(REQ).distinct(), REQ, "left_anti")
+    rest = plans.join(_per_request(direct.select(REQ).distinct()), REQ, "left_anti")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]{4,}"), F.lit(0)))
     hay = F.lower(F.concat_ws(" ", "label", "fact_key"))
-    scored = rest.select(REQ, words.alias("_w")).join(facts.select(REQ, *cols), REQ).withColumn(
+    scored = rest.select(REQ, words.alias("_w")).join(facts, REQ).withColumn(
         "score", F.size(F.filter("_w", lambda w: F.contains(hay, w)))).where("score > 0")
     worded = materialise(scored.selectExpr(REQ, f"row_number() OVER (PARTITION BY {REQ} ORDER BY score DESC, fact_key DESC) - 1 AS rank", *cols).where(
         F.col("rank") < limit), "answers-worded")
 
-    last = rest.join(worded.select(REQ).distinct(), REQ, "left_anti").select(REQ)
+    last = _per_request(rest.join(_per_request(worded.select(REQ).distinct()), REQ, "left_anti").select(REQ))
     comp = top_classes(facts.join(last, REQ, "left_semi"), 0.02, limit).select(
         REQ, (F.col("rank") - 1).alias("rank"), F.concat("class", F.lit("_fraction")).alias("fact_key"))
-    composed = comp.join(facts.select(REQ, *cols), [REQ, "fact_key"]).select(REQ, "rank", *cols)
+    composed = comp.join(facts, [REQ, "fact_key"]).select(REQ, "rank", *cols)
     return direct.unionByName(worded).unionByName(composed)
 
 
@@ -149,7 +159,7 @@ def answer(plans: DataFrame, facts: DataFrame, text: str = "text") -> DataFrame:
     line = say("" , F.col("label"), ": ", format_fact(F.col("value_num"), F.col("value_str"), F.col("unit")), ".")
     per = chosen.groupBy(REQ).agg(F.array_sort(F.collect_list(F.struct("rank", "fact_key", line.alias("line")))).alias("a"))
     q = F.col(text)
-    out = plans.select(REQ, text, "target_classes").join(per, REQ, "left").join(fact_map(facts, VOCABULARY), REQ, "left")
+    out = plans.select(REQ, text, "target_classes").join(_per_request(per), REQ, "left").join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left")
     first = F.get("a", F.lit(0))
     opening = F.when(q.rlike(V.YES_NO) & q.rlike(V.DIRECTION), F.coalesce(_direction_sentence(), F.lit(""))).otherwise(first["line"])
     rest = F.transform(F.slice("a", 2, 3), lambda x: x["line"])
@@ -187,7 +197,7 @@ def _in_domain() -> Column:
 
 def caption(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """(request_id, caption, confidence); requests carry source, place, acq_date, width, height and in_domain."""
-    out = requests.join(fact_map(facts, VOCABULARY), REQ, "left")
+    out = requests.join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left")
     comp = _composition(0.005)
     head = say(F.col("source"), " imaged ", F.coalesce("place", F.lit("the requested area")), maybe(" on ", F.col("acq_date").cast("string")),
                maybe(" covering ", fixed(val("scene_area_km2"), 0, commas=True), " km²"), " at ", F.col("width").cast("string"), "×",
@@ -218,7 +228,7 @@ def _movers(limit: int, sentence) -> Column:
 
 def narrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """(request_id, narrator, text): template narration by task; every number is a fact."""
-    out = requests.join(fact_map(facts, VOCABULARY), REQ, "left")
+    out = requests.join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left")
     dates = F.transform("dates", lambda d: d.cast("string"))
     span = F.when(F.size(dates) == 1, say(" for ", F.get(dates, F.lit(0)))).when(
         F.size(dates) > 1, say(" for ", F.get(dates, F.lit(0)), " and ", F.element_at(dates, -1)))
@@ -278,7 +288,7 @@ def summarise(requests: DataFrame, facts: DataFrame) -> DataFrame:
     confidence, checked, verified, is_upload and interpretation. Sections without
     content are dropped and every number is a fact or a plan field.
     """
-    out = requests.join(fact_map(facts, VOCABULARY), REQ, "left").withColumn("_c", _composition(0.02))
+    out = requests.join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left").withColumn("_c", _composition(0.02))
     dates = F.transform("dates", lambda d: d.cast("string"))
     period = F.when(F.size(dates) == 1, F.get(dates, F.lit(0))).when(F.size(dates) > 1, say(F.get(dates, F.lit(0)), " to ", F.element_at(dates, -1)))
     located, upload = F.col("west").isNotNull(), F.col("is_upload")

@@ -220,3 +220,31 @@ def test_digest_never_places_an_unlocated_image(spark):
         "interpretation": F.lit("Analyse."), "confidence": F.lit(0.8), **{c: F.lit(None).cast("double") for c in ("west", "south", "east", "north")}})
     rows = {r.kind: r.points for r in answers.summarise(req, f).collect()}
     assert "location" not in rows and not any("Body" in s for pts in rows.values() for s in pts) and rows["findings"] == ["Water: 40.0%"]
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    rows = [(1, "NDVI of Delhi in 2021"), (2, "NDVI of Delhi in 2021"), (3, None), (4, ""), (5, None), (6, "NDVI of Delhi in 2021")]
+    df = spark.createDataFrame(rows, "question_id int, text string")
+    read, plain = [], lexicon.extract_dates
+
+    def counted(texts, *others):
+        read.append(texts.count())
+        return plain(texts, *others)
+
+    monkeypatch.setattr(lexicon, "extract_dates", counted)
+    out = {r.question_id: r for r in lexicon.annotate_queries(df, catalog.gazetteer(spark), F.lit(TODAY)).collect()}
+    assert read == [3] and len(out) == 6
+    assert [out[i].aoi_name for i in (1, 2, 6)] == ["Delhi"] * 3 and out[1].interpretation == out[6].interpretation
+    assert [out[i].text for i in (3, 4, 5)] == [None, "", None] and {out[i].task for i in (3, 4, 5)} == {"caption"}
+
+
+def test_answers_send_no_table_of_requests_through_the_driver(spark):
+    from skyframe.session import materialise
+
+    plans = materialise(spark.range(50).selectExpr("id AS request_id", "'How much water is there?' AS text", "array('water') AS target_classes", "array() AS indices", "'vqa' AS task")
+                        .withColumn("indices", F.col("indices").cast("array<string>")), "plans")
+    facts_ = materialise(spark.range(50).selectExpr("id AS request_id", "0 AS ord", "'water_fraction' AS fact_key", "'Water share' AS label", "0.25D AS value_num",
+                                                    "string(null) AS value_str", "'fraction' AS unit"), "facts")
+    for out in (answers.resolve_answers(plans, facts_), answers.answer(plans, facts_)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.answer for r in out.collect()} == {"Water share: 25.00%."}
