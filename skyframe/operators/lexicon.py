@@ -210,12 +210,21 @@ def resolve_place(questions: DataFrame, places: DataFrame, text: str = "text", k
 
 def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, text: str = "text",
                      key: str = "question_id") -> DataFrame:
-    """One analysis plan per question (place, dates, task, classes, indices, modalities …)."""
-    # pattern matching is the work here, so rows are spread before it; the place join
-    # below is on the same key and needs no further exchange of this side
+    """One analysis plan per question (place, dates, task, classes, indices, modalities …).
+
+    A plan follows from the text alone, so equal texts are read once and every question takes the plan of its text.
+    """
+    # a text that is NULL keeps a plan too
+    wording = F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")).alias("_wording")
     width = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = questions.repartition(width, key)
-    out = extract_dates(spread.withColumn("normalised", normalise_text(F.col(text))), text, today)
+    # pattern matching is the work here: texts that small files or adaptive coalescing would leave to few tasks are spread over all
+    texts = questions.select(text, wording).distinct().repartition(width, "_wording")
+    read = _read_texts(texts, places, today, text, "_wording").drop(text)
+    return questions.withColumn("_wording", wording).join(read, "_wording").drop("_wording")
+
+
+def _read_texts(texts: DataFrame, places: DataFrame, today: Column, text: str, key: str) -> DataFrame:
+    out = extract_dates(texts.withColumn("normalised", normalise_text(F.col(text))), text, today)
     t, low = F.col(text), F.lower("normalised")
     out = out.withColumn("_low", low)
     out = out.withColumns({"_task": classify_task(t), "event_key": detect_event(F.col("_low")), "_cls": match_classes(t)})
@@ -236,7 +245,7 @@ def annotate_queries(questions: DataFrame, places: DataFrame, today: Column, tex
         "event": event_field(event, 1),
         "unsupported": event.isin(*V.UNMEASURABLE_EVENTS),
     })
-    located = resolve_place(spread, places, text, key).select(key, F.col("name").alias("aoi_name"), "west", "south", "east", "north")
+    located = resolve_place(texts, places, text, key).select(key, F.col("name").alias("aoi_name"), "west", "south", "east", "north")
     out = out.join(located, key, "left")
     change = F.col("task").isin("change_detection", "change_vqa")
     fusion = F.col("task") == "optical_sar_fusion"
