@@ -161,7 +161,8 @@ def _moment_values(v: np.ndarray) -> np.ndarray:
     """MOMENTS of each row of values."""
     if not v.shape[-1]:
         return np.zeros((len(v), len(MOMENTS)))
-    mean, std = v.mean(axis=1, keepdims=True), v.std(axis=1, keepdims=True)
+    # added one after the other in raster order, as an average in SQL is: pairwise sums fall on the other side of a rounding tie
+    mean, std = v.cumsum(axis=1)[:, -1:] / v.shape[-1], v.std(axis=1, keepdims=True)
     z = (v - mean) / np.maximum(std, 1e-6)
     square = z * z
     return np.hstack((mean, std, (square * z).mean(axis=1, keepdims=True), (square * square).mean(axis=1, keepdims=True), _quantiles(v, (0.05, 0.25, 0.5, 0.75, 0.95))))

@@ -125,3 +125,14 @@ def test_patch_features_against_numpy(spark):
     assert len(tiles.feature_names()) == 196
     for row in tiles.patch_features(df).collect():
         assert np.allclose(row.features, brute_features(patches[row.tile_id]), atol=1e-6)
+
+
+def test_means_are_added_in_raster_order():
+    from skyframe.operators.tiles import _moment_values
+
+    v = np.full((1, 64), 1 / 3)
+    v[0, 9] = 0.0
+    plain = 0.0
+    for x in v[0]:
+        plain += x
+    assert plain != v.sum() and _moment_values(v)[0, 0] == plain / 64
