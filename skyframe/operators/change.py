@@ -36,17 +36,17 @@ def transition_counts(labels: DataFrame, before: str = "b_class", after: str = "
         *KEY, F.col(before).alias("from_class"), F.col(after).alias("to_class")).agg(F.count("*").alias("pixels"))
 
 
-def transition_matrix(counts: DataFrame, pixel_km2: DataFrame, top_changed: int = 8) -> DataFrame:
-    """Changed transitions first, largest first; class order breaks ties."""
+def transition_matrix(counts: DataFrame, pixel_km2: DataFrame, top_changed: int | None = 8) -> DataFrame:
+    """Changed transitions first, largest first; class order breaks ties. Without ``top_changed`` every transition stays."""
     order = F.array(*map(F.lit, CLASSES))
     per_pair = Window.partitionBy(*KEY)
     is_change = F.col("from_class") != F.col("to_class")
     ranked = per_pair.partitionBy(*KEY, "is_change").orderBy(
         F.desc("pixels"), F.array_position(order, F.col("from_class")), F.array_position(order, F.col("to_class")))
-    keep = F.when(F.col("is_change"), F.lit(top_changed)).otherwise(F.lit(len(CLASSES)))
+    keep = F.lit(True) if top_changed is None else ~F.col("is_change") | (F.col("rank") <= top_changed)
     return (
         counts.withColumn("total", F.sum("pixels").over(per_pair)).withColumn("is_change", is_change)
-        .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= keep)
+        .withColumn("rank", F.row_number().over(ranked)).where(keep)
         .join(pixel_km2, KEY, "left")
         .select(*KEY, "from_class", "to_class", "pixels", "is_change", "rank",
                 half_even(F.col("pixels") * F.col("pixel_km2"), 4).alias("area_km2"),

@@ -70,7 +70,7 @@ def change_analysis(pixels: DataFrame, pairs: DataFrame, scenes: DataFrame, band
         "co_observed": lambda p: materialise(pairing.co_observe(pixels, pairs, bands), "co-observed"),
         "gate": gate, "both": lambda p: attach(p["co_observed"], p["gate"].select(*KEY), KEY), "cuts": cuts, "measured": measured, "summary": summary,
         "counts": lambda p: materialise(change.transition_counts(both_classes(p["both"], bands)), "transitions"),
-        "transitions": lambda p: change.transition_matrix(p["counts"], km2), "class_deltas": lambda p: change.class_deltas(p["counts"], km2),
+        "transitions": lambda p: change.transition_matrix(p["counts"], km2, None), "class_deltas": lambda p: change.class_deltas(p["counts"], km2),
         "delta_stats": lambda p: change.delta_stats(change.index_deltas(p["both"], list(indices))), "regions": regions,
         "facts": lambda p: change_facts(p["summary"], p["class_deltas"], p["delta_stats"]),
     }, ["summary", "transitions", "class_deltas", "delta_stats", "regions", "facts"])

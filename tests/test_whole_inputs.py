@@ -68,3 +68,25 @@ def test_a_summary_of_change_plans_nothing_else(spark):
     assert set(out.made) == {"co_observed", "gate", "both", "cuts", "measured", "summary"}
     out["transitions"].collect()
     assert "regions" not in out.made and len(out) == 6
+
+
+def test_every_transition_of_a_pair_stays(spark):
+    from skyframe.fixed_values import CLASSES
+    from skyframe.operators.change import transition_matrix
+
+    counts = spark.createDataFrame([("p", a, b, 10 * i + j + 1) for i, a in enumerate(CLASSES) for j, b in enumerate(CLASSES)],
+                                   "pair_id string, from_class string, to_class string, pixels bigint")
+    km2 = spark.createDataFrame([("p", 0.5)], "pair_id string, pixel_km2 double")
+    assert transition_matrix(counts, km2, None).count() == len(CLASSES) ** 2
+    assert transition_matrix(counts, km2).count() == len(CLASSES) + 8
+
+
+def test_a_written_table_of_many_rows_is_not_sent_out(spark, monkeypatch):
+    from skyframe.operators import stats
+
+    monkeypatch.setattr(stats, "SENT", 2)
+    rows = spark.range(4000).selectExpr("id % 5 AS k", "double(id) AS v")
+    out = stats.exact_quantiles(rows, ["k"], "v", {"q": 0.5})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert {r["k"]: r["q"] for r in out.collect()} == {k: 1997.5 + k for k in range(5)}
