@@ -29,20 +29,26 @@ def melt(df: DataFrame, keys: list[str], metrics: dict[str, Column], name="metri
 
 #: Least number of tasks that the rows of one key are spread over; a wider shuffle spreads them further.
 SALTS = 16
+#: Most rows of a counted table that are sent to every task.
+SENT = 1 << 15
 
 
-def attach(rows: DataFrame, per_key: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, by: list[str], how: str = "inner", n: int | None = None) -> DataFrame:
     """Give every row the columns of its key.
 
     Catalyst broadcasts ``per_key`` when its measured size allows. Beyond that the
     join must shuffle the rows, so each key is spread over many tasks by the
     input partition of the row (stable when a task is retried), and the aggregates
     that follow combine before their own shuffle instead of inheriting a hot key.
+    ``n`` is the number of rows of a ``per_key`` that was written: packed files tell little of the
+    memory their rows take, so its rows and not its files decide.
     """
+    if n is not None and n <= SENT:
+        return rows.join(F.broadcast(per_key), by, how)
     salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.expr(f"pmod(spark_partition_id(), {salts})"))
-    return salted.join(spread, [*by, "_salt"], how).drop("_salt")
+    return salted.join(spread if n is None else spread.hint("merge"), [*by, "_salt"], how).drop("_salt")
 
 
 #: Rows of one value range that a single task ranks; a range with more is divided further.
@@ -78,15 +84,15 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     wanted = F.expr("collect_list(struct(_q, _up, _rank, _t)) AS _targets")
     span = [*by, "_b", "_lo", "_hi", "_before", "_n"]
     targets = _holding(ladder, by, "_b", "_below", f"inline(array({sides}))").withColumn("_before", F.col("_from")).groupBy(*span).agg(wanted)
-    targets = materialise(targets, "quantile_buckets")  # its size decides how it meets the rows
-    while not (wide_ := targets.where(f"_n > {RANKED} AND _lo < _hi")).isEmpty():
+    targets = materialise(targets, "quantile_buckets")  # its rows decide how it meets the others
+    while n_wide := (wide_ := targets.where(f"_n > {RANKED} AND _lo < _hi")).count():
         part = f"least(bigint(floor((_v - _lo) / (_hi - _lo) * {PARTS})), {PARTS - 1}L) AS _part"
-        counts = attach(rows, wide_, [*by, "_b"]).where("_v BETWEEN _lo AND _hi").selectExpr(*by, "_b", "_lo AS _outer", "_before", "_targets", "_v", part).groupBy(
+        counts = attach(rows, wide_, [*by, "_b"], n=n_wide).where("_v BETWEEN _lo AND _hi").selectExpr(*by, "_b", "_lo AS _outer", "_before", "_targets", "_v", part).groupBy(
             *by, "_b", "_outer", "_before", "_targets", "_part").agg(F.expr("count(1) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
         finer = _holding(counts, [*by, "_b", "_outer"], "_part", "_before + _below", "inline(_targets)").drop("_before").withColumnRenamed("_from", "_before").groupBy(*span).agg(wanted)
         targets = materialise(targets.where(f"NOT (_n > {RANKED} AND _lo < _hi)").unionByName(finer), "quantile_buckets")
     found = (
-        attach(rows, targets.drop("_n"), [*by, "_b"]).where("_v BETWEEN _lo AND _hi")
+        attach(rows, targets.drop("_n"), [*by, "_b"], n=targets.count()).where("_v BETWEEN _lo AND _hi")
         .groupBy(*by, "_b", "_lo", "_v", "_before", "_targets").agg(F.expr("count(1) AS _n"))
         .selectExpr(*by, "_v", "_n", "_targets", "_before + sum(_n) OVER (PARTITION BY "
                     f"{', '.join(by)}, _b, _lo ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _end")
