@@ -190,7 +190,10 @@ def fit(rows: DataFrame, label: str = "label", features: str = "features", itera
     if not shares:
         raise ValueError("no labelled rows")
     classes = sorted(shares)
-    sample = data.orderBy(F.xxhash64("x", F.lit(seed))).limit(edge_rows).select("x").toArrow()
+    # only hashes are ordered; the wide rows of the lowest ones are read after that
+    hashed = data.withColumn("_h", F.xxhash64("x", F.lit(seed)))
+    lowest = hashed.select("_h").orderBy("_h").limit(edge_rows).agg(F.max("_h").alias("h")).first()["h"]
+    sample = hashed.where(F.col("_h") <= lowest).orderBy("_h").limit(edge_rows).select("x").toArrow()
     width = len(sample.column("x")[0])
     prior = np.log(np.array([shares[c] for c in classes]) / sum(shares.values()))
     model = BoostedModel(classes, _edges(_matrix(sample.column("x").combine_chunks(), width), bins), rate, prior)

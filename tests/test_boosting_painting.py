@@ -107,3 +107,15 @@ def test_features_of_tiles_with_holes(spark):
     assert (got["red_mean"], got["green_mean"], got["blue_mean"], got["red_std"]) == (0.5, 0.5, 0.25, 0.0)
     assert got["hist_red_6"] == pytest.approx(62 / 63) and got["grid00_blue"] == 0.25 and got["vari_mean"] == 0.0
     assert all(np.isfinite(v) for v in got.values())
+
+
+def test_borders_come_from_the_rows_of_lowest_hash(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skyframe.operators import boosting
+
+    rows = spark.range(300).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"), F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double")).alias("features"))
+    model = boosting.fit(rows, iterations=1, depth=1, edge_rows=40)
+    lowest = [r["features"] for r in rows.orderBy(F.xxhash64("features", F.lit(42))).limit(40).collect()]
+    assert np.array_equal(model.edges, boosting._edges(np.array(lowest), boosting.BINS))
