@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 EXTENSIONS = (".tif", ".tiff", ".geotiff")
-#: Bytes of files read by one task, unless the option ``splitBytes`` says otherwise.
-SPLIT_BYTES = 64 << 20
+#: Bytes of files read by one task, unless the option ``splitBytes`` says otherwise. Packed files grow many times when every pixel becomes a row,
+#: so a task takes fewer of their bytes than of a columnar file.
+SPLIT_BYTES = 2 << 20
 PIXELS = "path string, r int, c int, factor int, valid boolean, values array<double>"
 SCENES = ("path string, width int, height int, n_bands int, dtype string, descriptions array<string>, nodata double, epsg int, "
           "west double, south double, east double, north double, status string, reason string")

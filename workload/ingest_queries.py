@@ -99,10 +99,13 @@ def planted_tiffs(spark, sf_dir):
 
 
 def named_bands(px):
-    """(scene_id, r, c, …, band, v) of file pixels, bands named by their number and position."""
-    long = px.withColumn("n_bands", F.size("values")).select(
-        F.regexp_extract("path", r"([^/]+)\.tif$", 1).cast("bigint").alias("scene_id"), "r", "c", "factor", "n_bands", F.posexplode("values").alias("pos", "v"))
-    return long.join(bands.band_presets(px.sparkSession), ["n_bands", "pos"]).withColumnRenamed("preset", "band")
+    """(scene_id, r, c, …, band, v) of file pixels, bands named by their number and position.
+
+    The presets are a few fixed rows, so they go to the pixels: by their keys all pixels would meet in one task a band.
+    """
+    scene = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("bigint")
+    long = px.select(scene.alias("scene_id"), "r", "c", "factor", F.size("values").alias("n_bands"), F.posexplode("values").alias("pos", "v"))
+    return long.join(F.broadcast(bands.band_presets(px.sparkSession)), ["n_bands", "pos"]).withColumnRenamed("preset", "band")
 
 
 @query("s1_scan_tiff", with_px("SELECT scene_id, r, c, band, round(v, 6) AS v FROM fr", FILE_ROWS))
