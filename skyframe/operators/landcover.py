@@ -223,8 +223,9 @@ def segment_any(px: DataFrame, adaptive: bool = True) -> DataFrame:
     needs is no valid pixel.
     """
     has = [F.first(b, ignorenulls=True).alias(b) for b in ("nir", "red", "green", "blue") if b in px.columns]
-    kinds = px.groupBy(*KEY).agg(*has).select(*KEY, has_multispectral().alias("_spectral"))
-    routed = attach(px, kinds, KEY)
+    # written, and met by its rows: every pass below reads the pixels through this join, and by the size of the pixels it would shuffle them each time
+    kinds = materialise(px.groupBy(*KEY).agg(*has).select(*KEY, has_multispectral().alias("_spectral")), "scene-kinds")
+    routed = attach(px, kinds, KEY, n=kinds.count())
     spectral, _ = segment_landcover(routed.where(F.col("_spectral") & has_multispectral()).drop("_spectral"), adaptive)
     visible, _ = segment_landcover(routed.where(~F.col("_spectral") & has_rgb()).drop("_spectral"), adaptive, visible_only=True)
     return spectral.withColumn("basis", F.lit("multispectral")).unionByName(

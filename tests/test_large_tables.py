@@ -5,6 +5,8 @@ import io
 
 import numpy as np
 
+from helpers import half_water, raster
+from skyframe.operators import landcover
 from skyframe.sources import tiff
 from workload import ingest_queries
 
@@ -26,3 +28,16 @@ def test_files_are_divided_and_pixels_meet_no_band_key(spark, tmp_path):
     assert "hashpartitioning" not in plan_of(named)
     counts = {(r["scene_id"], r["band"]): r["count"] for r in named.groupBy("scene_id", "band").count().collect()}
     assert len(counts) == 30 and set(counts.values()) == {cube[..., 0].size}
+
+
+def test_pixels_are_routed_without_a_shuffle(spark):
+    px = raster(spark, half_water(32))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # what Catalyst sees of a table whose pixels are many
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = landcover.segment_any(px)
+        assert "BroadcastHashJoin" in plan_of(labels)
+        assert {r["class"]: r["count"] for r in labels.groupBy("class").count().collect()}["water"] == 512
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
