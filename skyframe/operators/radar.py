@@ -44,6 +44,8 @@ def sar_segment(grid: DataFrame, despeckle: bool = True, builtup_percentile: flo
     cuts = materialise(cuts.join(spread, KEY, "left"), "radar-spread")
     scored = attach(layers, cuts, KEY).withColumn("water", F.col("filtered") < F.col("t_water")).withColumn(
         "score", F.round(0.5 * _stretched("filtered") + 0.5 * _stretched("texture"), DIGITS))
+    # written: rounding is dear, and the quantiles would repeat it in every pass, test and bucket
+    scored = materialise(scored.select(*KEY, "r", "c", "filtered", "texture", "water", "score"), "radar-scores")
     built = exact_quantiles(scored.where("NOT water"), KEY, "score", {"t_built": builtup_percentile / 100.0}, 4096.0)
     cuts = materialise(cuts.join(built, KEY, "left").withColumn("t_built", F.coalesce("t_built", F.lit(1.0))), "radar-cuts")
     out = attach(scored, cuts.select(*KEY, "t_built"), KEY).withColumn(

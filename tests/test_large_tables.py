@@ -6,7 +6,8 @@ import io
 import numpy as np
 
 from helpers import half_water, raster
-from skyframe.operators import landcover
+from pyspark.sql import functions as F
+from skyframe.operators import landcover, radar
 from skyframe.sources import tiff
 from workload import ingest_queries
 
@@ -41,3 +42,14 @@ def test_pixels_are_routed_without_a_shuffle(spark):
         assert {r["class"]: r["count"] for r in labels.groupBy("class").count().collect()}["water"] == 512
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scores_are_rounded_once(spark, monkeypatch):
+    plans = []
+    quantiles = radar.exact_quantiles
+    monkeypatch.setattr(radar, "exact_quantiles", lambda df, *a, **k: plans.append(plan_of(df)) or quantiles(df, *a, **k))
+    gray = np.random.default_rng(6).random((32, 32))
+    cells = raster(spark, {"gray": gray}).withColumns({"width": F.lit(32), "height": F.lit(32)})
+    out, _ = radar.sar_segment(cells)
+    assert len(plans) == 2 and "round(" not in plans[1] and "round(" not in plan_of(out)
+    assert out.count() == 1024
