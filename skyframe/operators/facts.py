@@ -126,21 +126,22 @@ def pick_scene(scenes: DataFrame, preference=V.ROLE_PREFERENCE) -> DataFrame:
         F.min_by(F.struct(*others), order).alias("_v")).select(REQ, "_v.*")
 
 
-def fact_map(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """(request_id, vals, texts, n_facts): wanted facts as maps.
+def fact_columns(facts: DataFrame, keys: list[str], texts: tuple[str, ...] = ()) -> DataFrame:
+    """(request_id, nums, texts): the latest value of each wanted fact, as fields of two structs.
 
-    Facts are first reduced to one row per (request, key), combining before the
-    shuffle. ``keys`` is a fixed vocabulary, so the maps stay small however many rows
-    one request has.
+    Facts are first reduced to one row per (request, key), combining before the shuffle; ``keys`` is a fixed
+    vocabulary, so a row stays small however many rows one request has. Numbers are aggregated apart from the
+    few texts, which only a sort could aggregate. Structs keep the joins that follow narrow: code for a
+    hundred columns is too long to be compiled.
     """
-    wanted = F.col("fact_key").isin(*keys)
-    single = facts.groupBy(REQ, "fact_key").agg(F.max_by(F.struct("value_num", "value_str"), "ord").alias("v"))
 
-    def entries(value: str) -> Column:
-        present = wanted & F.col(value).isNotNull()
-        return F.map_from_entries(F.collect_list(F.when(present, F.struct(F.col("fact_key"), F.col(value)))))
+    def latest(names: list[str], value: str, out: str) -> DataFrame:
+        at = F.array_position(F.array(*map(F.lit, names)), F.col("fact_key")).cast("int").alias("_at")
+        single = facts.where(F.col("fact_key").isin(*names)).select(REQ, "ord", value, at).groupBy(REQ, "_at").agg(F.max_by(value, "ord").alias("_v"))
+        return single.groupBy(REQ).agg(F.struct(*[F.max(F.when(F.col("_at") == i, F.col("_v"))).alias(k) for i, k in enumerate(names, 1)]).alias(out))
 
-    return single.groupBy(REQ).agg(entries("v.value_num").alias("vals"), entries("v.value_str").alias("texts"), F.count("*").alias("n_facts"))
+    numbers = latest(list(keys), "value_num", "nums")
+    return numbers.join(latest(list(texts), "value_str", "texts"), REQ, "full") if texts else numbers
 
 
 # ------------------------------------------------------------------- parameters

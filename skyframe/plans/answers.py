@@ -1,6 +1,6 @@
 """Prose from facts: answers, captions, narrations and digests (J15, C12-C14, C16).
 
-Facts reach a request as small maps over a fixed key vocabulary; every sentence is
+Facts reach a request as fields, one for each key its text can use; every sentence is
 then an expression over the request's own row. A sentence whose facts are missing is
 NULL and drops out of the text.
 """
@@ -13,18 +13,31 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.numbers import half_even
 from ..functions.text import format_fact, sentence_list
-from ..operators.facts import REQ, fact_map, top_classes
+from ..operators.facts import REQ, fact_columns, top_classes
 from ..session import materialise
 
-VOCABULARY = (
-    [f"{c}_{s}" for c in V.CLASS_LABELS for s in ("fraction", "area_km2", "delta_area_km2", "relative_change_pct", "fraction_before", "fraction_after")]
-    + [f"grounded_{c}_{s}" for c in V.CLASS_LABELS for s in ("regions", "area_km2", "pixels")]
-    + [f"{i.lower()}_{s}" for i in V.INDEX_BANDS for s in ("mean", "p10", "p90")]
-    + [f"d{i.lower()}_{s}" for i in V.INDEX_BANDS for s in ("mean", "before", "after")]
-    + ["change_fraction", "change_area_km2", "change_threshold", "coobserved_fraction", "fusion_iou", "fusion_optical_water_fraction",
-       "fusion_sar_water_fraction", "fusion_water_fraction", "fusion_cloud_recovered_pixels", "fusion_cloud_recovered_km2", "sar_water_fraction",
-       "ts_index", "ts_observations", "ts_first", "ts_last", "ts_net_change", "ts_slope_per_year", "ts_r2", "rs_dominant_class",
-       "rs_dominant_fraction", "rs_mean_confidence", "rs_tiles", "rs_model_test_accuracy", "scene_area_km2", "scene_count"])
+def _each(*suffixes: str) -> list[str]:
+    return [f"{c}_{s}" for c in V.CLASS_LABELS for s in suffixes]
+
+
+def _spread(*names: str) -> list[str]:
+    return [f"{n}_{s}" for n in names for s in ("mean", "p10", "p90")]
+
+
+# the facts that each text reads
+ANSWER_KEYS = [*_each("delta_area_km2", "relative_change_pct", "fraction_before", "fraction_after"), "change_fraction"]
+CAPTION_KEYS = [*_each("fraction"), *_spread("ndvi", "mndwi", "nbr", "ndbi"), "scene_area_km2", "rs_dominant_fraction", "rs_tiles", "rs_mean_confidence",
+                "sar_water_fraction", "change_fraction"]
+NARRATION_KEYS = [
+    *_each("fraction", "delta_area_km2", "relative_change_pct"), *_spread("ndvi", "mndwi", "nbr", "ndbi"),
+    *[f"d{n}_{s}" for n in ("ndvi", "mndwi", "nbr") for s in ("mean", "before", "after")], "scene_area_km2", "change_fraction", "change_area_km2", "change_threshold",
+    "coobserved_fraction", "fusion_iou", "fusion_optical_water_fraction", "fusion_sar_water_fraction", "fusion_water_fraction", "fusion_cloud_recovered_pixels",
+    "fusion_cloud_recovered_km2", "ts_observations", "ts_first", "ts_last", "ts_net_change", "ts_slope_per_year", "ts_r2", "rs_dominant_fraction",
+    "rs_model_test_accuracy", "sar_water_fraction"]
+DIGEST_KEYS = [
+    *_each("fraction", "delta_area_km2"), *[f"grounded_{k}" for k in _each("regions", "area_km2", "pixels")], "ndvi_mean", "mndwi_mean", "vari_mean",
+    "change_fraction", "change_area_km2", "fusion_water_fraction", "fusion_iou", "fusion_cloud_recovered_km2", "ts_observations", "ts_slope_per_year", "ts_r2",
+    "scene_count", "scene_area_km2"]
 
 
 def _map(pairs: dict, value) -> Column:
@@ -45,7 +58,11 @@ def _per_request(df: DataFrame) -> DataFrame:
 
 
 def val(key: str) -> Column:
-    return F.try_element_at("vals", F.lit(key))
+    return F.col("nums")[key]
+
+
+def worded(key: str) -> Column:
+    return F.col("texts")[key]
 
 
 def fixed(value: Column, digits: int, sign: bool = False, commas: bool = False) -> Column:
@@ -126,14 +143,14 @@ def resolve_answers(plans: DataFrame, facts: DataFrame, text: str = "text", limi
     hay = F.lower(F.concat_ws(" ", "label", "fact_key"))
     scored = rest.select(REQ, words.alias("_w")).join(facts, REQ).withColumn(
         "score", F.size(F.filter("_w", lambda w: F.contains(hay, w)))).where("score > 0")
-    worded = materialise(scored.selectExpr(REQ, f"row_number() OVER (PARTITION BY {REQ} ORDER BY score DESC, fact_key DESC) - 1 AS rank", *cols).where(
+    found = materialise(scored.selectExpr(REQ, f"row_number() OVER (PARTITION BY {REQ} ORDER BY score DESC, fact_key DESC) - 1 AS rank", *cols).where(
         F.col("rank") < limit), "answers-worded")
 
-    last = _per_request(rest.join(_per_request(worded.select(REQ).distinct()), REQ, "left_anti").select(REQ))
+    last = _per_request(rest.join(_per_request(found.select(REQ).distinct()), REQ, "left_anti").select(REQ))
     comp = top_classes(facts.join(last, REQ, "left_semi"), 0.02, limit).select(
         REQ, (F.col("rank") - 1).alias("rank"), F.concat("class", F.lit("_fraction")).alias("fact_key"))
     composed = comp.join(facts, [REQ, "fact_key"]).select(REQ, "rank", *cols)
-    return direct.unionByName(worded).unionByName(composed)
+    return direct.unionByName(found).unionByName(composed)
 
 
 def _direction_sentence() -> Column:
@@ -159,7 +176,7 @@ def answer(plans: DataFrame, facts: DataFrame, text: str = "text") -> DataFrame:
     line = say("" , F.col("label"), ": ", format_fact(F.col("value_num"), F.col("value_str"), F.col("unit")), ".")
     per = chosen.groupBy(REQ).agg(F.array_sort(F.collect_list(F.struct("rank", "fact_key", line.alias("line")))).alias("a"))
     q = F.col(text)
-    out = plans.select(REQ, text, "target_classes").join(_per_request(per), REQ, "left").join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left")
+    out = plans.select(REQ, text, "target_classes").join(_per_request(per), REQ, "left").join(_per_request(fact_columns(facts, ANSWER_KEYS)), REQ, "left")
     first = F.get("a", F.lit(0))
     opening = F.when(q.rlike(V.YES_NO) & q.rlike(V.DIRECTION), F.coalesce(_direction_sentence(), F.lit(""))).otherwise(first["line"])
     rest = F.transform(F.slice("a", 2, 3), lambda x: x["line"])
@@ -170,11 +187,24 @@ def answer(plans: DataFrame, facts: DataFrame, text: str = "text") -> DataFrame:
 
 
 # --------------------------------------------------------------------- descriptions
-def _composition(above: float) -> Column:
-    """Classes above a share, largest first, as array<struct(neg, ord, label, v)>."""
-    items = [F.struct((-val(f"{c}_fraction")).alias("neg"), F.lit(i).alias("ord"), F.lit(label).alias("label"), val(f"{c}_fraction").alias("v"))
-             for i, (c, label) in enumerate(V.CLASS_LABELS.items())]
-    return F.array_sort(F.filter(F.array(*items), lambda x: x["v"] > above))
+def _ranked(items: list[tuple[Column, Column]], limit: int | None = None) -> Column:
+    """The structs whose condition holds, in their order, from (condition, struct) pairs.
+
+    Without functions over arrays, which Spark evaluates uncompiled with all that is below them.
+    """
+    kept = sum((F.coalesce(on, F.lit(False)).cast("int") for on, _ in items), F.lit(0))
+    ordered = F.sort_array(F.array(*[F.when(on, item) for on, item in items]))  # those left out come first
+    return F.slice(ordered, F.lit(len(items) + 1) - kept, kept if limit is None else F.least(kept, F.lit(limit)))
+
+
+def _composition(above: float, **texts) -> Column:
+    """Classes above a share, largest first, as array<struct(neg, ord, label, v, …)>; ``texts`` are made from label and share."""
+    items = []
+    for i, (c, label) in enumerate(V.CLASS_LABELS.items()):
+        v = val(f"{c}_fraction")
+        items.append((v > above, F.struct((-v).alias("neg"), F.lit(i).alias("ord"), F.lit(label).alias("label"), v.alias("v"),
+                                          *[text(label, v).alias(name) for name, text in texts.items()])))
+    return _ranked(items)
 
 
 def _listed(items: Column, digits: int, lower: bool = True, sep: str = " ") -> Column:
@@ -192,18 +222,18 @@ def _index_sentences(digits: int, spread) -> list[Column]:
 
 
 def _in_domain() -> Column:
-    return F.coalesce("in_domain", F.lit(True)) & F.try_element_at("texts", F.lit("rs_dominant_class")).isNotNull()
+    return F.coalesce("in_domain", F.lit(True)) & worded("rs_dominant_class").isNotNull()
 
 
 def caption(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """(request_id, caption, confidence); requests carry source, place, acq_date, width, height and in_domain."""
-    out = requests.join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left")
+    out = requests.join(_per_request(fact_columns(facts, CAPTION_KEYS, ("rs_dominant_class",))), REQ, "left")
     comp = _composition(0.005)
     head = say(F.col("source"), " imaged ", F.coalesce("place", F.lit("the requested area")), maybe(" on ", F.col("acq_date").cast("string")),
                maybe(" covering ", fixed(val("scene_area_km2"), 0, commas=True), " km²"), " at ", F.col("width").cast("string"), "×",
                F.col("height").cast("string"), " pixels.")
     label = F.when(_in_domain(), say(
-        "The scene classifier labels the scene predominantly '", F.try_element_at("texts", F.lit("rs_dominant_class")), "'",
+        "The scene classifier labels the scene predominantly '", worded("rs_dominant_class"), "'",
         maybe(" (", percent(val("rs_dominant_fraction"), 1), " of ", fixed(F.coalesce(val("rs_tiles"), F.lit(0.0)), 0), " tiles)"),
         maybe(", mean confidence ", fixed(val("rs_mean_confidence"), 2)), "."))
     cloud = val("cloud_or_snow_fraction")
@@ -220,18 +250,19 @@ def caption(requests: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _movers(limit: int, sentence) -> Column:
-    items = [F.struct((-F.abs(val(f"{c}_delta_area_km2"))).alias("neg"), F.lit(label).alias("label"), val(f"{c}_delta_area_km2").alias("d"),
-                      val(f"{c}_relative_change_pct").alias("rel")) for c, label in V.CLASS_LABELS.items()]
-    ranked = F.slice(F.array_sort(F.filter(F.array(*items), lambda x: F.abs(x["d"]) > 0.01)), 1, limit)
-    return F.when(F.size(ranked) > 0, F.array_join(F.transform(ranked, sentence), " "))
+    items = []
+    for c, label in V.CLASS_LABELS.items():
+        d = val(f"{c}_delta_area_km2")
+        items.append((F.abs(d) > 0.01, F.struct((-F.abs(d)).alias("neg"), F.lit(label).alias("label"), sentence(c, F.lit(label), d).alias("text"))))
+    ranked = _ranked(items, limit)
+    return F.when(F.size(ranked) > 0, F.array_join(ranked["text"], " "))
 
 
 def narrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """(request_id, narrator, text): template narration by task; every number is a fact."""
-    out = requests.join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left")
-    dates = F.transform("dates", lambda d: d.cast("string"))
-    span = F.when(F.size(dates) == 1, say(" for ", F.get(dates, F.lit(0)))).when(
-        F.size(dates) > 1, say(" for ", F.get(dates, F.lit(0)), " and ", F.element_at(dates, -1)))
+    out = requests.join(_per_request(fact_columns(facts, NARRATION_KEYS, ("ts_index", "rs_dominant_class"))), REQ, "left")
+    first, last = F.get("dates", F.lit(0)).cast("string"), F.try_element_at("dates", F.lit(-1)).cast("string")
+    span = F.when(F.size("dates") == 1, say(" for ", first)).when(F.size("dates") > 1, say(" for ", first, " and ", last))
     head = say("The analysis used ", F.col("source"), " over ", F.coalesce("place", F.lit("the requested area")), F.coalesce(span, F.lit("")),
                maybe(", covering ", fixed(val("scene_area_km2"), 0, commas=True), " km²"), " at ", F.col("width").cast("string"), "×",
                F.col("height").cast("string"), " pixels.")
@@ -239,8 +270,8 @@ def narrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
         say("Change Vector Analysis flags ", percent(val("change_fraction")), " of the co-observed area as changed",
             maybe(" (", fixed(val("change_area_km2"), 2, commas=True), " km²)"),
             maybe(", using an Otsu magnitude threshold of ", fixed(val("change_threshold"), 4)), "."),
-        _movers(3, lambda x: say(x["label"], F.when(x["d"] > 0, " grew by ").otherwise(" shrank by "), fixed(F.abs(x["d"]), 2, commas=True), " km²",
-                                 maybe(" (", fixed(x["rel"], 2, sign=True), "% relative to the earlier date)"), ".")),
+        _movers(3, lambda c, label, d: say(label, F.when(d > 0, " grew by ").otherwise(" shrank by "), fixed(F.abs(d), 2, commas=True), " km²",
+                                            maybe(" (", fixed(val(f"{c}_relative_change_pct"), 2, sign=True), "% relative to the earlier date)"), ".")),
         *[say(f"Mean {n} moved by ", fixed(val(f"d{n.lower()}_mean"), 4, sign=True),
               maybe(", from ", fixed(val(f"d{n.lower()}_before"), 4), " to ", fixed(val(f"d{n.lower()}_after"), 4)), ".") for n in ("NDVI", "MNDWI", "NBR")]])
     recovered = val("fusion_cloud_recovered_pixels")
@@ -251,7 +282,7 @@ def narrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
             percent(val("fusion_water_fraction")), " water coverage."),
         F.when(recovered > 0, say("Radar recovered ", fixed(recovered, 0, commas=True), " pixels of water that cloud hid from the optical sensor",
                                   maybe(", equivalent to ", fixed(val("fusion_cloud_recovered_km2"), 2, commas=True), " km²"), "."))])
-    idx = F.try_element_at("texts", F.lit("ts_index"))
+    idx = worded("ts_index")
     trend = sentence_list([
         say("The ", idx, " series is built from ", fixed(val("ts_observations"), 0), " usable acquisitions."),
         say(idx, " moved from ", fixed(val("ts_first"), 4), " at the start of the series to ", fixed(val("ts_last"), 4), " at the end, a net change of ",
@@ -260,7 +291,7 @@ def narrate(requests: DataFrame, facts: DataFrame) -> DataFrame:
     cover = sentence_list([
         F.when(F.size("_c") > 0, say("Land-cover segmentation gives ", _listed(F.slice("_c", 1, 4), 2), ".")),
         *_index_sentences(4, lambda a, b: say(", with the 10th-90th percentile range spanning ", fixed(a, 4), " to ", fixed(b, 4))),
-        F.when(_in_domain(), say("The scene classifier labels the scene mainly '", F.try_element_at("texts", F.lit("rs_dominant_class")), "'",
+        F.when(_in_domain(), say("The scene classifier labels the scene mainly '", worded("rs_dominant_class"), "'",
                                  maybe(" (", percent(val("rs_dominant_fraction")), " of tiles)"),
                                  maybe("; that model scores ", percent(val("rs_model_test_accuracy")), " on its held-out split"), ".")),
         say("The SAR channel independently measures low-backscatter open water at ", percent(val("sar_water_fraction")), " of the scene.")])
@@ -288,32 +319,34 @@ def summarise(requests: DataFrame, facts: DataFrame) -> DataFrame:
     confidence, checked, verified, is_upload and interpretation. Sections without
     content are dropped and every number is a fact or a plan field.
     """
-    out = requests.join(_per_request(fact_map(facts, VOCABULARY)), REQ, "left").withColumn("_c", _composition(0.02))
-    dates = F.transform("dates", lambda d: d.cast("string"))
-    period = F.when(F.size(dates) == 1, F.get(dates, F.lit(0))).when(F.size(dates) > 1, say(F.get(dates, F.lit(0)), " to ", F.element_at(dates, -1)))
+    out = requests.join(_per_request(fact_columns(facts, DIGEST_KEYS, ("ts_index",))), REQ, "left")
+    first, last = F.get("_days", F.lit(0)), F.try_element_at("_days", F.lit(-1))
+    period = F.when(F.size("_days") == 1, first).when(F.size("_days") > 1, say(first, " to ", last))
     located, upload = F.col("west").isNotNull(), F.col("is_upload")
     task, ok = F.col("task"), F.col("status") == "ok"
     titles = _map(V.TASK_TITLES, F.lit)
 
-    def points(*items: Column) -> Column:
-        return F.array_compact(F.array(*items))
-
+    # what a point lacks leaves it NULL; such points are dropped once the sections are rows
+    points = F.array
     headline = F.when(task.isin("change_detection", "change_vqa"), points(
         say(percent(val("change_fraction"), 1), " of the area changed", maybe(" (", fixed(val("change_area_km2"), 1, commas=True), " km²)")),
-        _movers(3, lambda x: say(x["label"], F.when(x["d"] > 0, " grew by ").otherwise(" shrank by "), fixed(F.abs(x["d"]), 1, commas=True), " km².")))
+        _movers(3, lambda c, label, d: say(label, F.when(d > 0, " grew by ").otherwise(" shrank by "), fixed(F.abs(d), 1, commas=True), " km².")))
     ).when(task == "optical_sar_fusion", points(
         say("Fused water coverage: ", percent(val("fusion_water_fraction"), 1)), say("Optical/SAR agreement (IoU): ", fixed(val("fusion_iou"), 4)),
         F.when(val("fusion_cloud_recovered_km2") > 0, say("Radar recovered ", fixed(val("fusion_cloud_recovered_km2"), 1, commas=True), " km² hidden by cloud")))
     ).when(task == "time_series", points(
-        say(F.try_element_at("texts", F.lit("ts_index")), " across ", fixed(val("ts_observations"), 0), " usable dates"),
+        say(worded("ts_index"), " across ", fixed(val("ts_observations"), 0), " usable dates"),
         say("Trend: ", fixed(val("ts_slope_per_year"), 4, sign=True), " per year", maybe(" (R² ", fixed(val("ts_r2"), 2), ")")))
     ).when(task == "grounding", points(*[F.when(F.array_contains("target_classes", c), say(
         fixed(val(f"grounded_{c}_regions"), 0), f" {label.lower()} region(s) located",
         F.coalesce(say(", ", fixed(val(f"grounded_{c}_area_km2"), 2, commas=True), " km² total"),
                    say(", ", fixed(val(f"grounded_{c}_pixels"), 0, commas=True), " px total"), F.lit("")))) for c, label in V.CLASS_LABELS.items()])
     ).otherwise(F.array().cast("array<string>"))
-    room = F.greatest(4 - F.size(headline), F.lit(0))
-    composition = F.transform(F.slice("_c", F.lit(1), room), lambda x: say(x["label"], ": ", percent(x["v"], 1)))
+    # a function over an array keeps this step out of the join's code, which would be too long to be compiled
+    out = out.withColumns({
+        "_days": F.transform("dates", lambda d: d.cast("string")), "_headline": headline, "_c": _composition(0.02, found=lambda label, v: say(label, ": ", percent(v, 1)), seen=lambda label, v: say(label, " (", percent(v, 0), ")"))})
+    room = F.greatest(4 - F.size(F.array_compact("_headline")), F.lit(0))
+    composition = F.slice("_c", F.lit(1), room)["found"]
     measured = [say(f"Mean {n}: ", fixed(val(f"{n.lower()}_mean"), 4), f" ({V.INDEX_INFO[n][1]})") for n in ("NDVI", "MNDWI", "VARI")]
     basis = F.when(F.arrays_overlap("bands", _strings(("nir",))), "multispectral").otherwise("RGB")
     outcome = {"no_data": "No usable data for this request", "needs_clarification": "More information needed",
@@ -325,8 +358,8 @@ def summarise(requests: DataFrame, facts: DataFrame) -> DataFrame:
                 F.coalesce(say("Location identified: ", F.col("place")), F.lit("Location: none resolved from the question"))), say("Time period: ", period))),
         ("performed", "What the system did", F.when(ok, points(
             say("Data used: ", F.col("source")), say(fixed(val("scene_count"), 0), " scene(s) retrieved and checked for compatibility")))),
-        ("findings", "Key findings", F.when(ok, F.concat(headline, composition))),
-        ("detected", "Detected features", F.when(ok, F.transform("_c", lambda x: say(x["label"], " (", percent(x["v"], 0), ")")))),
+        ("findings", "Key findings", F.when(ok, F.concat("_headline", composition))),
+        ("detected", "Detected features", F.when(ok, F.col("_c")["seen"])),
         ("measure", "Measurements", F.when(ok, points(*measured))),
         ("location", "Location", F.when(ok & located, points(
             F.when(~upload, F.col("place")),
@@ -344,4 +377,7 @@ def summarise(requests: DataFrame, facts: DataFrame) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), pts.alias("points"))
                      for i, (kind, title, pts) in enumerate(sections)])
-    return out.select(REQ, F.inline(rows)).where("size(points) > 0")
+    # the sections are a column of their own, as inside the generator they would be evaluated uncompiled; without
+    # ``outer`` a filter on their number, which is fixed, would evaluate them a second time
+    shown = out.select(REQ, rows.alias("_rows")).select(REQ, F.inline_outer("_rows"))
+    return shown.withColumn("points", F.array_compact("points")).where("size(points) > 0")

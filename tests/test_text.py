@@ -248,3 +248,23 @@ def test_answers_send_no_table_of_requests_through_the_driver(spark):
     for out in (answers.resolve_answers(plans, facts_), answers.answer(plans, facts_)):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.answer for r in out.collect()} == {"Water share: 25.00%."}
+
+
+def test_digest_is_compiled_and_takes_the_latest_facts(spark):
+    schema = "request_id int, ord int, fact_key string, label string, value_num double, value_str string, unit string"
+    f = spark.createDataFrame([(1, 0, "water_fraction", "w", 0.9, None, None), (1, 3, "water_fraction", "w", 0.4, None, None), (1, 1, "bare_soil_fraction", "b", 0.4, None, None),
+                               (1, 2, "built_up_fraction", "u", 0.02, None, None), (1, 4, "ts_index", "i", None, "NDWI", None), (1, 5, "ts_index", "i", None, "NDVI", None),
+                               (1, 6, "ts_observations", "n", 7.0, None, None), (2, 0, "raster_width", "r", 64.0, None, None)], schema)
+    req = spark.createDataFrame([(1, "time_series"), (2, "landcover")], "request_id int, task string").withColumns({
+        "source": F.lit("s"), "place": F.lit("Goa"), "dates": F.array(F.lit(TODAY)), "width": F.lit(8), "height": F.lit(8), "status": F.lit("ok"), "bands": F.array(F.lit("red")),
+        "warnings": F.array().cast("array<string>"), "checked": F.lit(0), "verified": F.lit(0), "is_upload": F.lit(False), "target_classes": F.array().cast("array<string>"),
+        "interpretation": F.lit("Analyse."), "confidence": F.lit(0.8), **{c: F.lit(None).cast("double") for c in ("west", "south", "east", "north")}})
+    out = answers.summarise(req, f)
+    rows = {(r.request_id, r.kind): r.points for r in out.collect()}
+    assert rows[1, "findings"] == ["NDVI across 7 usable dates", "Water: 40.0%", "Bare soil: 40.0%"] and rows[1, "detected"] == ["Water (40%)", "Bare soil (40%)"]
+    assert (2, "findings") not in rows and rows[2, "geo"] == ["No geographic metadata in this image", "Sizes reported in pixels, not km²"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # sections are not evaluated inside the generator, nor a second time by a filter, and numbers need no sort
+    assert "inline(array(" not in plan and "size(array(struct" not in plan
+    assert all("max_by(value_num" not in line for line in plan.splitlines() if "SortAggregate" in line)
+    assert any("max_by(value_num" in line for line in plan.splitlines() if "HashAggregate" in line)
