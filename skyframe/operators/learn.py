@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import EUROSAT_TO_COARSE
+from ..session import materialise
 from . import boosting
 from .boosting import BoostedModel
 from .stats import attach, exact_quantiles
@@ -19,8 +20,10 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
     """Adds ``is_test``: the rows of each class whose seeded hash lies in its lowest share.
 
     The cut is an exact quantile of the hash per class, so a class of any size is
-    split without ranking it in one task.
+    split without ranking it in one task. The rows are written first: the cut reads them several
+    times, and features would be computed anew each time.
     """
+    rows = materialise(rows, "split-rows")
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
     hashed = rows.withColumn("_h", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12))
     cut = exact_quantiles(hashed, [label], "_h", {"_cut": test_share})

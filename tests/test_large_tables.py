@@ -53,3 +53,18 @@ def test_scores_are_rounded_once(spark, monkeypatch):
     out, _ = radar.sar_segment(cells)
     assert len(plans) == 2 and "round(" not in plans[1] and "round(" not in plan_of(out)
     assert out.count() == 1024
+
+
+def test_a_split_computes_its_rows_once(spark):
+    from skyframe.operators import learn
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def features(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(40).selectExpr("id AS tile_id", "id % 2 AS label").mapInArrow(features, "tile_id long, label long")
+    assert learn.stratified_split(rows, "label", "tile_id").groupBy("label").count().count() == 2
+    assert seen.value == 40
