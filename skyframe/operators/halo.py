@@ -138,20 +138,21 @@ def mask_over_tiles(cells: DataFrame, images: DataFrame, key: list[str], halo: i
 
 # ------------------------------------------------------------------ steps on arrays
 def box_sum(a: np.ndarray, half: int, edge: str) -> np.ndarray:
-    """Sums over square boxes, borders mirrored by NumPy's ``edge`` mode.
+    """Sums over square boxes of the last two axes, borders mirrored by NumPy's ``edge`` mode.
 
     Terms are added in the same order everywhere, so a value does not depend on the tile it is computed in, and a flat
     area has no rounding noise, as differences of running sums would.
     """
     if half == 0:
         return a.copy()
-    p = np.pad(a, half, mode=edge)
-    rows = p[: a.shape[0]].copy()
+    h, w = a.shape[-2:]
+    p = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(half, half)] * 2, mode=edge)
+    rows = p[..., :h, :].copy()
     for k in range(1, 2 * half + 1):
-        rows += p[k : k + a.shape[0]]
-    out = rows[:, : a.shape[1]].copy()
+        rows += p[..., k : k + h, :]
+    out = rows[..., :w].copy()
     for k in range(1, 2 * half + 1):
-        out += rows[:, k : k + a.shape[1]]
+        out += rows[..., k : k + w]
     return out
 
 
@@ -184,7 +185,7 @@ def slopes(a: np.ndarray, present: np.ndarray, axis: int) -> np.ndarray:
     """Central differences, one-sided where a neighbour is missing."""
     def shifted(x: np.ndarray, by: int, empty) -> np.ndarray:
         out = np.full_like(x, empty)
-        to, source = [slice(None)] * 2, [slice(None)] * 2
+        to, source = [slice(None)] * x.ndim, [slice(None)] * x.ndim
         to[axis], source[axis] = (slice(by, None), slice(None, -by)) if by > 0 else (slice(None, by), slice(-by, None))
         out[tuple(to)] = x[tuple(source)]
         return out

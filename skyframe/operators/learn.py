@@ -21,13 +21,13 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
 
     The cut is an exact quantile of the hash per class, so a class of any size is
     split without ranking it in one task. The rows are written first: the cut reads them several
-    times, and features would be computed anew each time.
+    times, and features would be computed anew each time. So are the cuts: wide rows need no shuffle to meet those of few classes.
     """
     rows = materialise(rows, "split-rows")
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
     hashed = rows.withColumn("_h", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12))
-    cut = exact_quantiles(hashed, [label], "_h", {"_cut": test_share})
-    return attach(hashed, cut, [label]).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    cut = materialise(exact_quantiles(hashed, [label], "_h", {"_cut": test_share}), "split-cuts")
+    return attach(hashed, cut, [label], n=cut.count()).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
 
 def train(rows: DataFrame, label: str = "label", features: str = "features", algorithm: str = "forest", seed: int = 42,

@@ -7,6 +7,7 @@ features of a tile come from one pass over its arrays, after a single shuffle of
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import EPS
 from ..functions.indices import rgb_proxies
+from ..session import materialise
 from .focal import gradient, local_std
 from .halo import box_moments, slopes
 from .stats import attach, usable
@@ -27,20 +29,28 @@ MOMENTS = ("mean", "std", "skew", "kurt", "p5", "p25", "p50", "p75", "p95")
 HIST_BINS = 12
 #: Summed slope from which a pixel counts as an edge.
 EDGE = 0.06
+#: Cells of tiles that are measured at a time; a larger tile is measured alone.
+BLOCK = 1 << 16
 
 
 def tile_pixels(pixels: DataFrame, scenes: DataFrame, tile: int = 64, stride: int | None = None) -> DataFrame:
-    """Each pixel once per tile that covers it; only tiles wholly inside the grid."""
+    """Each pixel once per tile that covers it; only tiles wholly inside the grid. The sizes of grids are written, so that their number decides how they meet the pixels."""
     stride = stride or tile
-    grid = scenes.select("scene_id", "width", "height")
+    grid = materialise(scenes.select("scene_id", "width", "height"), "tile-grids")
+    others = [c for c in pixels.columns]
+    placed = attach(pixels, grid, ["scene_id"], n=grid.count())
+    if stride >= tile:
+        # at most one tile a pixel
+        spots = {k: f"int(floor({axis} / {stride})) * {stride}" for k, axis in (("tile_r", "r"), ("tile_c", "c"))}
+        inside = " AND ".join(f"{k} >= 0 AND {axis} < {k} + {tile} AND {k} + {tile} <= {size}" for k, axis, size in (("tile_r", "r", "height"), ("tile_c", "c", "width")))
+        return placed.selectExpr(*others, "width", "height", *[f"{e} AS {k}" for k, e in spots.items()]).where(inside).drop("width", "height")
 
     def origins(axis: str, size: str) -> str:
         first, last = f"int(ceil(({axis} - {tile - 1}) / {stride}))", f"int(floor({axis} / {stride}))"
         return (f"explode(filter(transform(sequence(greatest({first}, 0), greatest({last}, greatest({first}, 0))), k -> k * {stride}), "
                 f"o -> o <= {axis} AND o + {tile} > {axis} AND o + {tile} <= {size}))")
 
-    others = [c for c in pixels.columns]
-    out = attach(pixels, grid, ["scene_id"]).selectExpr(*others, "width", "height", f"{origins('r', 'height')} AS tile_r")
+    out = placed.selectExpr(*others, "width", "height", f"{origins('r', 'height')} AS tile_r")
     return out.selectExpr(*others, "tile_r", f"{origins('c', 'width')} AS tile_c")
 
 
@@ -179,64 +189,136 @@ def _channels(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> list[np.n
             over(red, total), over(green, total), over(blue, total), total / 3.0, over(high - low, high)]
 
 
+def _by_count(values: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of (rows x places) by how many places of them are marked: their numbers, and the marked values in order."""
+    if mask.all():
+        yield np.arange(len(values)), values
+        return
+    count = mask.sum(axis=1)
+    for n in np.unique(count):
+        at = np.flatnonzero(count == n)
+        yield at, values[at][mask[at]].reshape(len(at), n)
+
+
+def _stats(values: np.ndarray, mask: np.ndarray, measure: Callable[[np.ndarray], tuple[np.ndarray, ...]], width: int) -> np.ndarray:
+    """``width`` measures of the marked values of each row, 0 where none is marked."""
+    out = np.zeros((len(values), width))
+    for at, v in _by_count(values, mask):
+        if v.shape[1]:
+            out[at] = np.column_stack(measure(v))
+    return out
+
+
 def tile_values(bands: np.ndarray, present: np.ndarray) -> np.ndarray:
-    """The 196 values of one tile in the order of ``feature_names``; bands is 3 x rows x columns, NaN where there is no value."""
+    """The 196 values of tiles of one size, in the order of ``feature_names``; bands is tiles x 3 x rows x columns, NaN where there is no value.
+
+    A value does not depend on the tiles beside it: reductions run along the values of one tile.
+    """
+    tiles, _, height, width = bands.shape
     with np.errstate(invalid="ignore"):
-        gray = bands.sum(axis=0) / 3.0
-        out: list[float] = []
-        channels = np.stack(_channels(*bands)).reshape(len(CHANNELS + PROXIES), -1)
-        good = np.isfinite(channels)
-        if good.all():
-            out += _moment_values(channels).ravel().tolist()
-        else:
-            out += [x for channel, mask in zip(channels, good, strict=True) for x in _moment_values(channel[mask][None])[0]]
-        filled = np.where(np.isfinite(gray), gray, 0.0)
-        for k in (3, 7, 15):
-            local = np.sqrt(box_moments(filled, k, "reflect")[1])[present]
-            out += [local.mean(), local.std(), _quantiles(local, (0.9,))[0]]
+        gray = (bands[:, 0] + bands[:, 1] + bands[:, 2]) / 3.0
+        channels = np.stack(_channels(bands[:, 0], bands[:, 1], bands[:, 2]), axis=1).reshape(tiles * len(CHANNELS + PROXIES), -1)
+        out = [_stats(channels, np.isfinite(channels), lambda v: (_moment_values(v),), len(MOMENTS)).reshape(tiles, -1)]
         known = np.isfinite(gray)
-        gy, gx = (slopes(filled, known, axis)[known] for axis in (0, 1))
-        size = np.hypot(gx, gy)
-        out += [size.mean(), size.std(), _quantiles(size, (0.95,))[0], (np.abs(gy) + np.abs(gx) > EDGE).mean()] if size.size else [0.0] * 4
-        n = present.sum()
-        for band in bands:
-            v = band[np.isfinite(band) & (band >= 0.0) & (band <= 1.0)]
-            out += (np.bincount(np.minimum(np.floor(v * HIST_BINS), HIST_BINS - 1).astype(np.int64), minlength=HIST_BINS) / n).tolist()
-        rows, columns = ([g * size // 3 for g in range(4)] for size in present.shape)
+        filled = np.where(known, gray, 0.0)
+        there, clear = present.reshape(tiles, -1), known.reshape(tiles, -1)
+        for k in (3, 7, 15):
+            local = np.sqrt(box_moments(filled, k, "reflect")[1]).reshape(tiles, -1)
+            out.append(_stats(local, there, lambda v: (v.mean(axis=1), v.std(axis=1), _quantiles(v, (0.9,))), 3))
+        gy, gx = (slopes(filled, known, axis).reshape(tiles, -1) for axis in (-2, -1))
+        out.append(_stats(np.hypot(gx, gy), clear, lambda v: (v.mean(axis=1), v.std(axis=1), _quantiles(v, (0.95,))), 3))
+        out.append(_stats((np.abs(gy) + np.abs(gx) > EDGE).astype(float), clear, lambda v: (v.mean(axis=1),), 1))
+        n = there.sum(axis=1)
+        flat = bands.reshape(tiles * len(CHANNELS), -1)
+        row, place = np.nonzero(np.isfinite(flat) & (flat >= 0.0) & (flat <= 1.0))
+        slot = np.minimum(np.floor(flat[row, place] * HIST_BINS), HIST_BINS - 1).astype(np.int64)
+        out.append(np.bincount(row * HIST_BINS + slot, minlength=len(flat) * HIST_BINS).reshape(tiles, -1) / n[:, None])
+        rows, columns = ([g * size // 3 for g in range(4)] for size in (height, width))
         for i in range(3):
             for j in range(3):
-                for band in bands:
-                    cell = band[rows[i]:rows[i + 1], columns[j]:columns[j + 1]]
-                    cell = cell[~np.isnan(cell)]
-                    out.append(cell.mean() if cell.size else 0.0)
+                cell = bands[:, :, rows[i]:rows[i + 1], columns[j]:columns[j + 1]].reshape(tiles * len(CHANNELS), -1)
+                out.append(_stats(cell, ~np.isnan(cell), lambda v: (v.mean(axis=1),), 1).reshape(tiles, -1))
         across = []
-        for axis in (1, 0):
+        for axis in (2, 1):
             count = known.sum(axis=axis)
-            across.append(((filled * known).sum(axis=axis)[count > 0] / count[count > 0]).std() if known.any() else 0.0)
-        out += [*across, abs(across[0] - across[1])]
-    values = np.array(out)
+            across.append(_stats((filled * known).sum(axis=axis) / np.maximum(count, 1), count > 0, lambda v: (v.std(axis=1),), 1))
+        out += [*across, np.abs(across[0] - across[1])]
+    values = np.hstack(out)
     return np.where(np.isfinite(values), values, 0.0)
 
 
+def _tile_hash() -> Column:
+    return F.xxhash64(*TILE)
+
+
+def _in_tiles(table: pa.Table) -> tuple[pa.Array, pa.Table, np.ndarray, np.ndarray]:
+    """Tiles of rows that are sorted by hash, the rows by tile, and where those of each tile start and end."""
+    runs = pc.run_end_encode(table.column("tile_id").combine_chunks())
+    if len(runs.values) > len(np.unique(table.column("_hash").to_numpy())):
+        # tiles of equal hash lie among each other
+        table = table.take(pc.sort_indices(table, sort_keys=[("_hash", "ascending"), ("tile_id", "ascending")])).combine_chunks()
+        runs = pc.run_end_encode(table.column("tile_id").combine_chunks())
+    ends = runs.run_ends.to_numpy().astype(np.int64)
+    return runs.values, table, np.concatenate(([0], ends[:-1])), ends
+
+
+def _tile_rows(ids: pa.Array, table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Features of tiles whose pixels are the rows from ``starts`` to ``ends``, at most BLOCK cells at a time."""
+    r, c, height, width = (table.column(k).to_numpy() for k in ("r", "c", "height", "width"))
+    colours = [pc.fill_null(table.column(k).cast(pa.float64()), float("nan")).to_numpy() for k in CHANNELS]
+    sizes = np.stack((height[starts], width[starts]), axis=1)
+    for h, w in np.unique(sizes, axis=0):
+        alike = np.flatnonzero((sizes == (h, w)).all(axis=1))
+        step = max(1, BLOCK // max(1, int(h * w)))
+        for some in (alike[k:k + step] for k in range(0, len(alike), step)):
+            lengths = ends[some] - starts[some]
+            tile = np.repeat(np.arange(len(some)), lengths)
+            rows = np.arange(lengths.sum()) + np.repeat(starts[some] - (lengths.cumsum() - lengths), lengths)
+            bands, present = np.full((len(some), 3, h, w), np.nan), np.zeros((len(some), h, w), bool)
+            present[tile, r[rows], c[rows]] = True
+            for k, colour in enumerate(colours):
+                bands[tile, k, r[rows], c[rows]] = colour[rows]
+            values = tile_values(bands, present)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), lists], names=["tile_id", "features"])
+
+
 def patch_features(patches: DataFrame) -> DataFrame:
     """(tile_id, features): the 196 values of each patch, missing ones 0, from one shuffle and one pass over its arrays.
 
     ``patches`` has tile_id, r, c, height, width and red, green, blue in 0..1. A patch is bounded by its tile; pixels without a row or value
-    take no part, and box deviations read them as 0.
+    take no part, and box deviations read them as 0. Rows come sorted by a hash of their tile, and the tiles of a block are measured together.
     """
     kind = patches.schema["tile_id"].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
-        h, w = table.column("height")[0].as_py(), table.column("width")[0].as_py()
-        at = (table.column("r").to_numpy(), table.column("c").to_numpy())
-        bands, present = np.full((3, h, w), np.nan), np.zeros((h, w), bool)
-        present[at] = True
-        for k, name in enumerate(CHANNELS):
-            column = table.column(name).cast(pa.float64())
-            bands[k][at] = pc.fill_null(column, float("nan")).to_numpy()
-        return pa.table({"tile_id": table.column("tile_id").slice(0, 1), "features": pa.array([tile_values(bands, present)], pa.list_(pa.float64()))})
-
-    return patches.select(*TILE, "r", "c", "height", "width", *CHANNELS).groupBy(*TILE).applyInArrow(run, f"tile_id {kind}, features array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, enough = 0, BLOCK
+
+        def measured(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, enough
+            table = pa.Table.from_batches(held).combine_chunks()
+            hashes = table.column("_hash").to_numpy()
+            # the pixels of the last tiles may go on in the next batch
+            cut = len(hashes) if last else int(np.searchsorted(hashes, hashes[-1]))
+            held = table.slice(cut).to_batches()
+            rows = len(hashes) - cut
+            enough = max(BLOCK, 2 * rows)
+            if cut:
+                yield from _tile_rows(*_in_tiles(table.slice(0, cut)))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= enough:
+                yield from measured(False)
+        if rows:
+            yield from measured(True)
+
+    wide = patches.select(*TILE, "r", "c", "height", "width", *CHANNELS).repartition(*TILE)
+    # one number a row is sorted without comparisons, the names of tiles are not
+    return wide.withColumn("_hash", _tile_hash()).sortWithinPartitions("_hash").mapInArrow(run, f"tile_id {kind}, features array<double>")
 
 
 def paint_tiles(tile_labels: DataFrame, pixels: DataFrame, tile: int = 64, stride: int | None = None, rule: str = "votes") -> DataFrame:

@@ -214,17 +214,16 @@ def colour_tiles(spark, sf_dir):
     covered = tiles.tile_pixels(px.select("scene_id", "r", "c", "red", "green", "blue", "truth"), scenes(px), 8)
     key = F.concat_ws("/", "scene_id", "tile_r", "tile_c").alias("tile_id")
     name = F.create_map(*[F.lit(x) for kv in PLANTED_NAMES.items() for x in kv])
-    counts = covered.groupBy(key, F.try_element_at(name, F.col("truth")).alias("label")).agg(F.count("*").alias("n"))
-    labels = counts.groupBy("tile_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("label"))
+    place = ["scene_id", "tile_r", "tile_c"]
+    counts = covered.groupBy(*place, F.try_element_at(name, F.col("truth")).alias("label")).agg(F.count("*").alias("n"))
+    labels = counts.groupBy(*place).agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("label")).select(key, "label")
     patches_ = covered.select(key, (F.col("r") - F.col("tile_r")).alias("r"), (F.col("c") - F.col("tile_c")).alias("c"), F.lit(8).alias("height"), F.lit(8).alias("width"),
                               "red", "green", "blue")
     return tiles.patch_features(patches_).join(labels, "tile_id")
 
 
 def boosted(spark, sf_dir):
-    from skyframe.session import materialise
-
-    rows = materialise(learn.stratified_split(colour_tiles(spark, sf_dir), "label", "tile_id"), "colour-tiles")
+    rows = learn.stratified_split(colour_tiles(spark, sf_dir), "label", "tile_id")
     return learn.train(rows.where("NOT is_test"), algorithm="boosted", trees=4, depth=2), rows
 
 
