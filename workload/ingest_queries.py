@@ -170,9 +170,8 @@ SELECT scene_id, l_orderkey, l_linenumber, b AS band, round(CASE WHEN lo >= 0 AN
   ELSE least(1.0, greatest(0.0, (v - q2) / (q98 - q2))) END, 6) AS scaled FROM raw JOIN s USING (scene_id, b)""")
 def s5(spark, sf_dir):
     vals = {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity"), "discount": F.col("l_discount"), "flat": F.lit(7.0)}
-    rows = F.array(*[F.struct(F.lit(k).alias("band"), v.cast("double").alias("v")) for k, v in vals.items()])
-    raw = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("scene_id"), "l_orderkey", "l_linenumber", F.inline(rows))
-    return bands.normalise_bands(raw, ["scene_id", "band"]).select("scene_id", "l_orderkey", "l_linenumber", "band", F.round("scaled", 6).alias("scaled"))
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("scene_id"), "l_orderkey", "l_linenumber", *[v.cast("double").alias(k) for k, v in vals.items()])
+    return bands.normalise_bands(raw, ["scene_id"], list(vals)).select("scene_id", "l_orderkey", "l_linenumber", "band", F.round("scaled", 6).alias("scaled"))
 
 
 @query("s6_decimate", with_px("""
