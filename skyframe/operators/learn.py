@@ -16,18 +16,21 @@ from .boosting import BoostedModel
 from .stats import attach, exact_quantiles
 
 
-def stratified_split(rows: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42) -> DataFrame:
+def stratified_split(rows: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42, in_place: bool = False) -> DataFrame:
     """Adds ``is_test``: the rows of each class whose seeded hash lies in its lowest share.
 
     The cut is an exact quantile of the hash per class, so a class of any size is
     split without ranking it in one task. The rows are written first: the cut reads them several
-    times, and features would be computed anew each time. So are the cuts: wide rows need no shuffle to meet those of few classes.
+    times, and features would be computed anew each time. ``in_place`` writes the cuts of the classes too and sends
+    them to the rows, which then keep their order and are not shuffled; a forest draws its samples by the order of rows, boosted trees do not.
     """
     rows = materialise(rows, "split-rows")
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
     hashed = rows.withColumn("_h", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12))
-    cut = materialise(exact_quantiles(hashed, [label], "_h", {"_cut": test_share}), "split-cuts")
-    return attach(hashed, cut, [label], n=cut.count()).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    cut = exact_quantiles(hashed, [label], "_h", {"_cut": test_share})
+    if in_place:
+        cut = materialise(cut, "split-cuts")
+    return attach(hashed, cut, [label], n=cut.count() if in_place else None).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
 
 def train(rows: DataFrame, label: str = "label", features: str = "features", algorithm: str = "forest", seed: int = 42,

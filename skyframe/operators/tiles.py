@@ -247,21 +247,6 @@ def tile_values(bands: np.ndarray, present: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(values), values, 0.0)
 
 
-def _tile_hash() -> Column:
-    return F.xxhash64(*TILE)
-
-
-def _in_tiles(table: pa.Table) -> tuple[pa.Array, pa.Table, np.ndarray, np.ndarray]:
-    """Tiles of rows that are sorted by hash, the rows by tile, and where those of each tile start and end."""
-    runs = pc.run_end_encode(table.column("tile_id").combine_chunks())
-    if len(runs.values) > len(np.unique(table.column("_hash").to_numpy())):
-        # tiles of equal hash lie among each other
-        table = table.take(pc.sort_indices(table, sort_keys=[("_hash", "ascending"), ("tile_id", "ascending")])).combine_chunks()
-        runs = pc.run_end_encode(table.column("tile_id").combine_chunks())
-    ends = runs.run_ends.to_numpy().astype(np.int64)
-    return runs.values, table, np.concatenate(([0], ends[:-1])), ends
-
-
 def _tile_rows(ids: pa.Array, table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Features of tiles whose pixels are the rows from ``starts`` to ``ends``, at most BLOCK cells at a time."""
     r, c, height, width = (table.column(k).to_numpy() for k in ("r", "c", "height", "width"))
@@ -287,7 +272,7 @@ def patch_features(patches: DataFrame) -> DataFrame:
     """(tile_id, features): the 196 values of each patch, missing ones 0, from one shuffle and one pass over its arrays.
 
     ``patches`` has tile_id, r, c, height, width and red, green, blue in 0..1. A patch is bounded by its tile; pixels without a row or value
-    take no part, and box deviations read them as 0. Rows come sorted by a hash of their tile, and the tiles of a block are measured together.
+    take no part, and box deviations read them as 0. Rows come in the order of their tiles, and the tiles of a block are measured together.
     """
     kind = patches.schema["tile_id"].dataType.simpleString()
 
@@ -298,14 +283,16 @@ def patch_features(patches: DataFrame) -> DataFrame:
         def measured(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows, enough
             table = pa.Table.from_batches(held).combine_chunks()
-            hashes = table.column("_hash").to_numpy()
-            # the pixels of the last tiles may go on in the next batch
-            cut = len(hashes) if last else int(np.searchsorted(hashes, hashes[-1]))
+            runs = pc.run_end_encode(table.column("tile_id").combine_chunks())
+            ends = runs.run_ends.to_numpy().astype(np.int64)
+            starts = np.concatenate(([0], ends[:-1]))
+            # the pixels of the last tile may go on in the next batch
+            whole = len(ends) if last else len(ends) - 1
+            cut = int(ends[-1] if last else starts[-1])
             held = table.slice(cut).to_batches()
-            rows = len(hashes) - cut
+            rows = table.num_rows - cut
             enough = max(BLOCK, 2 * rows)
-            if cut:
-                yield from _tile_rows(*_in_tiles(table.slice(0, cut)))
+            yield from _tile_rows(runs.values, table, starts[:whole], ends[:whole])
 
         for batch in batches:
             if batch.num_rows:
@@ -316,9 +303,8 @@ def patch_features(patches: DataFrame) -> DataFrame:
         if rows:
             yield from measured(True)
 
-    wide = patches.select(*TILE, "r", "c", "height", "width", *CHANNELS).repartition(*TILE)
-    # one number a row is sorted without comparisons, the names of tiles are not
-    return wide.withColumn("_hash", _tile_hash()).sortWithinPartitions("_hash").mapInArrow(run, f"tile_id {kind}, features array<double>")
+    wide = patches.select(*TILE, "r", "c", "height", "width", *CHANNELS)
+    return wide.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(run, f"tile_id {kind}, features array<double>")
 
 
 def paint_tiles(tile_labels: DataFrame, pixels: DataFrame, tile: int = 64, stride: int | None = None, rule: str = "votes") -> DataFrame:

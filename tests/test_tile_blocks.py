@@ -27,11 +27,9 @@ def rows_of(bands, present, name, h, w):
     return [(name, int(r), int(c), h, w, *(None if np.isnan(v) else float(v) for v in bands[:, r, c])) for r, c in zip(*np.nonzero(present), strict=True)]
 
 
-@pytest.mark.parametrize("equal_hashes", [False, True])
-def test_tiles_of_a_block_do_not_touch_each_other(spark, monkeypatch, equal_hashes):
-    monkeypatch.setattr(tiles, "BLOCK", 150)
-    if equal_hashes:
-        monkeypatch.setattr(tiles, "_tile_hash", lambda: F.lit(7).cast("bigint"))
+@pytest.mark.parametrize("block", [1, 150, 1 << 16])
+def test_tiles_of_a_block_do_not_touch_each_other(spark, monkeypatch, block):
+    monkeypatch.setattr(tiles, "BLOCK", block)
     rows, alone = [], {}
     for k, (h, w) in enumerate([(8, 8)] * 9 + [(5, 7)] * 4 + [(16, 16)] * 2):
         bands, present = RNG.random((3, h, w)), RNG.random((h, w)) < (1.0 if k % 3 == 0 else 0.7)
@@ -63,9 +61,9 @@ def test_pixels_meet_their_tiles_without_a_shuffle(spark, no_small_tables, tile,
 
 def test_split_rows_are_not_shuffled(spark, no_small_tables):
     rows = spark.range(400).selectExpr("id AS tile_id", "id % 3 AS label", "array(double(id)) AS features")
-    split = learn.stratified_split(rows, "label", "tile_id")
+    split = learn.stratified_split(rows, "label", "tile_id", in_place=True)
     assert "Exchange hashpartitioning" not in plan_of(split)
-    assert split.count() == 400
+    assert split.count() == 400 and not split.exceptAll(learn.stratified_split(rows, "label", "tile_id")).count()
 
 
 def test_tiles_are_classified_once(spark, monkeypatch):

@@ -223,7 +223,7 @@ def colour_tiles(spark, sf_dir):
 
 
 def boosted(spark, sf_dir):
-    rows = learn.stratified_split(colour_tiles(spark, sf_dir), "label", "tile_id")
+    rows = learn.stratified_split(colour_tiles(spark, sf_dir), "label", "tile_id", in_place=True)
     return learn.train(rows.where("NOT is_test"), algorithm="boosted", trees=4, depth=2), rows
 
 
